@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, language_id, line_quality, secret_scan, token_counts
 from .shared import Scratch, table
 
 
@@ -28,13 +28,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(Scratch(spark).cut(token_counts.histogram(lengths), "lengths"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    found = language_id.identify(docs.withColumn("held_out", language_id.held_out()), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = line_quality.train(docs, table(spark, sf_dir, "labels"))
+    return line_quality.with_verdict(line_quality.label(docs, field))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_language_id": op5_language_id,
+    "op7_line_quality": op7_line_quality,
 }
 
 #: SQL for DuckDB, where SQL can express the query.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,14 @@ class Scratch:
 def hash_fraction(key: Column, fraction: float, seed: str) -> Column:
     """True for about that fraction of keys, always the same ones."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)
+
+
+#: Rows that an operator turns into Python objects at a time.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker's memory doesn't follow Arrow's batch size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
