@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: Encoded pieces that a Python worker remembers; the memory is emptied when full.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 300_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 64
 
@@ -170,23 +172,17 @@ class Memo(dict):
 
 
 class Codec:
-    """Encodes texts to ids and decodes ids to bytes."""
+    """Encodes texts to ids."""
 
     def __init__(self, ranks_path: str, pattern: str):
         ranks = read_ranks(ranks_path)
         self.split = splitter(pattern).findall
         self.memo = Memo(Backtracker(ranks).encode)
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = token
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
         return b"".join(map(self.memo.__getitem__, self.split(text))) if text else b""
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
-
 
 @lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str) -> Codec:
@@ -194,6 +190,16 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
+@lru_cache(maxsize=4)
+def token_bytes(ranks_path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = read_ranks(ranks_path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def id_lists(chunks: list[bytes]) -> pa.ListArray:
     """An Arrow list of 32-bit integers from serialized ids."""
     ends = np.cumsum([0] + [len(c) // 4 for c in chunks])
@@ -205,7 +211,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = id_lists([own.encode(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
@@ -213,16 +219,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """The rows of encode() with the bytes that the ids stand for, as ``decoded binary``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
-        for batch in batches:
+        of_id = token_bytes(ranks_path).__getitem__
+        for batch in slices(batches):
             column = batch.column(1)
             flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
             ends = ends - ends[0]
-            data = [own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+            data = [b"".join(map(of_id, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(data, pa.binary())], [id_col, "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -241,4 +247,4 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Documents encoded, decoded and summed up, one row each."""
-    return digests(decode(encode(docs, ranks_path, pattern), ranks_path, pattern))
+    return digests(decode(encode(docs, ranks_path, pattern), ranks_path))
