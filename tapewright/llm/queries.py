@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_quality, secret_scan, token_counts
+from . import byte_bpe, language_id, line_quality, ngram_join, secret_scan, token_counts, token_files
 from .shared import Scratch, table
 
 
@@ -49,12 +50,24 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.with_verdict(line_quality.label(docs, field))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = Scratch(spark).path("token-files")
+    token_files.write(table(spark, sf_dir, "documents"), place, tokenizer_file("byte_bpe_50k.json"), pattern(), 2)
+    return token_files.records(spark, place).withColumnRenamed("id", "doc_id")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_id": op5_language_id,
     "op7_line_quality": op7_line_quality,
+    "op8_token_files": op8_token_files,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 #: SQL for DuckDB, where SQL can express the query.
