@@ -269,7 +269,7 @@ def _predict(docs: DataFrame, shared, extra: list[str], text_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*extra, "lang_pred", "score", "cross_entropy", "n_symbols"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    return docs.select(*extra, text_col).mapInArrow(run, kinds + RESULT)
+    return docs.select(*extra, F.col(text_col).alias("__text")).mapInArrow(run, kinds + RESULT)
 
 
 def length_bin(n: Column) -> Column:
@@ -297,7 +297,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns to keep of docs (not the text) with lang_pred, score, cross_entropy, n_symbols and rejected."""
+    """Columns to keep of docs with lang_pred, score, cross_entropy, n_symbols and rejected."""
     spark = docs.sparkSession
     found = _predict(docs, spark.sparkContext.broadcast(model), keep, text_col)
     by_lang = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_quality, ngram_join, secret_scan, token_counts, token_files
+from . import byte_bpe, hnsw, language_id, line_quality, mixing, ngram_join, oracles, preferences, secret_scan, token_counts, token_files
 from .shared import Scratch, table
 
 
@@ -29,6 +29,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(Scratch(spark).cut(token_counts.histogram(lengths), "lengths"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.search_all(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -44,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_pairs(preferences.stale_answer_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = line_quality.train(docs, table(spark, sf_dir, "labels"))
@@ -56,19 +65,30 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.records(spark, place).withColumnRenamed("id", "doc_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("doc_id", "source", F.col("stream").cast("long").alias("stream"), "block", "slot", F.col("place").cast("long").alias("place"), "position")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_hnsw": op2_hnsw,
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_id": op5_language_id,
+    "op6_preferences": op6_preferences,
     "op7_line_quality": op7_line_quality,
     "op8_token_files": op8_token_files,
+    "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
 }
 
 #: SQL for DuckDB, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_preferences": oracles.PREFERENCES,
+    "op9_mixing": oracles.mixing(),
+}

@@ -39,6 +39,8 @@ from .shared import Scratch, slices
 
 SCOPE = 200
 CELL = 512
+#: Up to so many texts with spans are broadcast when they are masked; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 #: Kinds in the order in which spans of the same start are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "account", "opaque", "short", "endpoint")
 ROLE_OF = {"assign": "secret", "access": "access", "hex": "secret", "account": "access", "opaque": "secret", "short": "secret", "endpoint": "endpoint"}
@@ -151,6 +153,28 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", F.element_at(kinds, p["rank"] + 1), p["start"].cast("string"), p["end"].cast("string"))), ",")
 
 
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each run of overlapping spans replaced by a mark."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    step = lambda a, p: F.struct(
+        F.greatest(a["at"], p["end"]).alias("at"),
+        F.when(p["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (p["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
+    )
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all found spans masked in the text. What is found depends on the text alone, so texts are met by their hash."""
+    scratch = Scratch(docs.sparkSession)
+    hashed = docs.select(F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
+    found = scan(hashed, "__hash", "text").filter("size(spans) > 0").groupBy("__hash").agg(F.first("spans").alias("__spans"))
+    found = scratch.cut(found, "spans")
+    short = found.count() <= BROADCAST_ROWS
+    met = docs.withColumn("__hash", F.xxhash64(text_col)).join(F.broadcast(found) if short else found, "__hash", "left")
+    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
+    return met.withColumn(text_col, text).select(*docs.columns)
+
+
 def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count = lambda rank: F.size(F.filter("base", lambda p: p["rank"] == rank)).cast("long")
     return scanned.select(
