@@ -152,22 +152,28 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label): every node of edges (node, hub) with the smallest node of its component.
+    """(node, label): every node of edges (node, hub) with the smallest hub of its component. Hubs are nodes with an edge to themselves.
 
-    Each round a node takes the smallest label among its neighbours, and then
-    that label's own label, so the number of rounds grows with the logarithm of
-    a component's width. Neighbours are aggregated before they are shuffled.
+    Nodes are first drawn into the smallest of their hubs; what is left is a
+    small graph of hubs that share a node. There, in each round, a hub takes
+    the smallest label among its neighbours, and then that label's own label,
+    so the number of rounds grows with the logarithm of a component's width.
+    A node has as many hubs as bands, or as pairs of blocks it is in.
     """
-    both = scratch.cut(edges.filter("node != hub").select("node", "hub").union(edges.filter("node != hub").select(F.col("hub"), F.col("node"))).distinct(), "edges")
+    nodes = scratch.cut(edges.groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs")), "nodes")
+    pairs = nodes.select(F.col("hubs")[0].alias("node"), F.explode(F.slice("hubs", 2, 1 << 30)).alias("hub")).distinct()
+    both = scratch.cut(pairs.union(pairs.select("hub", "node")).distinct(), "edges")
     labels = scratch.cut(both.groupBy("node").agg(F.least(F.min("hub"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "hub", "label": "near"}), "hub").groupBy("node").agg(F.min("near").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         heads = stepped.select(F.col("node").alias("head"), F.col("label").alias("jumped"))
         new = scratch.cut(stepped.join(heads, F.col("label") == F.col("head"), "left").select("node", "old", F.least("label", F.coalesce("jumped", "label")).alias("label")), "labels")
-        if new.filter("label != old").isEmpty():
-            return new.select("node", "label")
         labels = new.select("node", "label")
+        if new.filter("label != old").isEmpty():
+            break
+    drawn = nodes.select("node", F.col("hubs")[0].alias("hub"))
+    return drawn.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("node", F.coalesce("label", "hub").alias("label"))
 
 
 def _verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
