@@ -185,3 +185,31 @@ def year_start(day: Column) -> Column:
 def retention_boundary(day: Column, weeks: int) -> Column:
     """Monday of the day's week, some weeks earlier; whole weeks before it may go."""
     return F.date_sub(week_start(day), 7 * weeks)
+
+
+# Words whose case is their own.
+ENTITY_FORMS = {"inc": "Inc", "corp": "Corp", "ltd": "Ltd", "plc": "plc", "llc": "LLC", "lp": "LP", "nv": "N.V.", "ag": "AG", "sa": "S.A."}
+
+
+def mixed_case(name: Column) -> Column:
+    return F.coalesce(name.rlike("[a-z]") & name.rlike("[A-Z]"), F.lit(False))
+
+
+def title_case(name: Column) -> Column:
+    """A name in capitals with each word's first letter kept large and entity words in their own form; other names as they are."""
+
+    def one(word: Column) -> Column:
+        bare = F.regexp_replace(word, "[^a-z]", "")
+        form = F.create_map(*[F.lit(x) for pair in ENTITY_FORMS.items() for x in pair])[bare]
+        tail = F.regexp_extract(word, "([^a-z0-9]*)$", 1)
+        plain = F.concat(F.upper(F.substring(word, 1, 1)), F.regexp_replace(word, "^.", ""))
+        return F.coalesce(F.concat(form, tail), plain)
+
+    words = F.transform(F.split(F.lower(name), r"\s+"), one)
+    return F.when(mixed_case(name) | ~name.rlike("[A-Z]"), name).otherwise(F.array_join(words, " "))
+
+
+def better_name(listed_name: Column, title: Column) -> Column:
+    """The title, unless only the listed name is in mixed case; titles in capitals are put in title case."""
+    prefer = F.coalesce(F.trim(listed_name) == "", F.lit(True)) | mixed_case(title) | ~mixed_case(listed_name)
+    return F.when(title.isNotNull() & prefer, title_case(title)).otherwise(listed_name)

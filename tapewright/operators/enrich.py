@@ -84,3 +84,43 @@ def merge(events: DataFrame, found: DataFrame, key: str = "event_id") -> DataFra
     e, f = events.alias("e"), found.alias("f")
     columns = [F.coalesce(f"f.{c}", f"e.{c}").alias(c) if c in found.columns and c != key else F.col(f"e.{c}") for c in events.columns]
     return e.join(f, F.col(f"e.{key}") == F.col(f"f.{key}"), "left").select(*columns, *[F.col(f"f.{c}") for c in found.columns if c not in events.columns])
+
+
+def book_requests(events: DataFrame, recovery_ns: int) -> DataFrame:
+    """Times at which events need the book: at their start, and for withdrawals also at their end and some time later."""
+    at = F.struct(F.lit("at").alias("role"), F.col("ts_nanos").alias("ts_nanos"))
+    end = F.coalesce("ts_end_nanos", "ts_nanos")
+    later = F.array(F.struct(F.lit("after").alias("role"), end.alias("ts_nanos")), F.struct(F.lit("recovery").alias("role"), (end + recovery_ns).alias("ts_nanos")))
+    roles = F.when(F.col("scorer_id") == "liquidity_withdrawal", F.concat(F.array(at), later)).when(F.col("scorer_id").isin("halt", "layering", "sweep"), F.array(at))
+    return events.select("event_id", "trading_date", "symbol", F.inline(roles))
+
+
+def book_facts(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """What the book adds to events, from best prices of their requests (event_id, role, best_prices columns).
+
+    Spread at a halt; a sweep's effective spread against the middle; how far a
+    layer's prices lie from the touch; the share of the book that a withdrawal
+    removed (if not negative), and the share that had come back later; the
+    imbalance of depth. Events have min_price_raw, max_price_raw and side, null
+    where they have none.
+    """
+    of = lambda role, name: F.max(F.when(F.col("role") == role, F.col(name)))
+    total = F.col("bid_total") + F.col("ask_total")
+    by_event = snapshots.withColumn("total", total).groupBy("event_id").agg(*[of("at", n).alias(n) for n in ("bid_price_raw", "ask_price_raw", "bid_total", "ask_total")], of("at", "total").alias("before"), of("after", "total").alias("after"), of("recovery", "total").alias("recovery"))
+    rows = events.join(by_event, "event_id")
+    mid = (F.col("bid_price_raw") + F.col("ask_price_raw")) / 2.0
+    spread = F.col("ask_price_raw") - F.col("bid_price_raw")
+    touch = F.when(F.col("side") == "5", F.col("ask_price_raw")).when(F.col("side") == "8", F.col("bid_price_raw"))
+    away = [F.abs(F.col(c) - touch) / touch * 10_000.0 for c in ("min_price_raw", "max_price_raw")]
+    own = lambda scorer, value: F.when(F.col("scorer_id") == scorer, value)
+    removed = (F.col("before") - F.col("after")) / F.col("before") * 100.0
+    return rows.select(
+        "event_id",
+        own("halt", F.when(spread > 0, spread / mid * 10_000.0)).alias("halt_spread_bps"),
+        own("sweep", stats.effective_spread_bps((F.col("min_price_raw") + F.col("max_price_raw")) / 2.0, mid)).alias("effective_spread_bps"),
+        own("layering", F.least(*away)).alias("near_bps"),
+        own("layering", F.greatest(*away)).alias("far_bps"),
+        own("liquidity_withdrawal", F.when((F.col("before") > 0) & (removed >= 0), removed)).alias("removed_pct"),
+        own("liquidity_withdrawal", F.when(F.col("before") > 0, F.col("recovery") / F.col("before") * 100.0)).alias("recovered_pct"),
+        F.when(F.col("scorer_id") != "liquidity_withdrawal", stats.depth_imbalance(F.col("bid_total"), F.col("ask_total"))).alias("depth_imbalance"),
+    )

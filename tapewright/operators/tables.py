@@ -190,3 +190,18 @@ def touched_periods(days: DataFrame) -> DataFrame:
     """Weeks, quarters and years that days fall into."""
     kinds = F.array(*[F.struct(F.lit(n).alias("kind"), f(F.col("day")).alias("start")) for n, f in (("week", fmt.week_start), ("quarter", fmt.quarter_start), ("year", fmt.year_start))])
     return days.select(F.inline(kinds)).distinct()
+
+
+def published_dates(selected: DataFrame) -> DataFrame:
+    """Dates that have published events, with counts."""
+    return selected.groupBy("trading_date").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("symbol").alias("n_symbols"))
+
+
+def one_day(selected: DataFrame, day: str | None = None) -> DataFrame:
+    """A day's events by scorer and rank, by default the latest day's."""
+    when = selected.agg(F.max("trading_date").alias("trading_date")) if day is None else selected.select(F.lit(day).cast("date").alias("trading_date")).limit(1)
+    return selected.join(F.broadcast(when), "trading_date").select("trading_date", "scorer_id", "narration_rank", "event_id", "symbol", "score")  # one row
+
+
+def one_symbol(selected: DataFrame, symbol: str) -> DataFrame:
+    return selected.filter(F.col("symbol") == symbol).groupBy("symbol", "trading_date").agg(F.count(F.lit(1)).alias("n_events"), F.max("score").alias("top_score"))
