@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.patterns import first_rows
 
 # Exchange codes of listing files.
-EXCHANGES = {"A": "NYSE MKT", "N": "NYSE", "P": "NYSE Arca", "Z": "BATS", "V": "IEX", "Q": "NASDAQ"}
+EXCHANGES = {"A": "NYSE MKT", "N": "NYSE", "P": "NYSE Arca", "Z": "Cboe BZX", "V": "IEX"}
 
 
 def read_listing(spark: SparkSession, path: str, symbol: str = "Symbol", name: str = "Security Name", exchange: str | None = None) -> DataFrame:
