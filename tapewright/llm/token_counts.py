@@ -21,7 +21,7 @@ from .byte_bpe import codec
 from .shared import slices
 
 #: Lengths of one block of the two-level running sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
