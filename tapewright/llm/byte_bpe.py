@@ -21,17 +21,16 @@ import base64
 import re
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import held, slices
 
 #: Encoded pieces that a Python worker remembers; the memory is emptied when full.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 250_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 64
 
@@ -193,13 +192,11 @@ class Codec:
         return b"".join(map(self.memo.__getitem__, self.split(text))) if text else b""
 
 
-@lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One for each Python worker."""
-    return Codec(ranks_path, pattern)
+    return held(("byte_bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
-@lru_cache(maxsize=4)
 def token_bytes(ranks_path: str) -> list[bytes]:
     """The bytes of each id."""
     ranks = read_ranks(ranks_path)
@@ -232,7 +229,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     """The rows of encode() with the bytes that the ids stand for, as ``decoded binary``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_id = token_bytes(ranks_path).__getitem__
+        of_id = held(("token_bytes", ranks_path), lambda: token_bytes(ranks_path)).__getitem__
         for batch in slices(batches):
             column = batch.column(1)
             flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
@@ -244,6 +241,20 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode() of encode(), by one Python worker for each task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of_id = held(("byte_bpe", ranks_path, pattern, "both"), lambda: (Codec(ranks_path, pattern), token_bytes(ranks_path).__getitem__))
+        for batch in slices(batches):
+            chunks = [own.encode(t) for t in batch.column(1).to_pylist()]
+            data = [b"".join(map(of_id, np.frombuffer(c, "<i4").tolist())) for c in chunks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(chunks), pa.array(data, pa.binary())], [id_col, "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and hashes of what decode() returns."""
     return decoded.select(
@@ -256,4 +267,4 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Documents encoded, decoded and summed up, one row each."""
-    return digests(decode(encode(docs, ranks_path, pattern), ranks_path))
+    return digests(encode_and_decode(docs, ranks_path, pattern))

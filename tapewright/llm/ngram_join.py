@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, slices
+from .shared import Scratch, held, slices
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -51,7 +51,7 @@ HASHES = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-6
 BLOCK = 256
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 #: Lists of keys up to this many rows of a few numbers are broadcast, longer ones joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -66,7 +66,6 @@ class _WordHashes(dict):
         return value
 
 
-_WORD_HASHES = _WordHashes()
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -75,7 +74,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = WORDS(text.lower()) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(held("ngram_join", _WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(WIDTH, len(words))
     with np.errstate(over="ignore"):
         mixed = np.full(len(words) - width + 1, width, np.uint64)
