@@ -8,10 +8,13 @@ with one column of probabilities for each language. A text's cross-entropy
 under a model is its negative log probability by predicted character, in nats;
 the language of the lowest one wins, ties by name.
 
-Rejection is calibrated on labelled documents kept out of the counts: a text
-is rejected if its cross-entropy is above that of texts of about its length,
-by more than SLACK of their standard deviations over their mean and above the
-highest one seen. A text without letters is always rejected, as ``und``.
+Rejection is calibrated on labelled documents kept out of the counts. A text
+of LEAST_SYMBOLS characters or more is rejected if no language fits it better
+than the other languages fit texts of the one predicted: if its lowest
+cross-entropy is above the mean one that those texts have under the other
+models, and above the highest one that they have under their own. So texts of
+several languages, or with odd passages, stay. A text without letters is always
+rejected, as ``und``.
 
 The sample is bounded: about DOCS_PER_LANGUAGE documents of a language, and
 about DOCS_IN_ALL altogether, drawn by a hash of their ids. Predictions read
@@ -35,17 +38,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hash_fraction, slices
+from .shared import Scratch, hash_fraction, held, slices
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 1000
 DOCS_IN_ALL = 20_000
 #: One of so many sampled documents calibrates rejection.
 CALIBRATION_PART = 5
-SLACK = 8.0
-#: In shorter texts than 2 ** LEAST_BIN characters cross-entropy says too little to reject.
-LEAST_BIN = 5
-MEMO_WORDS = 250_000
+#: Shorter texts say too little to reject them.
+LEAST_SYMBOLS = 128
+#: With one language only: standard deviations over the mean cross-entropy.
+SLACK = 20.0
+MEMO_WORDS = 200_000
 CHUNK_CHARS = 1_000_000
 UNKNOWN = "und"
 
@@ -110,7 +114,7 @@ class Model:
     uniform: float
     keys: np.ndarray  # sorted hashes of the n-grams of the highest order that any language has
     logs: np.ndarray  # their log probabilities by language
-    limits: dict[tuple[str, int], float] = field(default_factory=dict)
+    limits: dict[str, float] = field(default_factory=dict)
 
     def probability(self, points: np.ndarray) -> np.ndarray:
         """Probabilities of the last of each row's code points after the others, by language."""
@@ -221,9 +225,6 @@ class Scorer:
         return sums[ends[1:]] - sums[ends[:-1]], counts[ends[1:]] - counts[ends[:-1]]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
     chunk, size = [], 0
     for text in texts:
@@ -236,7 +237,7 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield chunk
 
 
-RESULT = "lang_pred string, score double, cross_entropy double, n_symbols bigint"
+RESULT = "lang_pred string, score double, cross_entropy double, other_entropy double, n_symbols bigint"
 
 
 def _predict(docs: DataFrame, shared, extra: list[str], text_col: str) -> DataFrame:
@@ -244,13 +245,10 @@ def _predict(docs: DataFrame, shared, extra: list[str], text_col: str) -> DataFr
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _SCORERS.get(name)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[name] = Scorer(shared.value)
+        scorer = held(("language_id", name), lambda: Scorer(shared.value))
         languages = scorer.model.languages
         for batch in slices(batches):
-            langs, scores, entropies, sizes = [], [], [], []
+            langs, scores, entropies, others, sizes = [], [], [], [], []
             for chunk in _chunks(batch.column(batch.num_columns - 1).to_pylist()):
                 totals, counts = scorer.totals(chunk)
                 for total, n in zip(-totals, counts.tolist()):
@@ -260,22 +258,20 @@ def _predict(docs: DataFrame, shared, extra: list[str], text_col: str) -> DataFr
                         best = int(h.argmin())
                         langs.append(languages[best])
                         entropies.append(float(h[best]))
+                        others.append(float((h.sum() - h[best]) / (len(h) - 1)) if len(h) > 1 else None)
                         scores.append(float(1 / np.exp(-(h - h[best]) * min(n, 50)).sum()))
                     else:
                         langs.append(UNKNOWN)
                         entropies.append(None)
+                        others.append(None)
                         scores.append(0.0)
-            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*extra, "lang_pred", "score", "cross_entropy", "n_symbols"])
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(others, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*extra, "lang_pred", "score", "cross_entropy", "other_entropy", "n_symbols"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
     return docs.select(*extra, F.col(text_col).alias("__text")).mapInArrow(run, kinds + RESULT)
 
 
-def length_bin(n: Column) -> Column:
-    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
-
-
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of all languages of the labelled documents that are not held out, with limits of rejection.
 
@@ -289,23 +285,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model = build(counts)
     if model.languages:
         shared = spark.sparkContext.broadcast(model)
-        scored = _predict(sample.filter("calibrates"), shared, ["lang"], "text").filter("lang = lang_pred").withColumn("bin", length_bin(F.col("n_symbols")))
+        scored = _predict(sample.filter("calibrates"), shared, ["lang"], "text").filter(f"lang = lang_pred and n_symbols >= {LEAST_SYMBOLS}")
         h = F.col("cross_entropy")
-        limits = scored.groupBy("lang", "bin").agg(F.greatest(F.max(h), F.avg(h) + SLACK * F.coalesce(F.stddev_pop(h), F.lit(0.0))).alias("limit"), F.count(F.lit(1)).alias("n")).filter("n >= 20").collect()
-        model.limits = {(r.lang, r.bin): r.limit for r in limits}
+        alone = F.avg(h) + SLACK * F.coalesce(F.stddev_pop(h), F.lit(0.0))
+        limits = scored.groupBy("lang").agg(F.greatest(F.max(h), F.coalesce(F.avg("other_entropy"), alone)).alias("limit")).collect()
+        model.limits = {r.lang: r.limit for r in limits}
     return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns to keep of docs with lang_pred, score, cross_entropy, n_symbols and rejected."""
+    """Columns to keep of docs with RESULT and rejected."""
     spark = docs.sparkSession
     found = _predict(docs, spark.sparkContext.broadcast(model), keep, text_col)
-    by_lang = {}
-    for (lang, bin_), limit in sorted(model.limits.items()):
-        by_lang.setdefault(lang, {})[bin_] = limit
     limit = F.lit(math.inf)
-    for lang, bins in by_lang.items():
-        for bin_, value in bins.items():
-            if bin_ >= LEAST_BIN:
-                limit = F.when((F.col("lang_pred") == lang) & (length_bin(F.col("n_symbols")) == bin_), value).otherwise(limit)
-    return found.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | F.coalesce(F.col("cross_entropy") > limit, F.lit(False)))
+    for lang, value in sorted(model.limits.items()):
+        limit = F.when(F.col("lang_pred") == lang, value).otherwise(limit)
+    far = (F.col("n_symbols") >= LEAST_SYMBOLS) & F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
+    return found.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | far)
