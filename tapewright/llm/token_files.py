@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,14 +39,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import splitter
-from .shared import Scratch, hash_fraction, slices
+from .shared import Scratch, hash_fraction, held, slices
 
 SAMPLE_DOCS = 1000
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
-MEMO_PIECES = 300_000
+MEMO_PIECES = 400_000
 MEMO_LENGTH = 64
 
 
@@ -62,7 +63,7 @@ class Encoder(dict):
         before = parts["pre_tokenizer"] or {}
         self.by_piece = parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         self.end = np.array([end_id], self.kind).tobytes()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.model = splitter(pattern), self.tokenizer.model
@@ -72,7 +73,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in tokens], self.kind).tobytes()
+        ids = struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
         if len(piece) <= MEMO_LENGTH:
             if len(self) >= MEMO_PIECES:
                 self.clear()
@@ -89,9 +90,8 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text))) + self.end
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str, end_id: int) -> Encoder:
-    return Encoder(path, pattern, end_id)
+    return held(("token_files", path, pattern, end_id), lambda: Encoder(path, pattern, end_id))
 
 
 @lru_cache(maxsize=2)
