@@ -26,7 +26,7 @@ spread over its pairs of blocks; its rows grow with m * m / BLOCK.
 Edge cases: texts without words (null and empty ones too) have no n-grams, are
 linked with nothing and stay alone; repeated rows are copies of each other;
 null ids are allowed, and a group's class id is its smallest id that is not
-null; extra columns are ignored; an empty table gives an empty table.
+null, so two groups may have the same one, but are never taken as one; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -273,11 +273,13 @@ def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str =
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: row_id, id, text_hash, class_id and n_links.
+    """One row for each row of docs: row_id, id, text_hash, class_id, n_links and group_id.
 
     n_links counts the other documents that reach the threshold with this one,
     copies included; class_id is the smallest id of the group that such links
-    connect, the document's own if it has none.
+    connect, the document's own if it has none. Ids may be null or repeated, so
+    groups can have the same class_id; group_id, a row_id of the group, is the
+    group's key (null without n-grams).
     """
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.cut(sketch(docs, id_col, text_col), "sketches")
@@ -304,17 +306,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     groups = connected(links.select("node", "hub"), scratch)
     least = groups.join(classes.select("node", "least_id"), "node").groupBy("label").agg(F.min("least_id").alias("class_id"))
     linked = links.groupBy("node").agg(F.sum("linked").alias("linked"))
-    of_node = groups.join(least, "label").join(linked, "node").select("node", "class_id", "linked")
-    of_class = classes.select("set_key", "node", "least_id", "copies").join(of_node, "node", "left").select("set_key", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return sketched.join(of_class, "set_key", "left").select("row_id", "id", "text_hash", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_node = groups.join(least, "label").join(linked, "node").select("node", "label", "class_id", "linked")
+    of_class = classes.select("set_key", "node", "least_id", "copies").join(of_node, "node", "left").select("set_key", F.coalesce("label", "node").alias("group_id"), F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return sketched.join(of_class, "set_key", "left").select("row_id", "id", "text_hash", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group: that of the smallest id, then of the smallest hash of the text."""
     scratch = Scratch(docs.sparkSession)
     joined = scratch.cut(join(docs, id_col, text_col, threshold).filter("n_links > 0"), "groups")
-    chosen = joined.groupBy(F.col("class_id").alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "row_id")).alias("chosen"))
-    marked = joined.join(chosen, F.col("class_id").eqNullSafe(F.col("group"))).select("id", "text_hash", (F.col("row_id") == F.col("chosen.row_id")).alias("stays"))
+    chosen = joined.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "row_id")).alias("chosen"))
+    marked = joined.join(chosen, "group_id").select("id", "text_hash", (F.col("row_id") == F.col("chosen.row_id")).alias("stays"))
     of_key = scratch.cut(marked.groupBy(F.col("id").alias("key_id"), F.col("text_hash").alias("key_hash")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "keys")
     hashed, same = docs.withColumn("__hash", F.xxhash64(text_col)), F.col(id_col).eqNullSafe(F.col("key_id")) & (F.col("__hash") == F.col("key_hash"))
     # A row goes if its group keeps another one, or if the row that stays has equals, of which one is put back.

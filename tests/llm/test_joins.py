@@ -75,6 +75,19 @@ def test_repeated_rows_and_null_ids(spark):
     assert ngram_join.join(df.limit(0)).count() == 0 and ngram_join.keep_one(df.limit(0)).count() == 0
 
 
+def test_groups_of_equal_class_ids_stay_apart(spark):
+    rng = random.Random(8)
+    one, two, three, four = ([" ".join(rng.choice(WORDS) for _ in range(80))] * 2 for _ in range(4))
+    near = one[0] + " " + WORDS[0]  # a near copy, so that groups of several texts are met as well
+    rows = [(None, t) for t in [*one, near, *two]] + [(7, t) for t in three] + [(7, four[0]), (9, four[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = ngram_join.keep_one(df).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 7, 7]
+    assert {r.text for r in kept} in ({t, two[0], three[0], four[0]} for t in (one[0], near))
+    joined = ngram_join.join(df).collect()
+    assert len({r.group_id for r in joined}) == 4 and {r.class_id for r in joined} == {None, 7}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     from math import comb
 
