@@ -9,8 +9,10 @@ points with a role:
 * secrets: ``assign`` (a value of 6 characters or more assigned to a name such
   as password), ``hex`` (24 or more lower-case hexadecimal digits), and weakly
   ``opaque`` (a run of exactly 40 characters of the base64 alphabet with digits
-  and both cases) and ``short`` (an assigned value of less than 6 characters);
-* endpoints, always weak: ``endpoint`` (a URL, or an assigned host).
+  and both cases, also right after a name and '='), ``short`` (an assigned value
+  of less than 6 characters) and ``secret_key`` (a value assigned to a secret
+  access key, which is no account name);
+* endpoints, always weak: ``endpoint`` (a URL, or an assigned host, in any case).
 
 The strong kinds are always reported. A weak part is reported only if a part
 of another role lies in its scope, that is, overlaps the interval that reaches
@@ -42,17 +44,18 @@ CELL = 512
 #: Up to so many texts with spans are broadcast when they are masked; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Kinds in the order in which spans of the same start are listed; the first three are strong.
-KINDS = ("assign", "access", "hex", "account", "opaque", "short", "endpoint")
-ROLE_OF = {"assign": "secret", "access": "access", "hex": "secret", "account": "access", "opaque": "secret", "short": "secret", "endpoint": "endpoint"}
+KINDS = ("assign", "access", "hex", "account", "opaque", "short", "endpoint", "secret_key")
+ROLE_OF = {"assign": "secret", "access": "access", "hex": "secret", "account": "access", "opaque": "secret", "short": "secret", "endpoint": "endpoint", "secret_key": "secret"}
 
 # Fixed patterns of the strong kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Patterns of the weak kinds.
-ACCOUNT = re.compile(r"""(?:user(?:name)?|account|client|access)(?:[_-]?(?:id|name|key))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{4,})""", re.IGNORECASE | re.ASCII)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.-])")
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|(?:host|endpoint|server)(?:name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.-]+(?::[0-9]+)?""", re.ASCII)
+ACCOUNT = re.compile(r"""(?:user(?:name)?|account|client|(?<!secret)(?<!secret[_\x20-])access)(?:[_-]?(?:id|name|key))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{4,})""", re.IGNORECASE | re.ASCII)
+OPAQUE = re.compile(r"""(?:(?<![A-Za-z0-9+/=_.-])|(?<=[A-Za-z0-9_"'\x20:\])]=))[A-Za-z0-9+/]{40}(?!\.*[A-Za-z0-9+/_-])""")
+SECRET_KEY = re.compile(r"""secret[_\x20-]?access[_\x20-]?key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|(?:host|endpoint|server)(?:name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.-]+(?::[0-9]+)?""", re.IGNORECASE | re.ASCII)
 ASSIGNED_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCOUNT_NAMES = ("user", "account", "client", "access")
 
@@ -72,7 +75,9 @@ def parts_of(text: str | None) -> list[tuple[int, int, int]]:
     strong += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(name in lower for name in ACCOUNT_NAMES):
         weak += [(m.start(), 3, m.end()) for m in ACCOUNT.finditer(text)]
-    if "://" in text or "host" in text or "endpoint" in text or "server" in text:
+    if "secret" in lower and "access" in lower:
+        weak += [(m.start(), 7, m.end()) for m in SECRET_KEY.finditer(text)]
+    if "://" in text or "host" in lower or "endpoint" in lower or "server" in lower:
         weak += [(m.start(), 6, m.end()) for m in ENDPOINT.finditer(text)]
     if strong or weak:
         weak += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if any(c.isdigit() for c in m[0]) and m[0].upper() != m[0] != m[0].lower()]

@@ -50,6 +50,27 @@ def test_secret_spans(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_assigned_key_pairs_are_masked(spark):
+    key, secret = "AKIA" + "IOSFODNN7EXAMPLE", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = {
+        1: f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={secret}\n",
+        2: f"aws_access_key_id = {key}, aws_secret_access_key = '{secret[:30]}'",
+        3: f"The id is {key} and the key is {secret}.",
+        4: f"DB_HOST=db.example.com and then {secret}",
+        5: f"{secret} at HTTPS://db.example.com",
+        6: f"id {key} with MY_KEY={secret}",
+        7: f"AWS_SECRET_ACCESS_KEY={secret}",
+        8: f"id {key} and a file {secret}.txt",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    masked = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for k in (1, 2, 3, 4, 5, 6):
+        assert key not in masked[k] and secret[:13] not in masked[k] and secret[14:30] not in masked[k], masked[k]
+    assert masked[4].startswith("DB_[secret]") and masked[3] == "The id is [secret] and the key is [secret]."
+    assert masked[7] == texts[7]  # a secret alone, its name isn't an account of its own
+    assert masked[8].endswith(f"{secret}.txt")
+
+
 def test_language_model_sums_to_one():
     counts = {"x": collections.Counter(), "y": collections.Counter()}
     rng = random.Random(1)
