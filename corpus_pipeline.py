@@ -54,8 +54,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the mix."""
-    return mixing.mix(docs)
+    """All documents, stored in the order of the mix; every source has a share of its own."""
+    return mixing.mix(docs, **mixing.weights_by_source(docs))
 
 
 @_stage

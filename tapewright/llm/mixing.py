@@ -8,6 +8,7 @@ of the released blocks, that of the earliest deadline, ties by larger share and
 then by stream. So, in every prefix, each stream's blocks differ from its share
 by less than one. When a stream runs out, the others start anew with their
 shares, and the same holds from there: no row is dropped or repeated.
+weights_by_source() gives each source that occurs a stream of its own.
 
 Such a schedule repeats after q slots. Only the q slots of each phase are
 worked out in advance, from the shares and the streams' numbers of documents,
@@ -21,6 +22,9 @@ is called as one of those added is kept by mix().
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +33,37 @@ ROWS_OF_BUCKET = 2000
 #: Shares of the streams, and of all other sources together.
 SHARES = {"src0": 6, "src1": 4, "src2": 3, "src3": 2}
 REST = 5
+#: Periods and their slots are worked out on the driver and grow with the streams; more sources than this are an error, never merged.
+MAX_SOURCES = 128
+
+
+def weights_by_source(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST, source_col: str = "source") -> dict:
+    """shares and rest, as options of schedule() and mix(), with an own share for every source in docs.
+
+    Listed sources keep their part of the mix. The part of the rest is dealt in
+    equal shares to the sources that aren't listed; null is one of them.
+    """
+    found = [r[0] for r in docs.select(source_col).distinct().limit(MAX_SOURCES + 1).collect()]
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: give shares for those to be scheduled on their own")
+    others = sorted(s for s in found if s is not None and s not in shares)
+    n = max(1, len(others) + (None in found))
+    unit = math.gcd(rest, *(a * n for a in shares.values()))
+    return {"shares": {**{s: a * n // unit for s, a in shares.items()}, **dict.fromkeys(others, rest // unit)}, "rest": rest // unit}
 
 
 def one_period(shares: dict[int, int]) -> dict[int, list[int]]:
     """The slots of each stream's blocks in one period, by earliest deadline."""
     total, taken = sum(shares.values()), {k: [] for k in shares}
+    due, waiting = [], [(0, k) for k in shares]  # heaps of released blocks by deadline, and of later ones by release time
     for slot in range(total):
-        released = [(-(-(len(taken[k]) + 1) * total // a), -a, k) for k, a in shares.items() if len(taken[k]) < a and len(taken[k]) * total // a <= slot]
-        taken[min(released)[2]].append(slot)
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(due, (-(-(len(taken[k]) + 1) * total // shares[k]), -shares[k], k))
+        k = heapq.heappop(due)[2]
+        taken[k].append(slot)
+        if len(taken[k]) < shares[k]:
+            heapq.heappush(waiting, (len(taken[k]) * total // shares[k], k))
     return taken
 
 

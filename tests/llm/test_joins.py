@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tapewright.llm import hnsw, mixing, ngram_join
@@ -160,3 +161,34 @@ def test_mix_follows_deadlines(spark):
     order = {r.k: r.position for r in mixing.schedule(df.withColumnsRenamed({"block": "k", "position": "p"}).select("doc_id", "source", "text", "k", "p"), block=4).collect()}
     assert sorted(r.block for r in mixed.collect()) == sorted(order)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_every_source_has_its_own_share(spark):
+    import corpus_pipeline
+
+    sizes = {"src0": 160, "src1": 120, "src2": 100, "src3": 80, "hot": 900, **{f"src{k}": 48 for k in range(4, 12)}, None: 48}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string")
+    options = mixing.weights_by_source(df)
+    names, total = [*options["shares"], None], sum(options["shares"].values()) + options["rest"]
+    of_name = dict(zip(names, [*options["shares"].values(), options["rest"]]))
+    assert set(of_name) == set(sizes) and all(of_name[s] * 20 == a * total for s, a in mixing.SHARES.items())
+    assert {of_name[s] * 20 * 10 for s in sizes if s not in mixing.SHARES} == {mixing.REST * total}
+    blocks = {k: -(-sizes[s] // mixing.BLOCK) for k, s in enumerate(names)}
+    want = slots_by_simulation(dict(enumerate(of_name.values())), blocks)
+    at = {(r.stream, r.block): r.slot for r in mixing.schedule(df, **options).collect()}
+    assert at == {b: slot for slot, b in enumerate(want)}
+    mixed = [r.source for r in corpus_pipeline.mix_sources(spark, df, "").collect()]
+    assert collections.Counter(mixed) == sizes
+    runs, start = [], 0
+    for k, block in want:
+        length = min(mixing.BLOCK, sizes[names[k]] - block * mixing.BLOCK)
+        runs.append(set(mixed[start : start + length]) == {names[k]})
+        start += length
+    assert all(runs)
+
+
+def test_too_many_sources_are_an_error(spark):
+    df = spark.range(mixing.MAX_SOURCES + 1).selectExpr("id as doc_id", "cast(id as string) as source")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.weights_by_source(df)
