@@ -70,7 +70,7 @@ def day_summary(spark, sf_dir):
 
 @query("select trading_date, n_events || ' events on ' || n_symbols || ' symbols; most were ' || dominant_scorer_id || ' (' || dominant_scorer_id_events || '), led by ' || dominant_symbol bullet from summary where n_events < 1000", SUMMARY)
 def day_bullets(spark, sf_dir):
-    return tables.bullets(tables.day_summary(ev.events(spark, sf_dir)).filter("n_events < 1000"))
+    return tables.bullets(tables.day_summary(ev.events(spark, sf_dir)))
 
 
 @query("""select trading_date, prior_trading_date, n_events, prior_n_events, cast(floor((n_events - prior_n_events) * 100.0 / prior_n_events + 0.5) as bigint) change_pct, dominant_scorer_id = ps scorer_persisted, dominant_symbol = py symbol_persisted from (
