@@ -304,6 +304,11 @@ def realized_vol(spark, sf_dir):
 @query(f"""select symbol, n, {ev.r6('(sq / 10 - mean * mean) / mean')} fano, {ev.r6('case when (sq / 10 - mean * mean) / mean > 1 then least(0.999, 1 - 1 / sqrt((sq / 10 - mean * mean) / mean)) end')} branching from (
   select symbol, sum(c) n, cast(sum(c * c) as double) sq, sum(c) / 10.0 mean from (select symbol, b, count(*) c from (select t.symbol, least(cast(floor((ts_nanos - lo) / cast(hi - lo as double) * 10) as integer), 9) b from trades t join (select symbol, min(ts_nanos) lo, max(ts_nanos) hi from trades group by 1) r using (symbol)) group by 1, 2) group by 1)""")
 def fano(spark, sf_dir):
-    times = fx.trades(spark, sf_dir).groupBy("symbol").agg(F.collect_list("ts_nanos").alias("t"))
-    f = stats.fano(F.col("t"), 10)
-    return ev.rounded(times.select("symbol", F.size("t").cast("bigint").alias("n"), f.alias("fano"), stats.branching_ratio(f).alias("branching")), "fano", "branching")
+    trades = fx.trades(spark, sf_dir).select("symbol", "ts_nanos")
+    spans = trades.groupBy("symbol").agg(F.min("ts_nanos").alias("low"), (F.max("ts_nanos") - F.min("ts_nanos")).alias("span"))
+    in_bin = F.when(F.col("span") > 0, F.least(F.floor((F.col("ts_nanos") - F.col("low")) / F.col("span") * 10), F.lit(9)))
+    counts = trades.join(F.broadcast(spans), "symbol").groupBy("symbol", "span", in_bin.alias("bin")).agg(F.count(F.lit(1)).alias("c"))  # one row of spans for each symbol
+    sums = counts.groupBy("symbol", "span").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
+    mean = F.col("n") / 10.0
+    f = F.when((F.col("n") >= 2) & (F.col("span") > 0), (F.col("squares") / 10 - mean * mean) / mean)
+    return ev.rounded(sums.select("symbol", "n", f.alias("fano"), stats.branching_ratio(f).alias("branching")), "fano", "branching")
