@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by largest inner product.
 
-Vectors are dealt by a hash of their id into shards of about SHARD_ROWS, and
-each shard gets a hierarchical navigable small-world graph, kept as flat arrays
-of neighbour numbers. Every query searches every shard, in blocks of queries,
-and the shards' results are merged.
+Vectors are dealt by a hash into shards of about SHARD_ROWS, and each shard
+gets a hierarchical navigable small-world graph, kept as flat arrays of
+neighbour numbers. Every query searches every shard, in blocks of queries, and
+the shards' results are merged.
 
-A largest inner product is made a nearest neighbour: every vector gets one more
-component that brings it to the length of the longest one, and a query gets 0
-there, so the order by distance is that by inner product. Graphs are built in
-batches of growing size: the vectors of a batch search the graph so far,
-together, one numpy step for all, and are also compared with each other.
+The graph itself is built by inner product: a vector is linked with those of
+the largest inner product with it, so long vectors, which are the likely
+answers, have most links. Graphs are built in batches of growing size: the
+vectors of a batch search the graph so far, together, one numpy step for all,
+and are also compared with each other.
 
 The index holds every vector; SHARD_ROWS, LINKS, BUILD_WIDTH and SEARCH_WIDTH
-trade time for recall.
+trade time for recall. A search of a graph takes about as long however large it
+is, so the work of all queries grows with their number times the number of
+shards, and larger shards, with a wider search, are the way to lower it.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do null ids; vectors of different lengths are
 never compared; equal scores are ordered by id; with repeated ids each row is a
-candidate, and a query never finds rows of its own id; an empty table gives an
-empty table; extra columns are ignored.
+candidate, and a query row never finds rows of its own id; repeated query rows
+each search, and the best NEAREST of all they find are given once for the id;
+an inner product beyond the largest double is infinite, and one that is not a
+number makes no pair; an empty table gives an empty table; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-SHARD_ROWS = 8192
-LINKS = 16  # of a node in upper layers; twice as many in the lowest
-BUILD_WIDTH = 64
-SEARCH_WIDTH = 128
+SHARD_ROWS = 16_384
+LINKS = 24  # of a node in upper layers; twice as many in the lowest
+BUILD_WIDTH = 96
+SEARCH_WIDTH = 192
 NEAREST = 20
 QUERY_BLOCK = 256
 BATCH = 256
@@ -83,7 +88,7 @@ def search_layer(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, en
 
 
 def choose(vectors: np.ndarray, candidates: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
-    """Of each row's candidates, best first, up to ``most`` that are nearer to the row's node than to any chosen before; -1 fills up.
+    """Of each row's candidates, best first, up to ``most`` with a larger inner product with the row's node than with any chosen before; -1 fills up.
 
     Places that stay free are filled with the best of the others.
     """
@@ -95,7 +100,6 @@ def choose(vectors: np.ndarray, candidates: np.ndarray, scores: np.ndarray, most
     own = (vectors**2).sum(1)[candidates]
     usable = candidates >= 0
     for c in range(size):
-        # Lengths are equal, so a larger inner product is a smaller distance.
         take = usable[:, c] & (left > 0) & (closest[:, c] < scores[:, c]) & (own[:, c] > 0)
         chosen[:, c] = take
         left -= take
@@ -140,6 +144,8 @@ class Layer:
         return ids
 
     def _link_back(self, nodes: np.ndarray, others: np.ndarray) -> None:
+        if not len(nodes):
+            return
         order = np.argsort(nodes, kind="stable")
         nodes, others = nodes[order], others[order]
         at, starts, counts = np.unique(nodes, return_index=True, return_counts=True)
@@ -212,27 +218,29 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """In single precision, divided by the largest component, so that nothing overflows and the order of inner products stays."""
+    return (vectors / np.abs(vectors).max()).astype(np.float32)
+
+
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row for each shard: shard, size, ids, vectors (doubles in graph order), layers (flat 32-bit neighbour arrays) and their widths."""
+    """One row for each shard and length of vectors: shard, size, ids, vectors (doubles in graph order), layers (flat 32-bit neighbour arrays) and their widths.
+
+    shards, the same in all rows, is the number of shards.
+    """
     rows = usable(vectors, id_col, vector_col)
-    longest = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    stats = {r.size: (r.n, r.longest) for r in rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), longest.alias("longest")).collect()}  # one row for each length of vectors
-    shards = F.lit(1)
-    for size, (n, _) in stats.items():
-        shards = F.when(F.col("size") == size, -(-n // SHARD_ROWS)).otherwise(shards)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def built():
-            size = key[1]
             ids, matrix = np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
             order = np.lexsort((matrix[:, 0], ids))  # the same graph however rows arrive
             ids, matrix = ids[order], matrix[order]
-            more = np.sqrt(np.maximum(stats[size][1] - (matrix**2).sum(1), 0))
-            order, layers = build(np.column_stack([matrix, more]).astype(np.float32))
-            row = [key[0], size, ids[order].astype("<i8").tobytes(), matrix[order].tobytes(), more[order].tobytes(), [x.astype("<i4").tobytes() for x in layers], [x.shape[1] for x in layers]]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "size", "ids", "vectors", "more", "layers", "widths"])
+            order, layers = build(scaled(matrix))
+            row = [key[0], key[1], shards, ids[order].astype("<i8").tobytes(), matrix[order].tobytes(), [x.astype("<i4").tobytes() for x in layers], [x.shape[1] for x in layers]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "size", "shards", "ids", "vectors", "layers", "widths"])
 
         key, parts = None, []
         for batch in batches:
@@ -250,23 +258,23 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         if parts:
             yield built()
 
-    total = max(1, sum(-(-n // SHARD_ROWS) for n, _ in stats.values()))
-    sorted_ = dealt.select("shard", "size", "id", "v").repartition(total, "size", "shard").sortWithinPartitions("size", "shard")
-    return sorted_.mapInArrow(run, "shard int, size int, ids binary, vectors binary, more binary, layers array<binary>, widths array<int>")
+    sorted_ = dealt.select("shard", "size", "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "size")
+    return sorted_.mapInArrow(run, "shard int, size int, shards int, ids binary, vectors binary, layers array<binary>, widths array<int>")
 
 
 def query_blocks(queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """size, block, ids, and vectors of up to about QUERY_BLOCK queries each."""
     rows = usable(queries, id_col, vector_col)
     count = max(1, -(-rows.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(count)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("id", "v", F.lit("block")), F.lit(count)).cast("int").alias("block")
     return rows.groupBy("size", block).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows")).select("size", "block", "rows.id", F.flatten("rows.v").alias("v"))
 
 
 def nearest(indexed: DataFrame, blocks: DataFrame, nearest_k: int = NEAREST, width: int = SEARCH_WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score: of the candidates found, those of the largest inner product, in doubles."""
-    shards = indexed.groupBy("size").agg(F.max("shard").alias("last"))
-    dealt = blocks.join(F.broadcast(shards), "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last"))))  # one row for each length of vectors
+    first = indexed.select("shards").first()
+    shards = first.shards if first else 1
+    dealt = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = indexed.join(dealt.select("size", "shard", F.col("id").alias("query_ids"), "v"), ["size", "shard"]).sortWithinPartitions("size", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,18 +285,19 @@ def nearest(indexed: DataFrame, blocks: DataFrame, nearest_k: int = NEAREST, wid
                 own, size = (row["size"].as_py(), row["shard"].as_py()), row["size"].as_py()
                 if own != key:
                     ids, vectors = np.frombuffer(row["ids"].as_py(), "<i8"), np.frombuffer(row["vectors"].as_py()).reshape(-1, size)
-                    more = np.frombuffer(row["more"].as_py())
                     layers = [np.frombuffer(x, "<i4").reshape(-1, w).astype(np.int64) for x, w in zip(row["layers"].as_py(), row["widths"].as_py())]
-                    key, graph = own, np.column_stack([vectors, more]).astype(np.float32)
+                    key, graph = own, scaled(vectors)
                 query_ids, queries = np.array(row["query_ids"].as_py()), np.array(row["v"].as_py()).reshape(-1, size)
-                extended = np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32)
-                places = search(graph, layers, extended, width)
-                scores = np.where(places >= 0, np.einsum("qd,qkd->qk", queries, vectors[places]), -np.inf)
-                scores[ids[places] == query_ids[:, None]] = -np.inf
-                found = np.where(np.isfinite(scores), ids[places], np.iinfo(np.int64).max)
-                best = np.lexsort((found, -scores), axis=1)[:, :nearest_k]
-                found, scores = np.take_along_axis(found, best, 1), np.take_along_axis(scores, best, 1)
-                rows, cols = np.nonzero(np.isfinite(scores))
+                directions = (queries / np.abs(queries).max(1, keepdims=True)).astype(np.float32)
+                places = search(graph, layers, directions, width)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.einsum("qd,qkd->qk", queries, vectors[places])
+                here = (places >= 0) & (ids[places] != query_ids[:, None]) & ~np.isnan(scores)
+                found = np.where(here, ids[places], np.iinfo(np.int64).max)
+                scores = np.where(here, scores, -np.inf)
+                best = np.lexsort((found, -scores, ~here), axis=1)[:, :nearest_k]
+                found, scores, here = (np.take_along_axis(x, best, 1) for x in (found, scores, here))
+                rows, cols = np.nonzero(here)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(found[rows, cols]), pa.array(scores[rows, cols])], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score double")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -37,11 +39,13 @@ class Scratch:
 
     ``cut`` writes a DataFrame as Parquet and reads it back: the lineage ends
     there, a lost executor costs no more than the tasks it ran, and several
-    consumers share one computation. ``drop`` removes the tables once nothing
-    reads them any more.
+    consumers share one computation. A query's result reads them, so they are
+    the caller's to remove: ``noted`` lists those that are written inside it,
+    ``remove`` deletes them, and ``drop`` deletes all.
     """
 
     live: list[str] = []
+    _notes: ContextVar[list[str] | None] = ContextVar("notes", default=None)
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -49,15 +53,27 @@ class Scratch:
     def path(self, name: str) -> str:
         place = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         Scratch.live.append(place)
+        if (notes := Scratch._notes.get()) is not None:
+            notes.append(place)
         return place
 
+    @classmethod
+    @contextmanager
+    def noted(cls) -> Iterator[list[str]]:
+        """A list to which the tables written by this thread are added."""
+        token = cls._notes.set(places := [])
+        try:
+            yield places
+        finally:
+            cls._notes.reset(token)
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         place = self.path(name)
         df.write.parquet(place)
         return self.spark.read.schema(df.schema).parquet(place)
 
     @staticmethod
-    def remove(spark: SparkSession, places: list[str]) -> None:
+    def remove(spark: SparkSession, places: Iterable[str]) -> None:
         jvm = spark.sparkContext._jvm
         for place in places:
             path = jvm.org.apache.hadoop.fs.Path(place)
@@ -76,6 +92,26 @@ def hash_fraction(key: Column, fraction: float, seed: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)
 
 
+def text_key(text: Column) -> Column:
+    """A 128-bit key of a text, null for null. Keys of 64 bits would repeat among 10 ** 10 texts."""
+    return F.md5(text)
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """docs with columns named own0, own1 and so on, so that columns can be added whatever the caller's are called."""
+    return docs.toDF(*[f"own{k}" for k in range(len(docs.columns))])
+
+
+def own(docs: DataFrame, name: str) -> str:
+    """What hidden() calls a column of docs."""
+    return f"own{docs.columns.index(name)}"
+
+
+def shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by their names again."""
+    return rows.select(*[F.col(f"own{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 #: Rows that an operator turns into Python objects at a time.
 SLICE_ROWS = 512
 
@@ -87,6 +123,23 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE_ROWS)
 
 
+#: Characters of texts that an operator cuts into words at a time.
+SLICE_CHARS = 1_000_000
+
+
+def by_chars(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The same texts in lists of about SLICE_CHARS characters, or of one longer text."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= SLICE_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 _held: dict[Any, Any] = {}
 
 
