@@ -24,8 +24,9 @@ Spans of a kind don't overlap each other; the leftmost match wins. A weak part
 inside a strong one is left out.
 
 Edge cases: a null text is searched as an empty one; each row gives one row,
-also for repeated rows and null ids; extra columns are ignored; an empty table
-gives an empty table.
+also for repeated rows and null ids; extra columns are ignored, whatever their
+names; an empty table gives an empty table. Masking cuts each text once, so a
+text of very many spans takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, slices
+from .shared import Scratch, hidden, own, shown, slices, text_key
 
 SCOPE = 200
 CELL = 512
-#: Up to so many texts with spans are broadcast when they are masked; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Up to so many spans in all texts are broadcast when these are masked; more are joined by a shuffle.
+BROADCAST_SPANS = 200_000
 #: Kinds in the order in which spans of the same start are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "account", "opaque", "short", "endpoint", "secret_key")
 ROLE_OF = {"assign": "secret", "access": "access", "hex": "secret", "account": "access", "opaque": "secret", "short": "secret", "endpoint": "endpoint", "secret_key": "secret"}
@@ -98,7 +99,7 @@ PART = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: row_id (distinct), the document's id, and parts of its text by start."""
+    """A row for each row of docs: row_id (distinct), id (the document's) and parts of its text by start."""
     kind = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +110,10 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ends.append(len(rows))
             flat = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(kind)], fields=list(kind))
             parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["row_id", id_col, "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["row_id", "id", "parts"])
 
-    own = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), id_col, text_col).mapInArrow(run, f"row_id bigint, {id_col} {own}, parts {PART}")
+    kind_of_id = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row_id bigint, id {kind_of_id}, parts {PART}")
 
 
 def _role(rank: Column) -> Column:
@@ -148,7 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     added = complete_weak_parts(found).groupBy("row_id").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
     base = F.filter("parts", lambda p: p["rank"] < 3)
     return found.join(added, "row_id", "left").select(
-        id_col, base.alias("base"), F.array_sort(F.concat(base, F.coalesce("added", F.array().cast(PART)))).alias("spans")
+        F.col("id").alias(id_col), base.alias("base"), F.array_sort(F.concat(base, F.coalesce("added", F.array().cast(PART)))).alias("spans")
     )
 
 
@@ -158,26 +159,37 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", F.element_at(kinds, p["rank"] + 1), p["start"].cast("string"), p["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each run of overlapping spans replaced by a mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    step = lambda a, p: F.struct(
-        F.greatest(a["at"], p["end"]).alias("at"),
-        F.when(p["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (p["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
-    )
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+def masked(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> str:
+    """The text with each run of overlapping spans, given by start, replaced by a mark."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += (text[at:start], mark)
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all found spans masked in the text. What is found depends on the text alone, so texts are met by their hash."""
+    """docs with all found spans masked in the text. What is found depends on the text alone, so texts are met by a 128-bit key."""
     scratch = Scratch(docs.sparkSession)
-    hashed = docs.select(F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
-    found = scan(hashed, "__hash", "text").filter("size(spans) > 0").groupBy("__hash").agg(F.first("spans").alias("__spans"))
-    found = scratch.cut(found, "spans")
-    short = found.count() <= BROADCAST_ROWS
-    met = docs.withColumn("__hash", F.xxhash64(text_col)).join(F.broadcast(found) if short else found, "__hash", "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
-    return met.withColumn(text_col, text).select(*docs.columns)
+    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    found = scan(keyed, "key", "text").filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("spans"))
+    found = scratch.cut(found.select("key", F.transform("spans", lambda p: p["start"]).alias("starts"), F.transform("spans", lambda p: p["end"]).alias("ends")), "spans")
+    short = found.agg(F.coalesce(F.sum(F.size("starts") + 1), F.lit(0))).first()[0] <= BROADCAST_SPANS
+    rows, text = hidden(docs), own(docs, text_col)
+    met = rows.withColumn("key", text_key(F.col(text))).join(F.broadcast(found) if short else found, "key", "left").select(*rows.columns, "starts", "ends")
+    names, at = rows.columns, rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns = list(batch.columns[:-2])
+            if batch.column(batch.num_columns - 2).null_count < batch.num_rows:
+                starts, ends = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+                texts = [t if s is None else masked(t, list(zip(s, e))) for t, s, e in zip(columns[at].to_pylist(), starts, ends)]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return shown(met.mapInArrow(run, rows.schema), docs)
 
 
 def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
