@@ -8,7 +8,8 @@ the two tokens' bytes in rank order would keep the boundary between them. If
 not, the next shorter token that is a prefix of it is tried, and if none is
 left, the last accepted token is taken back. A position from which no encoding
 goes on is marked and never tried again, so the time is linear in the length.
-The compatibility of two adjacent tokens is memoised.
+The compatibility of two adjacent tokens is memoised, and so are encoded
+pieces; both memories are bounded.
 
 Edge cases: a null or empty text gives no ids and decodes to no bytes; every
 row gives one row, repeated rows and null ids of documents included; extra
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 
 from .shared import held, slices
 
-#: Encoded pieces that a Python worker remembers; the memory is emptied when full.
-MEMO_PIECES = 250_000
+#: Encoded pieces that a Python worker remembers, twice: those met lately, and those met before them.
+MEMO_PIECES = 200_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 64
-
+#: Pairs of tokens whose compatibility a worker remembers.
+MEMO_PAIRS = 500_000
+#: Fixed value: the public pattern of byte-level vocabularies.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Texts without any other characters than these are split by the standard library's faster module: there, its classes
 #: of letters, decimal digits and space are those of Unicode that the pattern means.
@@ -46,10 +50,39 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
     other = r"[^\s\p{L}\p{N}]"
     whole = regex.compile(pattern.replace(other, r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-    common = re.compile(pattern.replace(other, r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")).findall
+    if pattern == PIECES:
+        # The same matches: letters are tried first, as no other alternative starts with one, and common ones are listed.
+        letters = "[" + "".join(chr(c) for c in range(0x250) if chr(c).isalpha()) + "]"
+        common = re.compile(rf" ?{letters}+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    else:
+        common = re.compile(pattern.replace(other, r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")).findall
     return lambda text: whole(text) if _COMMON(text) else common(text)
 
 
+class Pieces(dict):
+    """piece -> its ids, serialized, with a bounded memory.
+
+    Of MEMO_PIECES pieces met lately and as many met before them, those that
+    are met again are kept.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+            if len(piece) > MEMO_LENGTH:
+                return ids
+        if len(self) >= MEMO_PIECES:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
@@ -114,6 +147,8 @@ class Backtracker:
         key = left, right
         known = self._compatible.get(key)
         if known is None:
+            if len(self._compatible) >= MEMO_PAIRS:
+                self._compatible.clear()
             known = self._compatible[key] = self._boundary_holds(left, right, 1 << 60)
         return known
 
@@ -163,29 +198,17 @@ class Backtracker:
         return out
 
 
-class Memo(dict):
-    """piece -> its ids as little-endian 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = struct.pack(f"<{len(ids)}i", *ids) if (ids := self.encode(piece.encode("utf-8"))) else b""
-        if len(piece) <= MEMO_LENGTH:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Codec:
     """Encodes texts to ids."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        ranks = read_ranks(ranks_path)
-        self.split = splitter(pattern)
-        self.memo = Memo(Backtracker(ranks).encode)
+        encode = Backtracker(read_ranks(ranks_path)).encode
+
+        def serialized(piece: str) -> bytes:
+            ids = encode(piece.encode("utf-8"))
+            return struct.pack(f"<{len(ids)}i", *ids)
+
+        self.split, self.memo = splitter(pattern), Pieces(serialized)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
