@@ -17,13 +17,20 @@ several languages, or with odd passages, stay. A text without letters is always
 rejected, as ``und``.
 
 The sample is bounded: about DOCS_PER_LANGUAGE documents of a language, and
-about DOCS_IN_ALL altogether, drawn by a hash of their ids. Predictions read
-all documents whole.
+about DOCS_IN_ALL altogether, drawn by a hash of their ids, of at most
+SAMPLE_CHARS characters each, and of the MAX_LANGUAGES languages that have most
+documents. Predictions read all documents whole.
+
+The score is a share among the learned languages, so a text of a language that
+was never learned can have a high one; ``rejected`` tells of those.
 
 Edge cases: a null or empty text, or one without letters, gives ``und``, score
 0, no cross-entropy; each row gives one row, also for repeated rows and null
-ids (a null id is never trained on); a table without labelled rows gives
-``und`` everywhere; extra columns are ignored.
+ids (a null id is never trained on); of languages that fit equally well the
+first by name is taken; a table without labelled rows gives ``und``
+everywhere; an empty table gives an empty table; extra columns are ignored,
+whatever their names (a kept column named like a result gets ``own_`` in
+front).
 """
 
 from __future__ import annotations
@@ -32,25 +39,29 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hash_fraction, held, slices
+from .shared import Scratch, by_chars, hash_fraction, held, hidden, own, shown, slices
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 1000
 DOCS_IN_ALL = 20_000
+SAMPLE_CHARS = 100_000
+#: Each language costs a column of the models' arrays.
+MAX_LANGUAGES = 256
 #: One of so many sampled documents calibrates rejection.
 CALIBRATION_PART = 5
 #: Shorter texts say too little to reject them.
 LEAST_SYMBOLS = 128
 #: With one language only: standard deviations over the mean cross-entropy.
 SLACK = 20.0
-MEMO_WORDS = 200_000
-CHUNK_CHARS = 1_000_000
+#: Bounds of the words that a worker remembers.
+MEMO_WORDS, MEMO_CHARS = 200_000, 8_000_000
 UNKNOWN = "und"
 
 
@@ -61,11 +72,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, text, calibrates: the bounded sample, of documents that are not held out."""
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     bound = F.least(F.lit(DOCS_PER_LANGUAGE), F.lit(DOCS_IN_ALL) / F.count(F.lit(1)).over(_all()))
-    share = F.broadcast(counts.select("lang", (bound / F.col("n")).alias("share")))  # one row for each language
+    share = F.broadcast(counts.select("lang", (bound / F.col("n")).alias("share")))  # MAX_LANGUAGES rows at most
     drawn = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    return usable.join(share, "lang").filter(drawn).select("lang", "text", hash_fraction(F.col("id"), 1 / CALIBRATION_PART, "calibration").alias("calibrates"))
+    return usable.filter(F.length("text") <= SAMPLE_CHARS).join(share, "lang").filter(drawn).select("lang", "text", hash_fraction(F.col("id"), 1 / CALIBRATION_PART, "calibration").alias("calibrates"))
 
 
 def _all():
@@ -204,17 +215,19 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((0, len(self.model.languages)), np.float32)
         self.sizes = np.zeros(0, np.int64)
+        self.chars = 0
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """By text: log probability by language, and number of predicted characters."""
-        if len(self.rows) > MEMO_WORDS:
+        if len(self.rows) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.forget()
         rows, flat, ends = self.rows, [], []
         for text in texts:
             flat.extend([rows.setdefault(w, len(rows)) for w in self.words(text.lower())] if text else ())
             ends.append(len(flat))
         if len(rows) > len(self.logs):
-            new = list(rows)[len(self.logs) :]
+            new = list(islice(rows, len(self.logs), None))
+            self.chars += sum(map(len, new))
             logs, sizes = self.model.word_scores(new)
             self.logs, self.sizes = np.concatenate([self.logs, logs.astype(np.float32)]), np.concatenate([self.sizes, sizes])
         at = np.array(flat, np.int64)
@@ -225,23 +238,11 @@ class Scorer:
         return sums[ends[1:]] - sums[ends[:-1]], counts[ends[1:]] - counts[ends[:-1]]
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    chunk, size = [], 0
-    for text in texts:
-        chunk.append(text)
-        size += len(text or "")
-        if size >= CHUNK_CHARS:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
-
-
 RESULT = "lang_pred string, score double, cross_entropy double, other_entropy double, n_symbols bigint"
 
 
 def _predict(docs: DataFrame, shared, extra: list[str], text_col: str) -> DataFrame:
-    """extra columns of docs with RESULT."""
+    """extra columns of docs with RESULT; they are called otherwise than RESULT's."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def _predict(docs: DataFrame, shared, extra: list[str], text_col: str) -> DataFr
         languages = scorer.model.languages
         for batch in slices(batches):
             langs, scores, entropies, others, sizes = [], [], [], [], []
-            for chunk in _chunks(batch.column(batch.num_columns - 1).to_pylist()):
+            for chunk in by_chars(batch.column(batch.num_columns - 1).to_pylist()):
                 totals, counts = scorer.totals(chunk)
                 for total, n in zip(-totals, counts.tolist()):
                     sizes.append(n)
@@ -293,12 +294,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns to keep of docs with RESULT and rejected."""
-    spark = docs.sparkSession
-    found = _predict(docs, spark.sparkContext.broadcast(model), keep, text_col)
+def _identified(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """docs with hidden column names, RESULT and rejected."""
+    rows = hidden(docs)
+    found = _predict(rows, docs.sparkSession.sparkContext.broadcast(model), rows.columns, own(docs, text_col))
     limit = F.lit(math.inf)
     for lang, value in sorted(model.limits.items()):
         limit = F.when(F.col("lang_pred") == lang, value).otherwise(limit)
     far = (F.col("n_symbols") >= LEAST_SYMBOLS) & F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
     return found.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | far)
+
+
+RESULT_NAMES = [c.split()[0] for c in RESULT.split(", ")] + ["rejected"]
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns to keep of docs with RESULT and rejected."""
+    kept = docs.select(*keep, F.col(text_col).alias("__text"))
+    found = _identified(kept, model, "__text")
+    return found.select(*[F.col(f"own{k}").alias(f"own_{c}" if c.lower() in RESULT_NAMES else c) for k, c in enumerate(keep)], *RESULT_NAMES)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't rejected."""
+    return shown(_identified(docs, model, text_col).filter("not rejected"), docs)
