@@ -8,7 +8,8 @@ decoding finds the best labels. The share of words in content lines decides
 whether the text is kept.
 
 The field is trained on documents that carry a quality label, about
-TRAIN_DOCS of them at most, drawn by a hash of their ids. All lines of a good
+TRAIN_DOCS of them at most, of at most TRAIN_LINES lines and TRAIN_CHARS
+characters each, drawn by a hash of their ids. All lines of a good
 document count as content, save those that repeat an earlier line, and all
 lines of a bad one as boilerplate; several documents are joined to a sequence,
 so that changes occur. Without labels of both kinds every line is content.
@@ -16,8 +17,10 @@ so that changes occur. Without labels of both kinds every line is content.
 Words are runs without space or the characters from tab to carriage return.
 
 Edge cases: a null text has no words and no lines; a text of no words fails
-the base rules; each row gives one row, also for repeated rows and null ids;
-extra columns are ignored.
+the base rules; each row gives one row, also for repeated rows and null ids
+(which are never trained on); ties between labels go to content; an empty table
+gives an empty table; extra columns are ignored, whatever their names. Texts of
+any length are read whole.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .shared import hash_fraction, slices
 
 TRAIN_DOCS = 2000
+TRAIN_LINES = 400
+TRAIN_CHARS = 100_000
 SEQUENCE_DOCS = 20
 ROUNDS = 120
 LEAST_WORDS = 50
@@ -71,7 +76,8 @@ def repeated_words(words: list[str]) -> int:
         return 0
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    windows = (ids[:-2] * len(number) + ids[1:-1]) * len(number) + ids[2:]  # below 2 ** 63: no text has 2 million different words
+    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]  # numbered anew, so that products stay small
+    windows = pairs[:-1] * len(number) + ids[2:]
     order = np.argsort(windows, kind="stable")
     ranked = windows[order]
     same = ranked[1:] == ranked[:-1]
@@ -176,16 +182,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            features = [measure(t)[2] for t in batch.column(1).to_pylist()]
+            features = [f if len(f := measure(t)[2]) <= TRAIN_LINES else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.list_(pa.float64())))], ["quality", "features"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(drawn), "id").select("quality", text_col).mapInArrow(run, "quality int, features array<array<double>>")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+    rows = texts.join(F.broadcast(drawn), "id").select("quality", "text").mapInArrow(run, "quality int, features array<array<double>>")
     return [(r.quality, r.features) for r in rows.filter("size(features) > 0").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
-    """The field, or None if the labels are not of both kinds."""
-    rows = sorted(training_rows(docs, labels), key=lambda r: hash((r[0], len(r[1]), tuple(r[1][0]))))
+    """The field, or None if the labels are not of both kinds. Documents follow each other in a mixed but fixed order."""
+    rows = sorted(training_rows(docs, labels), key=lambda r: (hash((r[0], len(r[1]), tuple(r[1][0]))), r[0], r[1]))
     if len({bool(q) for q, _ in rows}) < 2:
         return None
     seen, sequences = FEATURES.index("seen"), []
@@ -212,10 +219,10 @@ def label(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 content = sum(s for s, m in zip(sizes, marks) if m)
                 rows.append((*counts, sum(marks), len(marks) - sum(marks), content / counts[0] if counts[0] else None))
             columns = [pa.array(c, pa.float64() if k == 7 else pa.int64()) for k, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int64())] * 7 + [pa.array([], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *[c.split()[0] for c in RESULT.split(", ")]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *[c.split()[0] for c in RESULT.split(", ")]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {RESULT}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def with_verdict(labelled: DataFrame) -> DataFrame:
