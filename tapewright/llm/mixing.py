@@ -16,8 +16,9 @@ both as few as the shares; the slot of each document follows by arithmetic.
 
 Edge cases: null and unlisted sources belong to the rest; documents of equal
 ids are ordered by a hash of their other columns; repeated rows each get a
-place; null ids are allowed; an empty table gives an empty table; a column that
-is called as one of those added is kept by mix().
+place; null ids are allowed, however many, as they are dealt out by their
+place; an empty table gives an empty table; a column that is called as one of
+those added is left out by schedule() and kept by mix().
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 BLOCK = 16
 ROWS_OF_BUCKET = 2000
 #: Shares of the streams, and of all other sources together.
@@ -96,9 +99,11 @@ def _stream(source: Column, names: list[str]) -> Column:
 def schedule(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with stream, block, slot, place (in the block) and position (in the mix, from 0)."""
     spark, names = docs.sparkSession, list(shares)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("stream", "block", "slot", "place", "position")])
     of_stream = dict(enumerate([*shares.values(), rest]))
     streamed = docs.withColumn("stream", _stream(F.col(source_col), names))
-    counts = {r.stream: r["count"] for r in streamed.groupBy("stream").count().collect()}  # one row for each share
+    counted = streamed.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(id_col).isNull()).alias("nulls")).collect()  # one row for each share
+    counts, nulls = {r.stream: r.n for r in counted}, -(-sum(r.nulls for r in counted) // ROWS_OF_BUCKET)
     sizes = {k: counts.get(k, 0) for k in of_stream}
     rows = phases(of_stream, {k: -(-n // block) for k, n in sizes.items()})
     last = [r["first_slot"] + (n - 1) // r["share"] * r["period"] + r["slots"][(n - 1) % r["share"]] for r in rows for n in [r["n_blocks"]] if r["first_block"] + n == -(-sizes[r["stream"]] // block)]
@@ -109,8 +114,12 @@ def schedule(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST,
     bucket = F.floor(F.conv(F.substring(order, 1, 4), 16, 10).cast("bigint") * buckets / 65_536)
     others = [F.col(c) for c in docs.columns if c != id_col]
     keyed = streamed.withColumns({"__order": order, "__bucket": bucket, "__tie": F.xxhash64(*others) if others else F.lit(0)})
+    if nulls > 1:
+        # Null ids have one hash. They get buckets of their own, between those of lower and of higher hashes, by their place in the input, which is written down.
+        among = F.when(order < F.md5(F.lit("")), 0).when(F.col(id_col).isNull(), 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(nulls))).otherwise(nulls + 1)
+        keyed = Scratch(spark).cut(keyed.withColumn("__bucket", F.col("__bucket") * (nulls + 2) + among), "buckets")
     inside = Window.partitionBy("stream", "__bucket").orderBy("__order", id_col, "__tie")
-    of_bucket = streamed.select("stream", bucket.alias("__bucket")).groupBy("stream", "__bucket").count()
+    of_bucket = keyed.groupBy("stream", "__bucket").count()
     before = Window.partitionBy("stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = of_bucket.select("stream", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     numbered = keyed.withColumn("__row", F.row_number().over(inside) - 1).join(starts, ["stream", "__bucket"]).withColumn("__row", F.col("__row") + F.col("__start"))
