@@ -9,18 +9,25 @@ its words.
    class, and only one of them goes on, with the number of its copies.
 2. MinHash values are dealt into BANDS bands; classes that share a band's
    bucket are candidates. Buckets are stars around their smallest member, never
-   lists of pairs. Connected stars form a candidate component.
-3. A component is cut into blocks of about BLOCK classes, and each pair of
-   blocks is compared on its own. There, MinHash values are compared STEP at a
-   time. Under a uniform prior, the chance that a pair with so many equal
-   values has a similarity of THRESHOLD or more is that of a binomial variable;
-   a pair is dropped when it is below TOLERANCE. Pairs that are left are
-   verified on their whole sets.
-4. From a pair of blocks come, for each class, the number of documents it is
+   lists of pairs. Connected stars form a component.
+3. Candidates are compared in groups. A group is a whole component, if that has
+   fewer pairs than its buckets have together, as for near copies of one text;
+   else each bucket is one, and a pair is compared only in the first bucket that
+   it shares, so that chains of weakly similar texts aren't compared all with
+   all. A group is cut into blocks of about BLOCK classes and BLOCK_BYTES of
+   n-grams, and each pair of blocks is compared on its own.
+4. MinHash values are compared STEP at a time. Under a uniform prior, the chance
+   that a pair with so many equal values has a similarity of THRESHOLD or more
+   is that of a binomial variable; a pair is dropped when it is below
+   TOLERANCE. In groups of several blocks, and in buckets, only MinHash values
+   are dealt out for that. If few pairs are left of two blocks, their n-grams
+   are fetched pair by pair; if many are left, for both blocks. Pairs that are
+   left are verified on their whole sets.
+5. From a pair of blocks come, for each class, the number of documents it is
    linked with and one class of its group there: a forest, not all pairs. The
-   forest's connected components are the groups.
+   forest's connected components are the groups of near duplicates.
 
-A group of m different near copies takes m * m / 2 comparisons in numpy,
+A component of m different near copies takes m * m / 2 comparisons in numpy,
 spread over its pairs of blocks; its rows grow with m * m / BLOCK.
 
 Edge cases: texts without words (null and empty ones too) have no n-grams, are
@@ -33,16 +40,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, held, slices
+from .shared import Scratch, held, hidden, own, shown, slices, text_key
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -50,7 +57,11 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-6
-BLOCK = 256
+BLOCK = 512
+#: Bytes of n-grams of about one block; 8 for each n-gram.
+BLOCK_BYTES = 4 << 20
+#: Of two blocks with more pairs left than this for each class, n-grams are fetched for the blocks, else for the pairs.
+DENSE = 8
 MEMO_WORDS = 250_000
 #: Lists of keys up to this many rows of a few numbers are broadcast, longer ones joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -130,7 +141,7 @@ def fewest_matches(threshold: float) -> dict[int, int]:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row_id, the document's id, text_hash, set_key (null without n-grams) and bands of each row."""
+    """row_id, the document's id, text_key, set_key (null without n-grams) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -143,11 +154,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 else:
                     keys.append(None)
                     rows.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["row_id", "id", "text_hash", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["row_id", "id", "text_key", "set_key", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, f"row_id bigint, id {kind}, text_hash bigint, set_key binary, bands array<bigint>")
+    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return read.mapInArrow(run, f"row_id bigint, id {kind}, text_key string, set_key binary, bands array<bigint>")
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -197,22 +208,39 @@ def _verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: f
     return common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
 
 
-def _compare(within: bool, threshold: float, nodes: list[int], copies: list[int], sides: list[int], values: list[bytes], sets: list[bytes]) -> list[tuple[int, int, int]]:
+def _left(signs: np.ndarray, sides: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of classes of two blocks, or within one, that pruning leaves; band: the first band that they must share, -1 for any pair."""
+    within, out = not sides.any(), []
+    second = np.arange(len(signs)) if within else np.flatnonzero(sides == 1)
+    first = second if within else np.flatnonzero(sides == 0)
+    keys = None if band < 0 else np.array([bands(s) for s in signs]).reshape(len(signs), BANDS)
+    for start in range(0, len(first), 64):
+        part = first[start : start + 64]
+        equal = (signs[part, None, :STEP] == signs[None, second, :STEP]).sum(2)
+        go_on = equal >= fewest_matches(threshold)[STEP]
+        if within:
+            go_on &= part[:, None] < second
+        i, j = np.nonzero(go_on)
+        a, b, equal = part[i], second[j], equal[i, j]
+        for n, least in fewest_matches(threshold).items():
+            if n > STEP and len(a):
+                equal = equal + (signs[a, n - STEP : n] == signs[b, n - STEP : n]).sum(1)
+                go_on = equal >= least
+                a, b, equal = a[go_on], b[go_on], equal[go_on]
+        if keys is not None and len(a):
+            same = keys[a, : band + 1] == keys[b, : band + 1]
+            go_on = same[:, band] & (same.sum(1) == 1)
+            a, b = a[go_on], b[go_on]
+        out.append((a, b))
+    return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _compare(band: int, threshold: float, sides: list[int], nodes: list[int], copies: list[int], values: list[bytes], sets: list[bytes]) -> list[tuple[int, int, int]]:
     """(node, linked documents, hub) of the classes of one pair of blocks, or within one block, that have links there."""
-    sides_, signs = np.array(sides), np.frombuffer(b"".join(values), np.uint32).reshape(len(nodes), HASHES)
-    if within:
-        a, b = np.triu_indices(len(nodes), 1)
-    else:
-        a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(sides_ == 0), np.flatnonzero(sides_ == 1), indexing="ij"))
-    equal = np.zeros(len(a), np.int64)
-    for n, least in fewest_matches(threshold).items():
-        equal = equal + (signs[a, n - STEP : n] == signs[b, n - STEP : n]).sum(1)
-        go_on = equal >= least
-        a, b, equal = a[go_on], b[go_on], equal[go_on]
-        if not len(a):
-            return []
-    hashed = [np.frombuffer(s, np.uint64) for s in sets]
-    good = _verified(a, b, hashed, threshold)
+    a, b = _left(np.frombuffer(b"".join(values), np.uint32).reshape(len(nodes), HASHES), np.array(sides), band, threshold)
+    if not len(a):
+        return []
+    good = _verified(a, b, [np.frombuffer(s, np.uint64) for s in sets], threshold)
     a, b = a[good], b[good]
     weights = np.array(copies, np.int64)
     linked = np.bincount(a, weights[b], len(nodes)) + np.bincount(b, weights[a], len(nodes))
@@ -231,26 +259,77 @@ def _compare(within: bool, threshold: float, nodes: list[int], copies: list[int]
     return [(nodes[i], int(linked[i]), nodes[top(i)]) for i in np.flatnonzero(linked).tolist()]
 
 
-def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: component, first, second, side, node, copies, text; all rows of a pair of blocks follow each other."""
+PAIR_OF_BLOCKS = ["grp", "band", "first", "second"]
+
+
+def _by_pair_of_blocks(rows: DataFrame, columns: list[str], result: str, compare: Callable[..., list[tuple]]) -> DataFrame:
+    """What compare() makes of the columns of each pair of blocks; rows also have the columns of PAIR_OF_BLOCKS, and side.
+
+    Ranges deal the pairs of blocks out evenly; all rows of one stay together.
+    """
+    names, kinds = zip(*[c.split() for c in result.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given_back(found):
-            columns = zip(*found) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "linked", "hub"])
+        def given(key, group):
+            found = compare(key, *zip(*group)) if len(group) > 1 else []
+            columns_ = zip(*found) if found else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "int" else pa.int64()) for c, k in zip(columns_, kinds)], list(names))
 
         key, group = None, []
         for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if len(group) > 1:
-                        yield given_back(_compare(key[1] == key[2], threshold, *zip(*group)))
-                    key, group = row[:3], []
-                group.append((row[4], row[5], row[3], row[6], row[7]))
-        if len(group) > 1:
-            yield given_back(_compare(key[1] == key[2], threshold, *zip(*group)))
+                if row[:4] != key:
+                    if key is not None:
+                        yield given(key, group)
+                    key, group = row[:4], []
+                group.append(row[4:])
+        if key is not None:
+            yield given(key, group)
+
+    dealt = rows.select(*PAIR_OF_BLOCKS, "side", "node", *columns).repartitionByRange(*PAIR_OF_BLOCKS).sortWithinPartitions(*PAIR_OF_BLOCKS, "side", "node")
+    return dealt.mapInArrow(run, result)
+
+
+def in_pairs_of_blocks(members: DataFrame) -> DataFrame:
+    """members (grp, band, n_blocks, node, ...) once for each pair of blocks that theirs is in."""
+    block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
+    dealt = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    sides = {"first": F.least("own", "other"), "second": F.greatest("own", "other"), "side": F.when(F.col("own") <= F.col("other"), 0).otherwise(1)}
+    return dealt.withColumns(sides).drop("own", "other", "n_blocks")
+
+
+def _compare_sets(placed: DataFrame, threshold: float) -> DataFrame:
+    """node, linked, hub; placed: classes by pairs of blocks, with copies, signs and items."""
+    return _by_pair_of_blocks(placed, ["copies", "signs", "items"], "node bigint, linked bigint, hub bigint", lambda key, *columns: _compare(key[1], threshold, *columns))
+
+
+def _compare_signs(placed: DataFrame, threshold: float) -> DataFrame:
+    """The columns of PAIR_OF_BLOCKS with a and b, a pair that pruning leaves, both null if the blocks have too many such pairs."""
 
-    return rows.select("component", "first", "second", "side", "node", "copies", "signs", "items").mapInArrow(run, "node bigint, linked bigint, hub bigint")
+    def compare(key: tuple, sides: tuple, nodes: tuple, values: tuple) -> list[tuple]:
+        a, b = _left(np.frombuffer(b"".join(values), np.uint32).reshape(len(nodes), HASHES), np.array(sides), key[1], threshold)
+        if len(a) > DENSE * len(nodes):
+            return [(*key, None, None)]
+        return [(*key, nodes[i], nodes[j]) for i, j in zip(a.tolist(), b.tolist())]
+
+    return _by_pair_of_blocks(placed, ["signs"], "grp bigint, band int, first int, second int, a bigint, b bigint", compare)
+
+
+def _verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, linked, hub from pairs (a, b), each with its n-grams fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for a, b, copies_a, copies_b, items_a, items_b in zip(*(c.to_pylist() for c in batch.columns)):
+                if _verified(np.array([0]), np.array([1]), [np.frombuffer(items_a, np.uint64), np.frombuffer(items_b, np.uint64)], threshold)[0]:
+                    out += [(a, copies_b, min(a, b)), (b, copies_a, min(a, b))]
+            columns = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "linked", "hub"])
+
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("copies").alias(f"copies_{name}"), F.col("items").alias(f"items_{name}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "copies_a", "copies_b", "items_a", "items_b")
+    return met.mapInArrow(run, "node bigint, linked bigint, hub bigint")
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
@@ -272,8 +351,27 @@ def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str =
     return left.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, how)
 
 
+def _links(mates: DataFrame, components: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """node, linked, hub: links of all classes. mates: node, bucket, band and n, the bucket's number of classes, of each bucket of two or more."""
+    in_buckets = mates.groupBy("node").agg(F.sum("n").alias("pairs"))
+    sizes = components.join(sets.select("node", F.length("items").alias("bytes")), "node").join(in_buckets, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), F.sum("pairs").alias("pairs"))
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    small = F.col("size") <= BLOCK
+    of_node = scratch.cut(components.join(sizes.select("component", n_blocks.alias("n_blocks"), small.alias("small"), (~small & (F.col("pairs") < F.col("size") * F.col("size"))).alias("by_bucket")), "component"), "groups")
+
+    as_group = [F.col("component").alias("grp"), F.lit(-1).alias("band"), "n_blocks", "node"]
+    direct = _compare_sets(in_pairs_of_blocks(of_node.filter("small").select(*as_group).join(sets, "node")), threshold)
+    large = of_node.filter("not small and not by_bucket").select(*as_group)
+    bucketed = mates.join(of_node.filter("by_bucket").select("node"), "node").select(F.col("bucket").alias("grp"), "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"), "node")
+    members = scratch.cut(large.unionByName(bucketed), "members")
+    left = scratch.cut(_compare_signs(in_pairs_of_blocks(members.join(sets.select("node", "signs"), "node")), threshold), "left")
+    dense = left.filter("a is null").select(*PAIR_OF_BLOCKS)
+    of_blocks = in_pairs_of_blocks(members).join(dense, PAIR_OF_BLOCKS).join(sets, "node")
+    return direct.unionByName(_compare_sets(of_blocks, threshold)).unionByName(_verify_pairs(left.filter("a is not null").select("a", "b"), sets, threshold))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: row_id, id, text_hash, class_id, n_links and group_id.
+    """One row for each row of docs: row_id, id, text_key, class_id, n_links and group_id.
 
     n_links counts the other documents that reach the threshold with this one,
     copies included; class_id is the smallest id of the group that such links
@@ -284,46 +382,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.cut(sketch(docs, id_col, text_col), "sketches")
     classes = scratch.cut(
-        sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min_by("text_hash", "row_id").alias("text_hash"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "row_id").alias("bands")),
+        sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min_by("text_key", "row_id").alias("text_key"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "row_id").alias("bands")),
         "classes",
     )
-    dealt = classes.select("node", F.explode("bands").alias("bucket"))
-    stars = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n")
-    components = connected(dealt.join(stars, "bucket").select("node", "hub"), scratch).withColumnRenamed("label", "component")
-
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    candidates = scratch.cut(components.join(sizes, "component").join(classes.select("node", "text_hash", "copies"), "node"), "candidates")
-    texts = keyed_join(docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), candidates, "text_hash")
-    texts = texts.groupBy("text_hash", "node", "component", "size", "copies").agg(F.first("text").alias("text"))
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    with_sets = scratch.cut(_with_sets(texts.select("node", "component", "copies", n_blocks.alias("n_blocks"), "text")), "sets")
-    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    placed = with_sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    placed = placed.select("component", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "copies", "signs", "items")
-    placed = placed.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "side", "node")
-    links = scratch.cut(_compare_blocks(placed, threshold), "links")
+    dealt = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    stars = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    mates = scratch.cut(dealt.join(stars, "bucket"), "mates")
+    components = connected(mates.select("node", "hub"), scratch).withColumnRenamed("label", "component")
+
+    candidates = scratch.cut(components.join(classes.select("node", "text_key", "copies"), "node"), "candidates")
+    texts = keyed_join(docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")), candidates, "text_key")
+    texts = texts.groupBy("text_key", "node", "copies").agg(F.first("text").alias("text"))
+    sets = scratch.cut(_with_sets(texts.select("node", "copies", "text")), "sets")
+    links = scratch.cut(_links(mates, candidates.select("node", "component"), sets, scratch, threshold), "links")
 
     groups = connected(links.select("node", "hub"), scratch)
     least = groups.join(classes.select("node", "least_id"), "node").groupBy("label").agg(F.min("least_id").alias("class_id"))
     linked = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     of_node = groups.join(least, "label").join(linked, "node").select("node", "label", "class_id", "linked")
     of_class = classes.select("set_key", "node", "least_id", "copies").join(of_node, "node", "left").select("set_key", F.coalesce("label", "node").alias("group_id"), F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return sketched.join(of_class, "set_key", "left").select("row_id", "id", "text_hash", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
+    return sketched.join(of_class, "set_key", "left").select("row_id", "id", "text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each group: that of the smallest id, then of the smallest hash of the text."""
+    """docs with one row of each group: that of the smallest id, nulls last, then of the smallest key of the text."""
     scratch = Scratch(docs.sparkSession)
     joined = scratch.cut(join(docs, id_col, text_col, threshold).filter("n_links > 0"), "groups")
-    chosen = joined.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "row_id")).alias("chosen"))
-    marked = joined.join(chosen, "group_id").select("id", "text_hash", (F.col("row_id") == F.col("chosen.row_id")).alias("stays"))
-    of_key = scratch.cut(marked.groupBy(F.col("id").alias("key_id"), F.col("text_hash").alias("key_hash")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "keys")
-    hashed, same = docs.withColumn("__hash", F.xxhash64(text_col)), F.col(id_col).eqNullSafe(F.col("key_id")) & (F.col("__hash") == F.col("key_hash"))
+    chosen = joined.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "row_id")).alias("chosen"))
+    marked = joined.join(chosen, "group_id").select("id", "text_key", (F.col("row_id") == F.col("chosen.row_id")).alias("stays"))
+    of_key = scratch.cut(marked.groupBy(F.col("id").alias("key_id"), "text_key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "keys")
+    rows, own_id = hidden(docs).withColumn("own_key", text_key(F.col(own(docs, text_col)))), own(docs, id_col)
+    same = F.col(own_id).eqNullSafe(F.col("key_id")) & (F.col("own_key") == F.col("text_key"))
     # A row goes if its group keeps another one, or if the row that stays has equals, of which one is put back.
     goes, again = of_key.filter("not stays or n > 1"), of_key.filter("stays and n > 1")
-    left = hashed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, same, "left_anti")
+    left = rows.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, same, "left_anti")
     if not again.isEmpty():
-        repeated = hashed.join(again, same, "left_semi")
-        one = repeated.withColumn("__row", F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy(F.lit(1)))).filter("__row = 1").drop("__row")
+        repeated = rows.join(again, same, "left_semi")
+        one = repeated.groupBy(own_id, "own_key").agg(F.first(F.struct(*repeated.columns)).alias("row")).select("row.*")
         left = left.unionByName(one)
-    return left.drop("__hash")
+    return shown(left, docs)
