@@ -6,7 +6,10 @@ from . import mixing as _mixing
 
 PREFERENCES = r"""
 with turns as (select conv_id pair_id, turn, role, text from conversations where conv_id is not null and turn is not null),
-last_answer as (select pair_id, max(turn) last_turn from turns where role = 'assistant' group by 1),
+ends as (select pair_id, max(turn) last_turn from turns where role = 'assistant' group by 1),
+last_answer as (
+  select pair_id, coalesce(min(turn) filter (where role = 'assistant' and 4 * turn >= (1 + ((pair_id % 4) + 4) % 4) * last_turn), max(last_turn)) last_turn
+  from turns join ends using (pair_id) group by 1),
 stale as (select t.pair_id, arg_max(t.text, t.turn) stale from turns t join last_answer l using (pair_id) where role = 'assistant' and turn < last_turn group by 1),
 chosen as (select t.*, row_number() over (partition by pair_id order by turn, role, text) - 1 place from turns t join last_answer using (pair_id)),
 rejected as (
@@ -26,10 +29,10 @@ parts as (
 pieces as (
   select *, place // 256 chunk, '<|' || coalesce(role, '') || '|>' || chr(10) as head,
          '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as piece from parts),
-ends as (select *, sum(length(piece)) over (partition by pair_id, part, chunk order by place) e from pieces)
+upto as (select *, sum(length(piece)) over (partition by pair_id, part, chunk order by place) e from pieces)
 select pair_id, part, cast(chunk as bigint) chunk, count(*) n_turns, string_agg(piece, '' order by place) as text,
        coalesce(string_agg(cast(e - length(piece) + length(head) as varchar) || ':' || cast(e - 1 as varchar), ',' order by place) filter (where counted), '') loss_spans
-from ends group by pair_id, part, chunk
+from upto group by pair_id, part, chunk
 """
 
 

@@ -50,7 +50,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.format_pairs(preferences.stale_answer_pairs(table(spark, sf_dir, "conversations")))
+    return preferences.format_stale_answer_pairs(table(spark, sf_dir, "conversations"))
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
