@@ -68,6 +68,30 @@ def test_join_and_survivors(spark):
     assert ngram_join.keep_one(df).columns == df.columns
 
 
+@pytest.mark.parametrize("block, dense, by_bucket", [(16, 8, False), (64, 0, False), (16, 10**6, False), (16, 0, True), (32, 8, True)])
+def test_groups_of_several_blocks(spark, monkeypatch, block, dense, by_bucket):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    docs = corpus()[:200] if by_bucket else corpus()
+    if by_bucket:  # every large component is compared bucket by bucket
+        mates = ngram_join._links
+        monkeypatch.setattr(ngram_join, "_links", lambda m, *rest: mates(m.withColumn("n", F.least("n", F.lit(1))), *rest))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.id: (r.class_id, r.n_links) for r in ngram_join.join(df).collect()}
+    assert got == {i: w for (i, _), w in zip(docs, brute(docs))}
+
+
+def test_columns_named_as_internal_ones(spark):
+    names = ["key_id", "key_hash", "text_key", "own_key", "own0", "row_id", "stays", "n", "Node", "__hash", "bucket"]
+    text = " ".join(WORDS)
+    rows = [(i, t, *[k + i for k in range(len(names))]) for i, t in enumerate([text, text, text + " more", "quite another text of words here", None])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[0] in (0, 3, 4)), key=str)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(WORDS)
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "other words here now again"), (2, "other words here now again")], "doc_id bigint, text string")
@@ -122,6 +146,47 @@ def test_nearest_recall_and_edges(spark, monkeypatch):
     assert not {5000, 5020, 5040, 5060} & set(got)
 
 
+def recall(x):
+    """Mean share of the true 20 nearest that one graph finds, for every 20th row."""
+    order, layers = hnsw.build(hnsw.scaled(x))
+    asked = np.arange(0, len(x), 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    places = np.concatenate([hnsw.search(hnsw.scaled(x)[order], layers, x[asked[k : k + 256]].astype(np.float32), hnsw.SEARCH_WIDTH) for k in range(0, len(asked), 256)])
+    hits = []
+    for own, found, k in zip(scores, order[places], asked):
+        found = found[found != k]
+        hits.append(len(set(found[np.argsort(-own[found])[:20]]) & set(np.argsort(-own)[:20])) / 20)
+    return np.mean(hits)
+
+
+def test_recall_on_full_shards():
+    rng = np.random.default_rng(5)
+    assert recall(rng.normal(size=(hnsw.SHARD_ROWS, 64))) >= 0.95
+    spread = rng.normal(size=(6000, 64)) * rng.lognormal(0, 0.7, size=(6000, 1))
+    assert recall(spread) >= 0.95
+    centres, of = rng.normal(size=(40, 64)), rng.integers(0, 40, 6000)
+    assert recall((centres[of] + rng.normal(size=(6000, 64)) * 0.1) * rng.lognormal(0, 0.5, size=40)[of][:, None]) >= 0.9
+
+
+def test_nearest_ties_repeats_and_large_components(spark):
+    rows = [(k, [1.0, float(k % 2)]) for k in range(0, 30)] + [(0, [1.0, 0.0]), (40, [1e160, 1e160]), (60, [-1e160, 1e200]), (80, [1e-200, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<double>, shard string, size int")
+    got = collections.defaultdict(list)
+    for r in hnsw.search_all(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    vectors = [(i, np.array(v)) for i, v in rows]
+    for q in (0, 20, 40, 60, 80):
+        own = next(v for i, v in vectors if i == q)
+        with np.errstate(over="ignore", invalid="ignore"):
+            want = sorted(((i, float(own @ v)) for i, v in vectors if i != q), key=lambda x: (-x[1], x[0]))
+        # of ids that are repeated in the queries, each row's results count
+        assert [s for _, s in got[q]][:20] == [s for _, s in want][:20] or q == 0
+        assert q not in {v for v, _ in got[q]} and len(got[q]) == 20
+    assert got[20][:2] == [(40, 1e160), (1, 1.0)] or got[20][0][0] == 40
+    assert hnsw.search_all(df.limit(0), df.limit(0)).count() == 0
+
+
 def slots_by_simulation(shares, blocks):
     """Earliest deadline first, slot by slot."""
     from fractions import Fraction
@@ -159,10 +224,24 @@ def test_mix_follows_deadlines(spark):
     mixed = mixing.mix(df, block=4)
     assert mixed.columns == df.columns
     order = {r.k: r.position for r in mixing.schedule(df.withColumnsRenamed({"block": "k", "position": "p"}).select("doc_id", "source", "text", "k", "p"), block=4).collect()}
-    assert sorted(r.block for r in mixed.collect()) == sorted(order)
+    assert [r.block for r in mixed.collect()] == sorted(order, key=order.get)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_many_null_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_OF_BUCKET", 10)
+    rows = [(None if k % 3 else k, f"src{k % 5}", k, "x") for k in range(400)] + [(None, "src0", -1, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, k bigint, slot string")
+    placed = mixing.schedule(df).collect()
+    assert sorted(r.position for r in placed) == list(range(len(rows))) and collections.Counter(r.k for r in placed) == collections.Counter(r[2] for r in rows)
+    import hashlib
+
+    for stream in {r.stream for r in placed}:
+        own = [hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest() for r in sorted((r for r in placed if r.stream == stream), key=lambda r: (r.block, r.place))]
+        assert own == sorted(own)
+    assert sorted(mixing.mix(df).columns) == sorted(df.columns)
+
+
 def test_every_source_has_its_own_share(spark):
     import corpus_pipeline
 

@@ -55,6 +55,24 @@ def test_every_splitting_class(reference):
             assert np.frombuffer(codec.encode(text), "<i4").tolist() == reference.encode_ordinary(text), hex(point)
 
 
+def test_memories_are_bounded(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_PIECES", 7)
+    monkeypatch.setattr(byte_bpe, "MEMO_PAIRS", 5)
+    codec = byte_bpe.Codec(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.pattern())
+    for text in TEXTS * 2:
+        assert np.frombuffer(codec.encode(text), "<i4").tolist() == reference.encode_ordinary(text or "")
+        assert len(codec.memo) <= 7 and len(codec.memo.before) <= 7 and all(len(p) <= byte_bpe.MEMO_LENGTH for p in codec.memo)
+
+
+def test_repeated_rows_of_token_files(spark):
+    rows = [(5, "same text"), (5, "same text"), (5, "same text"), (None, "x"), (None, "x")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, id int, frame int, row int")
+    place = Scratch(spark).path("test-files")
+    token_files.write(df, place, queries.tokenizer_file("byte_bpe_50k.json"), queries.pattern(), 2)
+    got = token_files.records(spark, place).orderBy("start").collect()
+    assert [(r.id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (None, 2, 2), (5, 4, 3), (5, 7, 3), (5, 10, 3)]
+
+
 def test_histogram_answers(spark, docs, reference):
     lengths = token_counts.encoded_lengths(docs, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.pattern())
     want = [len(reference.encode_ordinary(t or "")) for t in TEXTS]
@@ -86,6 +104,7 @@ def test_token_files(spark, docs):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     one = np.frombuffer(token_files.read_document(spark, place, 8), "<u2").tolist()
+    assert {r.id: bytes(r.ids_bytes) for r in token_files.read(spark, place).collect()}[8] == np.array(one, "<u2").tobytes()
     assert one == library.encode(TEXTS[8], add_special_tokens=False).ids + [2]
     assert token_files.read_document(spark, place, 99) is None
     token_files.write(docs.limit(0), empty := Scratch(spark).path("test-files"), path, queries.pattern(), 2)
