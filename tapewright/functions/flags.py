@@ -24,6 +24,15 @@ def high_low_eligible(flags: Column) -> Column:
     return last_sale_eligible(flags) & ~has(flags, SINGLE_PRICE_CROSS)
 
 
+def volume_eligible(flags: Column) -> Column:
+    """Every trade counts for volume."""
+    return flags.isNotNull() | F.lit(True)
+
+
+def quote_state(flags: Column) -> Column:
+    return F.when(has(flags, QUOTE_HALTED), "halted").when(has(flags, QUOTE_OFF_HOURS), "off_hours").otherwise("open")
+
+
 def side_name(side: Column) -> Column:
     return F.when(side == "8", "buy").when(side == "5", "sell").otherwise("unknown")
 

@@ -75,7 +75,7 @@ def variation(xs: Column) -> Column:
 
 def reversion(before: Column, peak: Column, after: Column) -> Column:
     """Share of a price move that is taken back."""
-    return F.when(peak != before, (peak - after) / (peak - before))
+    return F.when(F.abs(peak - before) > 1e-9, (peak - after) / (peak - before))
 
 
 def effective_spread_bps(price: Column, mid: Column) -> Column:
@@ -144,6 +144,19 @@ def fano_class(f: Column) -> Column:
     return F.when(f > 5, "highly").when(f > 2, "moderately").when(f > 1, "weakly")
 
 
+def lean_class(value: Column, up: str, down: str) -> Column:
+    """up beyond 0.1, down below -0.1, else balanced; null for null."""
+    return F.when(value > 0.1, up).when(value < -0.1, down).when(value.isNotNull(), "balanced")
+
+
+def flow_class(imbalance: Column) -> Column:
+    return lean_class(imbalance, "buyer-leaning", "seller-leaning")
+
+
+def depth_class(imbalance: Column) -> Column:
+    return lean_class(imbalance, "bid-skewed", "ask-skewed")
+
+
 def flow_imbalance(bid_added: Column, bid_removed: Column, ask_added: Column, ask_removed: Column) -> Column:
     total = bid_added + bid_removed + ask_added + ask_removed
     return F.when(total > 0, ((bid_added - bid_removed) - (ask_added - ask_removed)) / total)

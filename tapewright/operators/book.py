@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .patterns import range_join
+from .patterns import long_span_join
 
 ORDER = ["trading_date", "symbol", "order_id"]
 LEVEL = ["trading_date", "symbol", "side", "price_raw"]
@@ -90,12 +90,31 @@ def snapshot(intervals: DataFrame, requests: DataFrame, bucket: int) -> DataFram
     """The levels that the book of a request's symbol and day holds at its ts_nanos.
 
     Requests have trading_date, symbol, ts_nanos and what else tells them apart.
-    An interval meets requests by time buckets; what is longer than a day's end
-    is cut there first, so give bucket about the length of usual intervals.
+    Intervals are cut to the time between a symbol's first and last request of a
+    day. One that lasts for very many buckets costs a few rows only, so give
+    bucket about the length of usual intervals.
     """
     ends = requests.groupBy("trading_date", "symbol").agg(F.min("ts_nanos").alias("__from"), F.max("ts_nanos").alias("__to"))
     cut = intervals.join(ends, ["trading_date", "symbol"]).withColumns({"start": F.greatest("start", "__from"), "end": F.least(F.col("end"), F.col("__to") + 1)}).filter("start < end").drop("__from", "__to")
-    return range_join(requests, cut, ["trading_date", "symbol"], "ts_nanos", "start", "end", bucket).drop("start", "end")
+    return long_span_join(requests, cut, ["trading_date", "symbol"], "ts_nanos", "start", "end", bucket).drop("start", "end")
+
+
+def negative_levels(changes: DataFrame) -> DataFrame:
+    """Times at which a level's size falls below 0: no consistent book has any."""
+    return level_sizes(changes).filter("level_size < 0").select(*LEVEL, "ts_nanos", "level_size")
+
+
+def nth_level(levels: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """keys, side, price and size of the nth best level (from 1) of each side that has so many."""
+    towards = Window.partitionBy(*keys, "side").orderBy(F.when(F.col("side") == "8", -F.col("price_raw")).otherwise(F.col("price_raw")))
+    return levels.withColumn("__n", F.row_number().over(towards)).filter(F.col("__n") == n).select(*keys, "side", "price_raw", "level_size")
+
+
+def size_at(levels: DataFrame, keys: list[str], price_raw: Column) -> DataFrame:
+    """keys with the sizes of both sides at a price, 0 where a side has no such level."""
+    here = F.col("price_raw") == price_raw
+    of = lambda side: F.sum(F.when(here & (F.col("side") == side), F.col("level_size")).otherwise(0))
+    return levels.groupBy(*keys).agg(of("8").alias("bid_size"), of("5").alias("ask_size"))
 
 
 def round_lot(price_raw: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt, stats
+from ..session import written
 from . import lifecycle as lc
 from .patterns import gap_clusters
 
@@ -188,12 +189,15 @@ def with_breakdown(events: DataFrame) -> DataFrame:
     return events.select(*COMMON, F.to_json(F.struct(*facts)).alias("breakdown"), refs.alias("source_refs"))
 
 
-def run_all(calls: dict[str, tuple]) -> tuple[DataFrame, dict[str, Exception]]:
-    """All events of {scorer_id: (tables and thresholds)}, and the detectors that could not be planned; one failing does not stop the rest."""
+def run_all(calls: dict[str, tuple], keep: Callable[[DataFrame, str], DataFrame] = written) -> tuple[DataFrame | None, dict[str, Exception]]:
+    """All events of {scorer_id: (tables and thresholds)}, and the detectors that failed, in planning or in running; one failing does not stop the rest.
+
+    keep runs a detector: by default its events are written to the shared folder.
+    """
     events, failed = None, {}
     for scorer_id, (args, options) in calls.items():
         try:
-            found = with_breakdown(DETECTORS[scorer_id](*args, **options))
+            found = keep(with_breakdown(DETECTORS[scorer_id](*args, **options)), f"events-{scorer_id}")
         except Exception as error:  # reported to the caller by its id
             failed[scorer_id] = error
             continue

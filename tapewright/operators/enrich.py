@@ -79,6 +79,14 @@ def price_path(executed_with_side: DataFrame, keys: list[str], least: int = 3) -
     ).filter(F.col("n_fills") >= least)
 
 
+def execution_windows(executed_with_side: DataFrame, events: DataFrame, before_ns: int, after_ns: int, least: int = 3) -> DataFrame:
+    """price_path() of the executions in [ts - before, ts_end + after) of each event; events of fewer than ``least`` have no row."""
+    ts, end = F.col("ts_nanos"), F.coalesce("ts_end_nanos", "ts_nanos")
+    spans = events.select("event_id", *KEYS, (ts - before_ns).alias("start"), (end + after_ns).alias("end"))
+    rows = executed_with_side.select(*KEYS, "ts_nanos", "seq", "size", "price_raw", "resting_side")
+    return price_path(range_join(rows, spans, KEYS, "ts_nanos", "start", "end", before_ns + after_ns), ["event_id"], least)
+
+
 def merge(events: DataFrame, found: DataFrame, key: str = "event_id") -> DataFrame:
     """events with the columns of found; where both have one, a found value that isn't null wins."""
     e, f = events.alias("e"), found.alias("f")

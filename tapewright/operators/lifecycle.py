@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .patterns import day_rows, feed_rows
+
 KEY = ["trading_date", "order_id"]
 
 
@@ -35,6 +37,11 @@ def with_resting_side(executed: DataFrame, lifecycle: DataFrame) -> DataFrame:
     return executed.join(lifecycle.select(*KEY, F.col("side").alias("resting_side")), KEY)
 
 
+def refresh_day(trades: DataFrame, path: str, day: str, feed: str | None = None) -> None:
+    """Writes one day of the daily volumes at path anew and leaves the other days."""
+    daily_volume(feed_rows(day_rows(trades, day), feed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def daily_volume(trades: DataFrame) -> DataFrame:
     return trades.groupBy(F.col("trading_date").alias("day"), "symbol").agg(
         F.sum(F.col("size").cast("bigint")).alias("total_volume"), F.count(F.lit(1)).alias("trade_count"),

@@ -39,19 +39,50 @@ def gap_clusters(df: DataFrame, keys: list[str], order: list[str], max_gap: int,
     return joined.withColumn("cluster", F.struct(F.col("__island").alias("island"), part.alias("part"))).drop("__piece", "__own", "__row", "__offset", "__island", "__first", "__before")
 
 
-def asof_last(rows: DataFrame, at: DataFrame, keys: list[str], value: str, time: str = "ts_nanos", seq: str = "seq") -> DataFrame:
-    """at with the last value of rows of the same keys at or before its time (null if none)."""
+PIECE = 3_600_000_000_000  # an hour of nanoseconds
+
+
+def _carried(union: DataFrame, keys: list[str], own: Column, fold) -> DataFrame:
+    """keys, __piece, __carry: what fold makes of own, by piece, over all earlier pieces of a key. One row for each piece."""
+    pieces = union.groupBy(*keys, "__piece").agg(own.alias("__own"))
+    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select(*keys, "__piece", fold("__own").over(earlier).alias("__carry"))
+
+
+def asof_last(rows: DataFrame, at: DataFrame, keys: list[str], value: str, time: str = "ts_nanos", seq: str = "seq", piece: int = PIECE) -> DataFrame:
+    """at with the last value of rows of the same keys at or before its time (null if none).
+
+    Windows run inside pieces of time; what the earlier pieces leave comes in by a join.
+    """
     union = rows.select(*keys, F.col(time), F.lit(0).alias("__kind"), F.col(seq).alias("__seq"), F.col(value).alias("__value")).unionByName(
         at.select(*keys, F.col(time), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__seq"), F.lit(None).cast(rows.schema[value].dataType).alias("__value"), F.struct(*at.columns).alias("__at")), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy(time, "__kind", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    return union.withColumn("__last", F.last("__value", ignorenulls=True).over(upto)).filter("__kind = 1").select("__at.*", F.col("__last").alias(value))
+    union = union.withColumn("__piece", F.floor(F.col(time) / piece))
+    last = F.max_by(F.when(F.col("__value").isNotNull(), F.col("__value")), F.when(F.col("__value").isNotNull(), F.struct(time, "__seq")))
+    carried = _carried(union, keys, last, lambda c: F.last(c, ignorenulls=True))
+    upto = Window.partitionBy(*keys, "__piece").orderBy(time, "__kind", "__seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = union.withColumn("__last", F.last("__value", ignorenulls=True).over(upto)).filter("__kind = 1")
+    return inside.join(carried, [*keys, "__piece"]).select("__at.*", F.coalesce("__last", "__carry").alias(value))
 
 
-def asof_sum(rows: DataFrame, at: DataFrame, keys: list[str], value: str, time: str = "ts_nanos") -> DataFrame:
-    """at with the sum of value over rows of the same keys at or before its time (0 if none)."""
+def asof_sum(rows: DataFrame, at: DataFrame, keys: list[str], value: str, time: str = "ts_nanos", piece: int = PIECE) -> DataFrame:
+    """at with the sum of value over rows of the same keys at or before its time (0 if none), in pieces of time as asof_last()."""
     union = rows.select(*keys, F.col(time), F.col(value).alias("__value")).unionByName(at.select(*keys, F.col(time), F.lit(0).cast(rows.schema[value].dataType).alias("__value"), F.struct(*at.columns).alias("__at")), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    return union.withColumn("__sum", F.sum("__value").over(upto)).filter("__at is not null").select("__at.*", F.col("__sum").alias(value))
+    union = union.withColumn("__piece", F.floor(F.col(time) / piece))
+    carried = _carried(union, keys, F.sum("__value"), F.sum)
+    upto = Window.partitionBy(*keys, "__piece").orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
+    inside = union.withColumn("__sum", F.sum("__value").over(upto)).filter("__at is not null")
+    return inside.join(carried, [*keys, "__piece"]).select("__at.*", (F.col("__sum") + F.coalesce("__carry", F.lit(0))).alias(value))
+
+
+def with_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, piece: int = PIECE) -> DataFrame:
+    """df with the value of the row before, in an order whose first column is the time; windows run inside pieces of time."""
+    cut = df.withColumn("__piece", F.floor(F.col(order[0]) / piece))
+    pieces = cut.groupBy(*keys, "__piece").agg(F.max_by(value, F.struct(*order)).alias("__own"))
+    along = Window.partitionBy(*keys).orderBy("__piece")
+    carried = pieces.select(*keys, "__piece", F.lag("__own").over(along).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__piece").orderBy(*order)
+    rows = cut.withColumns({"__row": F.row_number().over(inside), "__lag": F.lag(value).over(inside)}).join(carried, [*keys, "__piece"])
+    return rows.withColumn(name, F.when(F.col("__row") == 1, F.col("__carry")).otherwise(F.col("__lag"))).drop("__piece", "__row", "__lag", "__carry")
 
 
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, bucket: int, how: str = "inner") -> DataFrame:
@@ -72,6 +103,44 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str,
     return p.join(s, same & inside, how).select("p.*", *[F.col(f"s.{c}") for c in kept]).drop("__bucket")
 
 
+BASE, LEVELS = 64, 3
+
+
+def _blocks(first: Column, end: Column) -> Column:
+    """Blocks (level, block) of BASE ** level buckets each that make up the buckets [first, end), every one once."""
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a < b, F.sequence(a, F.greatest(b - 1, a))).otherwise(none)
+    at = lambda level: lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"))
+    out = []
+    for level in range(LEVELS):
+        width = BASE**level
+        lo, hi = F.ceil(first / width), F.floor(end / width)
+        if level == LEVELS - 1:
+            blocks = run(lo, hi)
+        else:  # what the next level's whole blocks leave over on both sides
+            up = F.least(hi, F.ceil(first / (width * BASE)) * BASE)
+            blocks = F.concat(run(lo, up), run(F.greatest(up, F.floor(end / (width * BASE)) * BASE), hi))
+        out.append(F.transform(blocks, at(level)))
+    return F.concat(*out)
+
+
+def long_span_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, bucket: int) -> DataFrame:
+    """As range_join, for spans that may last very many buckets.
+
+    A span is repeated for the few blocks of 1, BASE or BASE ** 2 buckets that
+    make it up, and a point for the LEVELS blocks that hold it.
+    """
+    whole = _blocks(F.floor(F.col(start) / bucket), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / bucket) + 1)
+    dealt = spans.withColumn("__b", F.explode(whole)).withColumns({"__level": F.col("__b.level"), "__block": F.col("__b.block")}).drop("__b").alias("s")
+    at = F.floor(F.col(time) / bucket)
+    of_point = F.array(*[F.struct(F.lit(level).alias("level"), F.floor(at / BASE**level).alias("block")) for level in range(LEVELS)])
+    timed = points.withColumn("__b", F.explode(of_point)).withColumns({"__level": F.col("__b.level"), "__block": F.col("__b.block")}).drop("__b").alias("p")
+    same = (F.col("p.__level") == F.col("s.__level")) & (F.col("p.__block") == F.col("s.__block")) & (F.col(f"p.{time}") >= F.col(f"s.{start}")) & (F.col(f"p.{time}") < F.col(f"s.{end}"))
+    for key in keys:
+        same &= F.col(f"p.{key}") == F.col(f"s.{key}")
+    return timed.join(dealt, same).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in spans.columns if c not in keys])
+
+
 def streak(df: DataFrame, keys: list[str], period: str) -> DataFrame:
     """keys, first, last, length of each run of consecutive periods (whole numbers)."""
     numbered = df.select(*keys, period).distinct().withColumn("__run", F.col(period) - F.row_number().over(Window.partitionBy(*keys).orderBy(period)))
@@ -85,8 +154,39 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column | str], n: int
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """target with its rows replaced by updates of the same keys, and the other updates added. Keys of updates are distinct."""
-    return target.join(updates.select(*keys), keys, "left_anti").unionByName(updates)
+    """target with its rows replaced by updates of the same keys, and the other updates added.
+
+    Nulls in keys are equal to each other. Of updates of equal keys the greatest row, column by column, counts.
+    """
+    others = [c for c in updates.columns if c not in keys]
+    once = updates.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*keys, "__row.*") if others else updates.select(*keys).distinct()
+    new, same = once.select(*[F.col(k).alias(f"__{k}") for k in keys]), F.lit(True)
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"__{key}"))
+    return target.join(new, same, "left_anti").unionByName(once.select(*updates.columns))
+
+
+def day_rows(df: DataFrame, day: str, time: str = "ts_nanos") -> DataFrame:
+    """Rows of a UTC day, [day, next day): by the partition column, if there is one, and by the time."""
+    start = F.datediff(F.lit(day).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000_000
+    rows = df.filter(F.col("trading_date") == F.lit(day).cast("date")) if "trading_date" in df.columns else df
+    return rows.filter((F.col(time) >= start) & (F.col(time) < start + 86_400_000_000_000))
+
+
+def feed_rows(df: DataFrame, feed: str | None) -> DataFrame:
+    """Rows of one feed, or of all if feed is None."""
+    return df if feed is None else df.filter(F.col("feed_source") == feed)
+
+
+def retained(df: DataFrame, today: str, weeks: int, day: str = "trading_date") -> DataFrame:
+    """Rows of the weeks that are kept, for a rewrite of a table of wire or derived rows; texts and rollups are never swept."""
+    return df.filter(F.col(day) >= F.date_sub(F.date_trunc("week", F.lit(today).cast("date")).cast("date"), 7 * weeks))
+
+
+def not_ingested(days: DataFrame, runs: DataFrame, feed: str, day: str = "trading_date") -> DataFrame:
+    """Days without a run of a feed that ended well. runs: day, feed_source, status."""
+    done = runs.filter((F.col("feed_source") == feed) & (F.col("status") == "ok")).select(day).distinct()
+    return days.join(done, day, "left_anti")
 
 
 def upsert_keeping(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:

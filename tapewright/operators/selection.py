@@ -23,10 +23,11 @@ def _order() -> list:
 
 def within_budget(events: DataFrame, share: float, least: int, most: int) -> DataFrame:
     """Of each day and scorer the best events: a share of them, at least and at most so many."""
-    own = Window.partitionBy("trading_date", "scorer_id")
-    ranked = events.withColumns({"__rank": F.row_number().over(own.orderBy(*_order())), "__n": F.count(F.lit(1)).over(own)})
+    keys = ["trading_date", "scorer_id"]
+    best = events.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*_order()))).filter(F.col("__rank") <= most)  # the window stops at most rows of a group
+    counted = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     budget = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.lit(share) * F.col("__n"))))
-    return ranked.filter(F.col("__rank") <= budget).drop("__rank", "__n")
+    return best.join(counted, keys).filter(F.col("__rank") <= budget).select(*events.columns)
 
 
 def nest(events: DataFrame, share: float = 0.05, least: int = 1, most: int = 30, mutual: bool = False) -> DataFrame:

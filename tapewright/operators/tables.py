@@ -179,9 +179,9 @@ def changed(hashes: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return hashes.join(stored.withColumnRenamed("content_hash", "stored_hash"), keys, "left").filter(~F.col("content_hash").eqNullSafe(F.col("stored_hash"))).drop("stored_hash")
 
 
-def date_scope(spark, dates: list[str], ranges: list[tuple[str, str]]) -> DataFrame:
-    """Weekdays named one by one or by ranges, either way round, each once."""
-    one = spark.createDataFrame([(d, d) for d in dates] + list(ranges), "a string, b string").select(F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+def date_scope(dates: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Weekdays named one by one (day) or by ranges (a, b), either way round, each once."""
+    one = dates.select(F.col("day").alias("a"), F.col("day").alias("b")).distinct().unionByName(ranges.select(F.to_date("a").alias("a"), F.to_date("b").alias("b")))
     days = one.select(F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b"))).alias("day")).distinct()
     return days.filter(F.weekday("day") < 5)
 
@@ -192,6 +192,49 @@ def touched_periods(days: DataFrame) -> DataFrame:
     return days.select(F.inline(kinds)).distinct()
 
 
+def forward_ranges(periods: DataFrame) -> DataFrame:
+    """kind, start and end (exclusive) of periods, with the days from one to the next."""
+    step = F.when(F.col("kind") == "week", F.date_add("start", 7)).when(F.col("kind") == "quarter", F.add_months("start", 3)).otherwise(F.add_months("start", 12))
+    return periods.select("kind", "start", step.alias("end"), F.datediff(step, "start").alias("n_days"))
+
+
+def scorer_mix(events: DataFrame) -> DataFrame:
+    """By symbol, events, days, and its mix of scorers as a map."""
+    n = events.groupBy("symbol", "scorer_id").agg(F.count(F.lit(1)).alias("n"))
+    days = events.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("trading_date").alias("n_days"))
+    mix = n.groupBy("symbol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("scorer_id", "n")))).alias("mix"))  # as many as scorers
+    return days.join(mix, "symbol")
+
+
+def digest(selected: DataFrame, texts: DataFrame) -> DataFrame:
+    """trading_date, place, phase, event_id, symbol, scorer_id, score, text: the order in which a day is told.
+
+    Events of the whole day come first, then the phases of the day in their
+    order, the strongest first; the text is that of texts (event_id,
+    interpretation, narrative), interpretation before narrative. A day has at
+    most as many events as are selected of it.
+    """
+    phases = list(dict.fromkeys(p[1] for p in fmt.PHASES))
+    order = F.array_position(F.array(*[F.lit(p) for p in ("unknown", *phases)]), F.col("phase"))
+    told = selected.join(texts.select("event_id", F.coalesce("interpretation", "narrative").alias("text")), "event_id", "left").withColumn("phase", phase_of(selected))
+    place = F.row_number().over(Window.partitionBy("trading_date").orderBy(order, F.desc("score"), "ts_nanos", "event_id"))
+    return told.select("trading_date", place.cast("bigint").alias("place"), "phase", "event_id", "symbol", "scorer_id", "score", "text")
+
+
+def headline_text(events: DataFrame) -> Column:
+    """A line on an event: what it is, where, when in New York, its size; parts that are null are left out."""
+    size = F.when(F.col("total_shares") > 0, F.concat(fmt.thousands(F.col("total_shares")), F.lit(" shares")))
+    rows = F.when(F.col("n_rows") > 0, F.concat(fmt.thousands(F.col("n_rows")), F.lit(" orders")))
+    time = F.when(~F.col("scorer_id").isin(*DAY_LEVEL), F.concat(F.lit("at "), fmt.new_york_time(F.col("ts_nanos"))))
+    return F.concat_ws(", ", F.concat(fmt.scorer_name(F.col("scorer_id")), F.lit(" in "), F.col("symbol")), time, rows, size)
+
+
+def rebuild_scope(days: DataFrame) -> DataFrame:
+    """day, week_start, week_day: the days whose tables are built anew, and Monday to Friday of each one's week."""
+    weeks = days.select(fmt.week_start(F.col("day")).alias("week_start")).distinct()
+    return weeks.select("week_start", F.explode(F.sequence("week_start", F.date_add("week_start", 4))).alias("day"))
+
+
 def published_dates(selected: DataFrame) -> DataFrame:
     """Dates that have published events, with counts."""
     return selected.groupBy("trading_date").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("symbol").alias("n_symbols"))

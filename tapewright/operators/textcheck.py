@@ -6,6 +6,7 @@ the row; a claim without a fact is reported.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,6 +83,11 @@ def unknown_tickers(texts: DataFrame, symbols: DataFrame, key: str = "doc_id") -
     return said.join(known, "ticker", "left_anti").select(key, "ticker")
 
 
+def names_symbol(text: Column, symbol: Column) -> Column:
+    """Whether a text holds its symbol."""
+    return F.coalesce(text.contains(symbol), F.lit(False))
+
+
 def intent_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(INTENT), F.lit(0))
 
@@ -122,14 +128,19 @@ def missing_fields(facts: Column, paths: list[str]) -> Column:
     return F.filter(F.array(*[F.when(F.get_json_object(facts, f"$.{p}").isNull(), F.lit(p)) for p in paths]), lambda p: p.isNotNull())
 
 
-def leaf_values(facts: Column, depth: int = 1) -> Column:
-    """Values of a flat JSON object as text."""
-    return F.map_values(F.from_json(facts, "map<string,string>"))
+def leaf_values(facts: Column, depth: int = 3) -> Column:
+    """Values of a JSON object as text, those of objects and arrays inside it too, up to a depth; deeper ones stay as JSON."""
+    nested = F.transform(F.coalesce(F.map_values(F.from_json(facts, "map<string,string>")), F.from_json(facts, "array<string>"), F.array().cast("array<string>")), lambda v: v)
+    for _ in range(depth - 1):
+        parts = lambda v: F.when(v.startswith("{"), F.map_values(F.from_json(v, "map<string,string>"))).when(v.startswith("["), F.from_json(v, "array<string>"))
+        nested = F.flatten(F.transform(nested, lambda v: F.coalesce(parts(v), F.array(v))))
+    return F.filter(nested, lambda v: v.isNotNull())
 
 
 def other_scorers(text: Column, allowed: Column, names: dict[str, str]) -> Column:
     """Scorers whose names a text mentions though they are not allowed."""
-    said = F.filter(F.array(*[F.when(F.lower(text).contains(phrase), F.lit(scorer)) for scorer, phrase in names.items()]), lambda s: s.isNotNull())
+    whole = lambda phrase: F.lower(text).rlike(rf"(?<![a-z0-9_]){re.escape(phrase)}s?(?![a-z0-9_])")
+    said = F.filter(F.array(*[F.when(whole(phrase), F.lit(scorer)) for scorer, phrase in names.items()]), lambda s: s.isNotNull())
     return F.array_except(said, allowed)
 
 

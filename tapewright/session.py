@@ -1,17 +1,37 @@
-"""The package on executors."""
+"""The package on executors, and tables in the folder that they share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 NAME = "tapewright.zip"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir. Only a local session, as in tests, gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there, for a table that several parts of a query read."""
+    place = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors' Python workers, once, unless their path has it already."""
     root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
