@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import book, enrich, validate
+from ..session import written
 from . import events as ev
 from . import fixtures as fx
 
@@ -29,7 +30,8 @@ def _steps(spark, sf_dir, clears=True):
 
 
 def _changes(spark, sf_dir):
-    return book.level_changes(book.remaining(_steps(spark, sf_dir)))
+    """Level changes, written once for all that a query derives from them."""
+    return written(book.level_changes(book.remaining(_steps(spark, sf_dir))), "changes")
 
 
 STEPS = """, ended as (select a.trading_date, a.order_id, min(c.ts_nanos) clear_ts from orders_add a join clear_books c on a.trading_date = c.trading_date and a.symbol = c.symbol and c.ts_nanos > a.ts_nanos group by all),
@@ -65,22 +67,34 @@ def level_running_size(spark, sf_dir):
     return book.level_sizes(_changes(spark, sf_dir)).select("trading_date", "symbol", "side", "price_raw", "ts_nanos", "delta", "level_size")
 
 
-@query("""select trading_date, symbol, order_id, ts_nanos, reason from (
-  select x.trading_date, x.symbol, x.order_id, x.ts_nanos, case when d.order_id is not null and d.ts_nanos < x.ts_nanos then 'gone order: execute' when a.order_id is null then 'unknown order: execute' when x.size + 400 > a.size then 'executed over its size' end reason
-  from orders_executed x left join (select * from orders_add where order_id % 7 <> 0) a using (trading_date, order_id) left join orders_delete d using (trading_date, order_id)) where reason is not null""")
+#: The same chain over flow that no consistent book allows, without clears.
+_ODD = STEPS.replace("from orders_add", "from (select * from orders_add where order_id % 7 <> 0)").replace("from orders_executed", "from (select * replace (size + 400 as size) from orders_executed)").replace("join clear_books c on", "join (select * from clear_books where false) c on").replace("join orders_add a", "join (select * from orders_add where order_id % 7 <> 0) a")
+
+
+@query(f"""{_ODD}, judged as (select *, coalesce(rem_before, 0) before_, row_number() over (partition by trading_date, order_id order by ts_nanos, seq) n from moved)
+select trading_date, symbol, order_id, ts_nanos, reason from (select *, case when op = 'add' and n > 1 and before_ > 0 then 'duplicate add' when op <> 'add' and rem_before is null then 'unknown order: ' || op
+  when op <> 'add' and before_ <= 0 then 'gone order: ' || op when op = 'execute' and size > before_ then 'executed over its size' end reason from judged) where reason is not null""")
 def book_violations(spark, sf_dir):
     """Executions made too large, and orders whose add is missing."""
     adds = fx.orders_add(spark, sf_dir).filter("order_id % 7 != 0")
     executed = fx.orders_executed(spark, sf_dir).withColumn("size", F.col("size") + 400)
-    none = fx.orders_modify(spark, sf_dir).limit(0)
-    return book.violations(book.order_steps(adds, none, executed, fx.orders_delete(spark, sf_dir).limit(0))).drop("seq")
+    return book.violations(book.order_steps(adds, fx.orders_modify(spark, sf_dir), executed, fx.orders_delete(spark, sf_dir))).drop("seq")
+
 
+@query(f"{_ODD}, odd as (select *, cast(sum(delta) over (partition by trading_date, symbol, side, price_raw order by ts_nanos) as bigint) level_size from (select trading_date, symbol, side, price_raw, ts_nanos, sum(delta) delta from changes where side is not null group by all)) select trading_date, symbol, side, price_raw, ts_nanos, level_size from odd where level_size < 0")
+def negative_levels(spark, sf_dir):
+    """Levels below 0, of flow whose executions are made too large."""
+    adds = fx.orders_add(spark, sf_dir).filter("order_id % 7 != 0")
+    executed = fx.orders_executed(spark, sf_dir).withColumn("size", F.col("size") + 400)
+    rows = book.remaining(book.order_steps(adds, fx.orders_modify(spark, sf_dir), executed, fx.orders_delete(spark, sf_dir)))
+    return book.negative_levels(book.level_changes(rows).filter("side is not null"))
 
-REQUESTS = f"select trading_date, symbol, ts_nanos + 1 ts_nanos, order_id request from orders_add where order_id % 10 = 0"
+
+REQUESTS = f"select trading_date, symbol, ts_nanos + 1 ts_nanos, order_id request from orders_add"
 
 
 def _requests(spark, sf_dir):
-    return fx.orders_add(spark, sf_dir).filter("order_id % 10 = 0").select("trading_date", "symbol", (F.col("ts_nanos") + 1).alias("ts_nanos"), F.col("order_id").alias("request"))
+    return fx.orders_add(spark, sf_dir).select("trading_date", "symbol", (F.col("ts_nanos") + 1).alias("ts_nanos"), F.col("order_id").alias("request"))
 
 
 def _intervals(spark, sf_dir):
@@ -112,30 +126,42 @@ def protected_bbo(spark, sf_dir):
     return book.protected_prices(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request"])
 
 
+@query(f"{STEPS} select request, side, price_raw, level_size from (select *, row_number() over (partition by request, side order by case when side = '8' then -price_raw else price_raw end) n from {SNAP}) where n = 2")
+def second_levels(spark, sf_dir):
+    return book.nth_level(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request"], 2)
+
+
+@query(f"{STEPS} select request, cast(sum(case when price_raw = 1000500 and side = '8' then level_size else 0 end) as bigint) bid_size, cast(sum(case when price_raw = 1000500 and side = '5' then level_size else 0 end) as bigint) ask_size from {SNAP} group by 1")
+def sizes_at_price(spark, sf_dir):
+    return book.size_at(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request"], F.lit(1_000_500))
+
+
 UPDATES = "(select trading_date, symbol, side, price_raw, ts_nanos, level_size + case when ts_nanos // 1000000 % 997 = 0 then 1 else 0 end declared from sizes)"
 
 
-def _updates(spark, sf_dir):
-    sizes = book.level_sizes(_changes(spark, sf_dir))
+def _updates(spark, sf_dir, changes=None):
+    sizes = book.level_sizes(_changes(spark, sf_dir) if changes is None else changes)
     return sizes.withColumn("declared", F.expr("level_size + case when ts_nanos div 1000000 % 997 = 0 then 1 else 0 end")).withColumn("seq", F.lit(0).cast("bigint")).drop("delta", "level_size")
 
 
 @query(f"{STEPS} select symbol, count(*) compared, count(*) filter (where declared = level_size) matched, count(*) filter (where declared <> level_size) mismatched, {ev.r6('count(*) filter (where declared = level_size) / count(*)')} match_rate from {UPDATES} u join sizes s using (trading_date, symbol, side, price_raw, ts_nanos) group by 1")
 def level_check(spark, sf_dir):
-    return ev.rounded(validate.match_report(validate.level_check(_changes(spark, sf_dir), _updates(spark, sf_dir)), ["symbol"]), "match_rate")
+    changes = _changes(spark, sf_dir)
+    return ev.rounded(validate.match_report(validate.level_check(changes, _updates(spark, sf_dir, changes)), ["symbol"]), "match_rate")
 
 
 QUOTES = f"(select *, bid_size + case when request % 50 = 0 then 1 else 0 end quoted from {PROTECTED} where (bid_size > 0 or ask_size > 0))"
 
 
-def _quotes(spark, sf_dir):
-    found = book.protected_prices(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request", "trading_date", "symbol", "ts_nanos"], F.lit(100)).filter("bid_size > 0 or ask_size > 0")
+def _quotes(spark, sf_dir, intervals):
+    found = book.protected_prices(book.snapshot(intervals, _requests(spark, sf_dir), SEC), ["request", "trading_date", "symbol", "ts_nanos"], F.lit(100)).filter("bid_size > 0 or ask_size > 0")
     return found.withColumns({"bid_size": F.expr("bid_size + case when request % 50 = 0 then 1 else 0 end"), "seq": F.col("request")})
 
 
 @query(f"{STEPS} select trading_date, count(*) compared, count(*) filter (where quoted = bid_size) matched, count(*) filter (where quoted <> bid_size) mismatched, {ev.r6('count(*) filter (where quoted = bid_size) / count(*)')} match_rate from {QUOTES} group by 1")
 def bbo_check(spark, sf_dir):
-    return ev.rounded(validate.match_report(validate.bbo_check(_quotes(spark, sf_dir), _intervals(spark, sf_dir), SEC, F.lit(100)), ["trading_date"]), "match_rate")
+    intervals = _intervals(spark, sf_dir)
+    return ev.rounded(validate.match_report(validate.bbo_check(_quotes(spark, sf_dir, intervals), intervals, SEC, F.lit(100)), ["trading_date"]), "match_rate")
 
 
 @query(f"""{STEPS}, kept as (select *, ts_nanos start_, coalesce(lead(ts_nanos) over (partition by trading_date, symbol, side, price_raw order by ts_nanos), 4611686018427387904) end_ from {UPDATES}),
@@ -155,13 +181,27 @@ def volume_reconcile(spark, sf_dir):
     return validate.reconcile_volumes(trades, trades.filter("trade_id % 97 != 0"))
 
 
-@query(f"""{STEPS}, rates as (select (select count(*) filter (where declared = level_size) / count(*) from {UPDATES} u join sizes s using (trading_date, symbol, side, price_raw, ts_nanos)) level_rate, (select count(*) filter (where quoted = bid_size) / count(*) from {QUOTES}) bbo_rate)
-select {ev.r6('level_rate')} level_rate, {ev.r6('bbo_rate')} bbo_rate, case when level_rate is null or bbo_rate is null then 'failed' when level_rate < 0.9999 or bbo_rate < 0.99 then 'below_threshold' else 'passed' end verdict from rates""")
+_FED = f"""fed as (select *, ts_nanos start_, coalesce(lead(ts_nanos) over (partition by trading_date, symbol, side, price_raw order by ts_nanos), 4611686018427387904) end_ from {UPDATES}),
+fed_snap as (select r.request, s.side, s.price_raw, s.declared from ({REQUESTS}) r join fed s on r.trading_date = s.trading_date and r.symbol = s.symbol and s.start_ <= r.ts_nanos and r.ts_nanos < s.end_ where s.declared > 0),
+fed_best as (select request, coalesce(max(case when side = '8' and upto >= 100 then price_raw end), 0) bid_price, coalesce(arg_max(case when side = '8' and upto >= 100 then upto end, case when side = '8' and upto >= 100 then price_raw end), 0) bid,
+  coalesce(min(case when side = '5' and upto >= 100 then price_raw end), 0) ask_price, coalesce(arg_min(case when side = '5' and upto >= 100 then upto end, case when side = '5' and upto >= 100 then price_raw end), 0) ask
+  from (select *, sum(declared) over (partition by request, side order by case when side = '8' then -price_raw else price_raw end) upto from fed_snap) group by 1)"""
+
+
+@query(f"""{STEPS}, {_FED}, rates as (select (select count(*) filter (where declared = level_size) / count(*) from {UPDATES} u join sizes s using (trading_date, symbol, side, price_raw, ts_nanos)) level_rate, (select count(*) filter (where quoted = bid_size) / count(*) from {QUOTES}) bbo_rate,
+  (select count(*) filter (where coalesce(bid_price, 0) = bid_price_raw and coalesce(bid, 0) = quoted and coalesce(ask_price, 0) = ask_price_raw and coalesce(ask, 0) = ask_size) / count(*) from {QUOTES} q left join fed_best using (request)) level_feed_rate)
+select {ev.r6('level_rate')} level_rate, {ev.r6('bbo_rate')} bbo_rate, {ev.r6('level_feed_rate')} level_feed_rate, case when level_rate is null or bbo_rate is null or level_feed_rate is null then 'failed' when level_rate < 0.9999 or bbo_rate < 0.99 or level_feed_rate < 0.99 then 'below_threshold' else 'passed' end verdict from rates""")
 def match_report(spark, sf_dir):
-    levels = validate.match_report(validate.level_check(_changes(spark, sf_dir), _updates(spark, sf_dir)), []).select(F.col("match_rate").alias("level_rate"))
-    bbo = validate.match_report(validate.bbo_check(_quotes(spark, sf_dir), _intervals(spark, sf_dir), SEC, F.lit(100)), []).select(F.col("match_rate").alias("bbo_rate"))
-    both = levels.withColumn("one", F.lit(1)).join(bbo.withColumn("one", F.lit(1)), "one").drop("one")
-    return ev.rounded(both.withColumn("verdict", validate.triangle_verdict(F.col("level_rate"), F.col("bbo_rate"), F.col("bbo_rate"))), "level_rate", "bbo_rate")
+    """The three legs of the triangle: orders against levels, orders against quotes, levels against quotes."""
+    changes = _changes(spark, sf_dir)
+    updates = written(_updates(spark, sf_dir, changes), "updates")
+    intervals = book.level_intervals(book.level_sizes(changes))
+    quotes = written(_quotes(spark, sf_dir, intervals), "quotes")
+    rate = lambda checked, name: validate.match_report(checked, []).select(F.col("match_rate").alias(name), F.lit(1).alias("one"))
+    legs = rate(validate.level_check(changes, updates), "level_rate")
+    legs = legs.join(rate(validate.bbo_check(quotes, intervals, SEC, F.lit(100)), "bbo_rate"), "one")
+    legs = legs.join(rate(validate.bbo_check(quotes, validate.replaced_level_intervals(updates), SEC, F.lit(100)), "level_feed_rate"), "one").drop("one")
+    return ev.rounded(legs.withColumn("verdict", validate.triangle_verdict(F.col("level_rate"), F.col("bbo_rate"), F.col("level_feed_rate"))), "level_rate", "bbo_rate", "level_feed_rate")
 
 
 @query(f"""select 'S03' symbol, ts_nanos, feed, order_id, row_number() over (order by ts_nanos, feed_priority, seq) as place from (
@@ -196,8 +236,7 @@ def window_reversion(spark, sf_dir):
     sweeps = ev.rounded(ev._sweeps(spark, sf_dir), "score").withColumn("event_id", ev.sel.event_key())
     peaks = sweeps.select("event_id", ((F.col("min_price_raw") + F.col("max_price_raw")) / 2.0 / 10_000.0).alias("peak"))
     windows = enrich.trade_windows(fx.orders_executed(spark, sf_dir), sweeps, WIDTH)
-    moves = enrich.window_moves(windows, peaks)
-    return ev.rounded(moves.withColumn("reversion", F.when(F.abs("reversion") < 1e6, F.col("reversion"))), "move_bps", "reversion")
+    return ev.rounded(enrich.window_moves(windows, peaks), "move_bps", "reversion")
 
 
 @query(f"""{_ev} select event_id, bids, asks, {ev.r6('greatest(bids, asks) / (bids + asks)')} sidedness, case when greatest(bids, asks) / (bids + asks) < 0.6 then 'two_sided' when bids > asks then 'bid_side' else 'ask_side' end sided from (
@@ -232,3 +271,17 @@ def price_path(spark, sf_dir):
     executed = ev.lc.with_resting_side(fx.orders_executed(spark, sf_dir), ev._lifecycle(spark, sf_dir))
     rows = enrich.price_path(executed, ["trading_date", "symbol"])
     return ev.rounded(rows, "realized_vol_bps", "jump_ratio", "vpin").withColumn("kyle_lambda", F.floor(F.col("kyle_lambda") * 1e9 + 0.5) / 1e9)
+
+
+@query(f"""{_ev}, fills as (select e.event_id, x.ts_nanos, x.seq, x.size, x.price_raw / 10000.0 p, cast(case when a.side = '8' then x.size else -x.size end as double) sg from (select * from events where scorer_id in ('sweep', 'layering', 'post_cancel_cluster')) e
+  join orders_executed x on x.trading_date = e.trading_date and x.symbol = e.symbol and x.ts_nanos >= e.ts_nanos - {WIDTH} and x.ts_nanos < e.ts_end_nanos + {WIDTH} join orders_add a on a.trading_date = x.trading_date and a.order_id = x.order_id)
+select event_id, n_fills, {ev.r6('realized')} realized_vol_bps, {ev.r6('jump')} jump_ratio, {ev.r6('vp')} vpin, floor(lambda_ * 1e9 + 0.5) / 1e9 kyle_lambda from (
+ select event_id, count(*) n_fills, sqrt(sum(lm * lm)) * 10000.0 realized, case when count(mv) >= 3 and sum(mv * mv) > 0 then least(1.0, greatest(0.0, 1 - coalesce(sum(abs(mv) * abs(mb)), 0) * (3.141592653589793 / 2) / sum(mv * mv))) end jump,
+   abs(sum(case when sg > 0 then size else 0 end) - sum(case when sg < 0 then size else 0 end)) / sum(size) vp, case when count(mv) >= 3 and var_pop(case when mv is not null then sg end) > 0 then regr_slope(mv, case when mv is not null then sg end) end lambda_ from (
+  select *, lag(mv) over (partition by event_id order by ts_nanos, seq) mb from (select *, p - lag(p) over w mv, ln(p / lag(p) over w) lm from fills window w as (partition by event_id order by ts_nanos, seq))) group by 1) where n_fills >= 3""")
+def execution_windows(spark, sf_dir):
+    """Volatility, jumps and signed flow of the executions around each event."""
+    executed = ev.lc.with_resting_side(fx.orders_executed(spark, sf_dir), ev._lifecycle(spark, sf_dir))
+    events = ev.events(spark, sf_dir).filter(F.col("scorer_id").isin("sweep", "layering", "post_cancel_cluster"))
+    rows = enrich.execution_windows(executed, events, WIDTH, WIDTH)
+    return ev.rounded(rows, "realized_vol_bps", "jump_ratio", "vpin").withColumn("kyle_lambda", F.floor(F.col("kyle_lambda") * 1e9 + 0.5) / 1e9)

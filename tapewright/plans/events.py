@@ -10,6 +10,7 @@ from ..operators import detectors as dt
 from ..operators import lifecycle as lc
 from ..operators import patterns
 from ..operators import selection as sel
+from ..session import written
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -257,12 +258,13 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def events(spark, sf_dir) -> DataFrame:
-    life, executed = _lifecycle(spark, sf_dir), fx.orders_executed(spark, sf_dir)
+    """Events of five detectors, written once and read by all that uses them."""
+    life, executed = written(lc.short_lived(_lifecycle(spark, sf_dir)), "short-lived"), fx.orders_executed(spark, sf_dir)
     found = [dt.sweeps(executed, **SWEEP), dt.post_cancel_clusters(life, **POST_CANCEL), dt.layering(life, **LAYERING), dt.icebergs(executed, **ICEBERG), dt.withdrawals(fx.orders_delete(spark, sf_dir), **WITHDRAWAL)]
     out = _kept(found[0])
     for df in found[1:]:
         out = out.unionByName(_kept(df))
-    return out.withColumn("event_id", sel.event_key())
+    return written(out.withColumn("event_id", sel.event_key()), "events")
 
 
 _columns = f"trading_date, symbol, ts_nanos, ts_end_nanos, scorer_id, {r6('score')} score, n_rows"

@@ -47,7 +47,8 @@ def orders_delete(spark, sf_dir):
 
 
 def clear_books(spark, sf_dir):
-    return spark.range(20).selectExpr("date_add(date'2024-01-01', cast(id as int)) trading_date", "'S03' symbol", f"{START} + id * {DAY} + {150 * 37000000 + 1} ts_nanos", "-1L seq", "'ORDERS' feed_source").join(table(spark, sf_dir, "region").limit(1).select(F.lit(1)), how="left_semi")
+    days = base(spark, sf_dir).select("d", "trading_date").distinct()
+    return days.selectExpr("trading_date", "'S03' symbol", f"{START} + d * {DAY} + {150 * 37000000 + 1} ts_nanos", "-1L seq", "'ORDERS' feed_source")
 
 
 def trades(spark, sf_dir):
@@ -83,7 +84,7 @@ orders_executed as (select trading_date, symbol, ts_nanos + (k % 53 + 1) * 10000
          cast(case when fate = 6 then 1 + k % 500 else greatest((1 + k % 500) // 2, 1) end as integer) size,
          1000000 + ((j // 2) % 10) * 100 + case when j % 2 = 0 then 0 else 1000 end price_raw, k * 10 trade_id from base where fate in (6, 7)),
 orders_delete as (select trading_date, symbol, ts_nanos + (6 + k % 97) * 1000000 ts_nanos, k * 4 + 3 seq, k order_id from base where fate < 6 or (fate = 9 and k % 3 = 0)),
-clear_books as (select date '2024-01-01' + cast(i as integer) trading_date, 'S03' symbol, {START} + i * {DAY} + {150 * 37000000 + 1} ts_nanos, -1 seq from range(20) r(i)),
+clear_books as (select distinct trading_date, 'S03' symbol, {START} + d * {DAY} + {150 * 37000000 + 1} ts_nanos, -1 seq from base),
 trades as (select cast(ts as date) trading_date, 'S' || lpad(cast(user_id % 25 as varchar), 2, '0') symbol, epoch_us(ts) * 1000 ts_nanos, event_id seq, cast(1 + event_id % 500 as integer) size,
          cast(floor(value * 10000 + 0.5) as bigint) price_raw, event_id trade_id, (event_id % 16) * 8 sale_condition_flags from events where event_type in ('purchase', 'click')),
 status_events as (select cast(ts as date) trading_date, 'S' || lpad(cast(user_id % 25 as varchar), 2, '0') symbol, epoch_us(ts) * 1000 ts_nanos, event_id seq, 'H' event_kind,

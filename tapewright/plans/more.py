@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flags, fmt
 from ..operators import book, enrich, tables
+from ..session import written
 from . import books
 from . import events as ev
 from . import fixtures as fx
@@ -50,10 +51,18 @@ def title_case(spark, sf_dir):
     return raw.select("p_partkey", fmt.better_name(F.lit(None).cast("string"), F.col("raw")).alias("name"))
 
 
-@query("select n_nationkey k, case n when 1 then 'a1' when 2 then 'a1 and a2' when 3 then 'a1, a2 and a3' when 4 then 'a1, a2, a3 and a4' else 'a1, a2, a3 and ' || (n - 3) || ' others' end as names from (select n_nationkey, 1 + n_nationkey % 7 n from nation)")
+@query("select o_orderkey k, case n when 1 then 'a1' when 2 then 'a1 and a2' when 3 then 'a1, a2 and a3' when 4 then 'a1, a2, a3 and a4' else 'a1, a2, a3 and ' || (n - 3) || ' others' end as names from (select o_orderkey, 1 + o_orderkey % 7 n from orders)")
 def listed_names(spark, sf_dir):
-    names = F.transform(F.sequence(F.lit(1), (1 + F.col("n_nationkey") % 7).cast("int")), lambda i: F.concat(F.lit("a"), i.cast("string")))
-    return fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), fmt.listed(names).alias("names"))
+    names = F.transform(F.sequence(F.lit(1), (1 + F.col("o_orderkey") % 7).cast("int")), lambda i: F.concat(F.lit("a"), i.cast("string")))
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), fmt.listed(names).alias("names"))
+
+
+@query(f"with {fx.SQL}, {ev.EVENTS} {ev.SELECT} select trading_date, event_id, case when event_id like '%7' then null when length(event_id) % 2 = 0 then 'told ' || symbol else 'seen ' || symbol end as text, row_number() over (partition by trading_date order by score desc, ts_nanos, event_id) as place from selected")
+def day_digest(spark, sf_dir):
+    """The order in which a day's selected events are told; the fixture's events are all of one phase."""
+    selected = written(_selected(spark, sf_dir), "selected")
+    texts = selected.filter("event_id not like '%7'").selectExpr("event_id", "case when length(event_id) % 2 = 0 then concat('told ', symbol) end interpretation", "concat('seen ', symbol) narrative")
+    return tables.digest(selected, texts).select("trading_date", "event_id", "text", "place")
 
 
 def _selected(spark, sf_dir):

@@ -68,7 +68,7 @@ def day_summary(spark, sf_dir):
     return ev.rounded(tables.day_summary(ev.events(spark, sf_dir)).drop("top_share", "n_members", "entropy_normalised"), "hhi", "entropy_nats")
 
 
-@query("select trading_date, n_events || ' events on ' || n_symbols || ' symbols; most were ' || dominant_scorer_id || ' (' || dominant_scorer_id_events || '), led by ' || dominant_symbol bullet from summary where n_events < 1000", SUMMARY)
+@query("select trading_date, format('{:,}', n_events) || ' events on ' || n_symbols || ' symbols; most were ' || dominant_scorer_id || ' (' || dominant_scorer_id_events || '), led by ' || dominant_symbol bullet from summary", SUMMARY)
 def day_bullets(spark, sf_dir):
     return tables.bullets(tables.day_summary(ev.events(spark, sf_dir)))
 
@@ -104,6 +104,16 @@ def extremes(spark, sf_dir):
     return tables.extremes(ev.events(spark, sf_dir), {"largest_notional_sweep": ("sweep", "total_shares"), "longest_iceberg": ("iceberg", "n_rows")})
 
 
+_SPANS = {"longest_sweep": ("sweep", "span"), "largest_sweep": ("sweep", "total_shares"), "longest_withdrawal": ("liquidity_withdrawal", "span"), "largest_withdrawal": ("liquidity_withdrawal", "n_rows"), "largest_layering": ("layering", "total_shares"), "largest_cancel_cluster": ("post_cancel_cluster", "n_rows"), "longest_iceberg_span": ("iceberg", "span"), "largest_iceberg": ("iceberg", "total_shares")}
+
+
+@query(" union all ".join(f"select trading_date, '{m}' metric, arg_max(event_id, value) event_id, arg_max(symbol, value) symbol, max(value) as value from (select *, cast(value_ as double) value from (select *, {c} value_ from (select *, ts_end_nanos - ts_nanos span from events) where scorer_id = '{s}') qualify row_number() over (partition by trading_date order by value_ desc, event_id) = 1) group by 1" for m, (s, c) in _SPANS.items()))
+def more_extremes(spark, sf_dir):
+    """The other events of a day that lead by a metric."""
+    events = ev.events(spark, sf_dir).withColumn("span", F.col("ts_end_nanos") - F.col("ts_nanos"))
+    return tables.extremes(events, _SPANS)
+
+
 @query("select trading_date, scorer_id dominant_scorer, n from " + TOP.format("scorer_id"))
 def dominant_per_day(spark, sf_dir):
     n = ev.events(spark, sf_dir).groupBy("trading_date", "scorer_id").agg(F.count(F.lit(1)).alias("n"))
@@ -129,6 +139,37 @@ def day_aggregates(spark, sf_dir):
     return tables.day_aggregates(ev.events(spark, sf_dir))
 
 
+def _period_sql(unit):
+    return f"select period, kind, member, n, n_days from (select *, row_number() over (partition by period, kind order by n desc, member) place from (select cast(date_trunc('{unit}', trading_date) as date) period, kind, member, cast(sum(n) as bigint) n, count(distinct trading_date) n_days from agg group by all)) where kind <> 'symbol' or place <= 12"
+
+
+@query(_period_sql("quarter"), AGG)
+def quarter_rollup(spark, sf_dir):
+    return tables.roll_up(tables.day_aggregates(ev.events(spark, sf_dir)), fmt.quarter_start(F.col("trading_date")))
+
+
+@query(_period_sql("year"), AGG)
+def year_rollup(spark, sf_dir):
+    return tables.roll_up(tables.day_aggregates(ev.events(spark, sf_dir)), fmt.year_start(F.col("trading_date")))
+
+
+@query("""select symbol, n_events, n_days, mix from (select symbol, cast(sum(n) as bigint) n_events, string_agg(scorer_id || '=' || n, ',' order by scorer_id) mix from (select symbol, scorer_id, count(*) n from events group by all) group by 1) join (select symbol, count(distinct trading_date) n_days from events group by 1) using (symbol)""")
+def scorer_mix(spark, sf_dir):
+    rows = tables.scorer_mix(ev.events(spark, sf_dir))
+    mix = F.array_join(F.transform(F.array_sort(F.map_entries("mix")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("symbol", "n_events", "n_days", mix.alias("mix"))
+
+
+_NAME = "case scorer_id " + " ".join(f"when '{k}' then '{v}'" for k, v in fmt.SCORER_NAMES.items()) + " end"
+
+
+@query(f"""select event_id, {_NAME} || ' in ' || symbol || ', at ' || printf('%02d:%02d', ((ts_nanos // 60000000000 - 300) % 1440) // 60, (ts_nanos // 60000000000 - 300) % 60) || case when n_rows > 0 then ', ' || format('{{:,}}', n_rows) || ' orders' else '' end
+  || case when total_shares > 0 then ', ' || format('{{:,}}', total_shares) || ' shares' else '' end line from events""")
+def headline_lines(spark, sf_dir):
+    events = ev.events(spark, sf_dir)
+    return events.select("event_id", tables.headline_text(events).alias("line"))
+
+
 WEEK = AGG + ", weeks as (select *, row_number() over (partition by period, kind order by n desc, member) place from (select cast(date_trunc('week', trading_date) as date) period, kind, member, cast(sum(n) as bigint) n, count(distinct trading_date) n_days from agg group by all))"
 
 
@@ -232,22 +273,56 @@ def prior_close(spark, sf_dir):
     return files.prior_close(fx.trades(spark, sf_dir))
 
 
-@query("select a.trading_date, a.order_id, (select arg_max(t.price_raw, (t.ts_nanos, t.seq)) from trades t where t.symbol = a.symbol and t.ts_nanos <= a.ts_nanos) price_raw from orders_add a where a.order_id % 20 = 0")
+@query("select a.trading_date, a.order_id, (select arg_max(t.price_raw, (t.ts_nanos, t.seq)) from trades t where t.symbol = a.symbol and t.ts_nanos <= a.ts_nanos) price_raw from orders_add a")
 def asof_price(spark, sf_dir):
-    at = fx.orders_add(spark, sf_dir).filter("order_id % 20 = 0").select("trading_date", "order_id", "symbol", "ts_nanos")
+    at = fx.orders_add(spark, sf_dir).select("trading_date", "order_id", "symbol", "ts_nanos")
     return patterns.asof_last(fx.trades(spark, sf_dir), at, ["symbol"], "price_raw").select("trading_date", "order_id", "price_raw")
 
 
-@query("select a.trading_date, a.order_id, coalesce((select cast(sum(t.size) as bigint) from trades t where t.symbol = a.symbol and t.ts_nanos <= a.ts_nanos), 0) size from orders_add a where a.order_id % 20 = 0")
+@query("select a.trading_date, a.order_id, coalesce((select cast(sum(t.size) as bigint) from trades t where t.symbol = a.symbol and t.ts_nanos <= a.ts_nanos), 0) size from orders_add a")
 def asof_volume(spark, sf_dir):
-    at = fx.orders_add(spark, sf_dir).filter("order_id % 20 = 0").select("trading_date", "order_id", "symbol", "ts_nanos")
+    at = fx.orders_add(spark, sf_dir).select("trading_date", "order_id", "symbol", "ts_nanos")
     return patterns.asof_sum(fx.trades(spark, sf_dir).withColumn("size", F.col("size").cast("bigint")), at, ["symbol"], "size").select("trading_date", "order_id", "size")
 
 
-@plain("""select distinct d as day from (select o_orderdate::date as d from orders where o_orderkey < 50 union select unnest(generate_series(date '2024-03-01', date '2024-03-20', interval 1 day))::date) where dayofweek(d) between 1 and 5""")
+@plain("""select distinct d as day from (select o_orderdate::date as d from orders union select unnest(generate_series(date '2024-03-01', date '2024-03-20', interval 1 day))::date) where dayofweek(d) between 1 and 5""")
 def date_scope(spark, sf_dir):
-    named = [str(r[0]) for r in fx.table(spark, sf_dir, "orders").filter("o_orderkey < 50").select(F.to_date("o_orderdate")).collect()]
-    return tables.date_scope(spark, named, [("2024-03-20", "2024-03-01")])
+    days = fx.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return tables.date_scope(days, spark.sql("select '2024-03-20' a, '2024-03-01' b"))
+
+
+@plain("""select kind, start, cast(case kind when 'week' then start + interval 7 day when 'quarter' then start + interval 3 month else start + interval 1 year end as date) as end,
+  date_diff('day', start, cast(case kind when 'week' then start + interval 7 day when 'quarter' then start + interval 3 month else start + interval 1 year end as date)) n_days from (
+  select distinct kind, start from (select 'week' kind, cast(date_trunc('week', o_orderdate) as date) as start from orders union all select 'quarter', cast(date_trunc('quarter', o_orderdate) as date) from orders union all select 'year', cast(date_trunc('year', o_orderdate) as date) from orders))""")
+def forward_ranges(spark, sf_dir):
+    rows = tables.forward_ranges(tables.touched_periods(fx.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))))
+    return rows.withColumn("n_days", F.col("n_days").cast("bigint"))
+
+
+@plain("select distinct cast(w as date) week_start, cast(w + to_days(cast(i as integer)) as date) as day from (select date_trunc('week', o_orderdate) w from orders), range(5) r(i)")
+def rebuild_scope(spark, sf_dir):
+    return tables.rebuild_scope(fx.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))).select("week_start", "day")
+
+
+@plain("select distinct cast(o_orderdate as date) as day from orders where cast(o_orderdate as date) not in (select cast(o_orderdate as date) from orders group by 1 having count(*) % 3 = 0)")
+def days_to_ingest(spark, sf_dir):
+    days = fx.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    runs = days.select("day", F.lit("ORDERS").alias("feed_source"), F.when(F.col("n") % 3 == 0, "ok").otherwise("parse_failed").alias("status"))
+    return patterns.not_ingested(days.select("day"), runs, "ORDERS", "day")
+
+
+@plain("select cast(o_orderdate as date) as day, count(*) n from orders where cast(o_orderdate as date) >= cast(date_trunc('week', date '1997-06-11') as date) - 28 group by 1")
+def retention_sweep(spark, sf_dir):
+    """Rows that a sweep on a day keeps of the last four weeks and later."""
+    rows = fx.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return patterns.retained(rows, "1997-06-11", 4, "day").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select symbol, cast(sum(size) as bigint) total_volume, count(*) trade_count from orders_executed where trading_date = date '2024-01-05' group by 1")
+def one_day_volume(spark, sf_dir):
+    """One feed's volume of one day, as a refresh computes it."""
+    rows = patterns.feed_rows(patterns.day_rows(fx.orders_executed(spark, sf_dir), "2024-01-05"), "ORDERS")
+    return ev.lc.daily_volume(rows).select("symbol", "total_volume", "trade_count")
 
 
 @plain("select distinct kind, start from (select 'week' kind, cast(date_trunc('week', o_orderdate) as date) as start from orders union all select 'quarter', cast(date_trunc('quarter', o_orderdate) as date) from orders union all select 'year', cast(date_trunc('year', o_orderdate) as date) from orders)")
@@ -269,10 +344,14 @@ def session_phase(spark, sf_dir):
 _D = "(o_orderkey * o_orderkey * 977 * (1 + o_custkey))"
 
 
-@plain(f"""select o_orderkey, case when n < 1000 then n || ' ns' when n < 1000000 then printf('%.2f μs', n / 1e3) when n < 1000000000 then printf('%.1f ms', n / 1e6) when n < 60000000000 then printf('%.1f sec', n / 1e9)
-  when n // 1000000000 < 3600 then (n // 60000000000) || 'm ' || (n // 1000000000 % 60) || 's' else (n // 3600000000000) || 'h ' || (n // 1000000000 % 3600 // 60) || 'm' end as text from (select o_orderkey, {_D} n from orders) where n % 5 <> 0""")
+_tenths = lambda half, unit: f"((n + {half}) // {unit})"
+
+
+@plain(f"""select o_orderkey, case when n < 1000 then n || ' ns' when n < 1000000 then printf('%d.%02d μs', {_tenths(5, 10)} // 100, {_tenths(5, 10)} % 100) when n < 1000000000 then printf('%d.%d ms', {_tenths(50000, 100000)} // 10, {_tenths(50000, 100000)} % 10)
+  when n < 60000000000 then printf('%d.%d sec', {_tenths(50000000, 100000000)} // 10, {_tenths(50000000, 100000000)} % 10)
+  when n // 1000000000 < 3600 then (n // 60000000000) || 'm ' || (n // 1000000000 % 60) || 's' else (n // 3600000000000) || 'h ' || (n // 1000000000 % 3600 // 60) || 'm' end as text from (select o_orderkey, {_D} n from orders)""")
 def duration_text(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_D} n").filter("n % 5 != 0")
+    rows = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_D} n")
     return rows.select("o_orderkey", fmt.duration(F.col("n")).alias("text"))
 
 
@@ -296,9 +375,11 @@ def ordinals(spark, sf_dir):
 @query(f"""select trading_date, symbol, n, {ev.r6('rv')} realized_vol, {ev.r6('cv')} variation from (
   select trading_date, symbol, count(*) n, sqrt(sum(lm * lm)) rv, case when count(*) >= 2 then stddev_samp(p) / avg(p) end cv from (select *, price_raw / 10000.0 p, ln((price_raw / 10000.0) / lag(price_raw / 10000.0) over (partition by trading_date, symbol order by ts_nanos, seq)) lm from trades) group by 1, 2) where n >= 2""")
 def realized_vol(spark, sf_dir):
-    price = F.transform(F.sort_array(F.collect_list(F.struct("ts_nanos", "seq", "price_raw"))), lambda s: s["price_raw"] / 10_000.0)
-    rows = fx.trades(spark, sf_dir).groupBy("trading_date", "symbol").agg(price.alias("p")).filter("size(p) >= 2")
-    return ev.rounded(rows.select("trading_date", "symbol", F.size("p").cast("bigint").alias("n"), stats.realized_volatility(F.col("p")).alias("realized_vol"), stats.variation(F.col("p")).alias("variation")), "realized_vol", "variation")
+    keys, p = ["trading_date", "symbol"], F.col("price_raw") / 10_000.0
+    rows = patterns.with_before(fx.trades(spark, sf_dir).withColumn("p", p), keys, ["ts_nanos", "seq"], "p", "before")
+    move = F.when((F.col("p") > 0) & (F.col("before") > 0), F.log(F.col("p") / F.col("before")))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.coalesce(F.sum(move * move), F.lit(0.0))).alias("realized_vol"), (F.stddev_samp("p") / F.avg("p")).alias("variation"))
+    return ev.rounded(found.filter("n >= 2"), "realized_vol", "variation")
 
 
 @query(f"""select symbol, n, {ev.r6('(sq / 10 - mean * mean) / mean')} fano, {ev.r6('case when (sq / 10 - mean * mean) / mean > 1 then least(0.999, 1 - 1 / sqrt((sq / 10 - mean * mean) / mean)) end')} branching from (

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import fmt
 from ..operators import book
 from ..operators import textcheck as tc
 from ..sources import wire
+from ..session import shared_folder
 from ..streaming import flow
 from . import books
 from . import events as ev
@@ -95,10 +97,69 @@ def streak_claims(spark, sf_dir):
     return rows.select("doc_id", claimed.cast("int").alias("claimed"), (claimed > F.col("prior") + 1).alias("too_long"))
 
 
-@query("select n_nationkey prior, case when n_nationkey = 0 then 0 else least(n_nationkey, 13) end n_phrases from nation")
+@query("select o_orderkey, case when o_custkey % 25 = 0 then 0 else least(o_custkey % 25, 13) end n_phrases from orders")
 def streak_phrases(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("prior"))
-    return rows.select("prior", F.size(tc.allowed_streaks(F.col("prior"))).alias("n_phrases"))
+    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("prior"))
+    return rows.select("o_orderkey", F.size(tc.allowed_streaks(F.col("prior"))).alias("n_phrases"))
+
+
+@query(f"with {fx.SQL} select k doc_id, contains('about ' || case when k % 3 = 0 then 'S00' else symbol end || ' today', symbol) said from base")
+def symbol_named(spark, sf_dir):
+    rows = fx.base(spark, sf_dir).selectExpr("k doc_id", "symbol", "concat('about ', case when k % 3 = 0 then 'S00' else symbol end, ' today') text")
+    return rows.select("doc_id", tc.names_symbol(F.col("text"), F.col("symbol")).alias("said"))
+
+
+@query("select o_orderkey doc_id, case o_orderkey % 4 when 0 then ['sweep'] when 1 then ['iceberg'] else [] end others from orders")
+def scorer_mentions(spark, sf_dir):
+    text = F.expr("case o_orderkey % 4 when 0 then 'Two sweeps and a halt' when 1 then 'an iceberg, then a halt' when 2 then 'a sweepstakes and a halt' else 'none' end")
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), tc.other_scorers(text, F.array(F.lit("halt")), {"sweep": "sweep", "iceberg": "iceberg", "halt": "halt"}).alias("others"))
+
+
+_FACTS = "concat('{{\"size\":', {0}, ',\"note\":{{\"by\":[\"', {1}, '\",7]}}}}')"
+
+
+@query("select o_orderkey doc_id, [cast(o_custkey as varchar), o_orderstatus, '7'] as values, cast(1234.5 + o_custkey as double) price, o_custkey % 2 = 0 missing from orders")
+def json_facts(spark, sf_dir):
+    """Leaves of nested facts, a number with separators, and fields that are missing."""
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_FACTS.format("cast(o_custkey as string)", "o_orderstatus")).alias("facts"), "o_custkey")
+    price = F.concat(F.lit('{"price":"'), F.format_number(F.lit(1234.5) + F.col("o_custkey"), 1), F.when(F.col("o_custkey") % 2 == 1, F.lit('","note":{"by":"x"}}')).otherwise(F.lit('"}')))
+    return rows.select("doc_id", tc.leaf_values(F.col("facts")).alias("values"), fmt.json_number(price, "$.price").alias("price"), (F.size(tc.missing_fields(price, ["note.by"])) == 1).alias("missing"))
+
+
+@query("select passed was, now, count(*) n from (select o_orderkey % 3 <> 0 passed, o_orderkey % 5 <> 0 now from orders) group by all")
+def rechecked_texts(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "orders")
+    return tc.recheck(rows.selectExpr("o_orderkey doc_id", "o_orderkey % 3 != 0 passed"), rows.selectExpr("o_orderkey doc_id", "o_orderkey % 5 != 0 passed"))
+
+
+@query("select o_orderkey doc_id, case when o_orderkey % 2 = 0 then 'Lead. ' else '' end || 'One fact. Another.' || case when o_orderkey % 3 = 0 then ' Tail' else '' end as text from orders")
+def stitched_texts(spark, sf_dir):
+    lead, tail = F.expr("case when o_orderkey % 2 = 0 then ' Lead.' else '  ' end"), F.expr("case when o_orderkey % 3 = 0 then 'Tail ' end")
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), tc.stitched(lead, F.array(F.lit("One fact."), F.lit(" "), F.lit("Another. ")), tail).alias("text"))
+
+
+def _trip(spark, df, table, order):
+    return wire.decode(wire.split_messages(wire.pack(df, table, F.expr(f"{order} div 10"), [order]))[0], table)
+
+
+@query(f"with {fx.SQL} select symbol, ts_nanos, bid_size, bid_price_raw, ask_price_raw, ask_size, flags from (select symbol, ts_nanos, size bid_size, price_raw bid_price_raw, price_raw + 100 ask_price_raw, -size ask_size, order_id % 256 flags from orders_add)")
+def wire_quotes(spark, sf_dir):
+    rows = fx.orders_add(spark, sf_dir).selectExpr("symbol", "ts_nanos", "size bid_size", "price_raw bid_price_raw", "price_raw + 100 ask_price_raw", "-size ask_size", "cast(order_id % 256 as smallint) flags", "order_id")
+    return _trip(spark, rows, "quotes", "order_id").select("symbol", "ts_nanos", "bid_size", "bid_price_raw", "ask_price_raw", "ask_size", "flags")
+
+
+@query(f"with {fx.SQL} select symbol, ts_nanos, size, price_raw, cast(1 as smallint) event_flags from orders_add where side = '8'")
+def wire_level_updates(spark, sf_dir):
+    rows = fx.orders_add(spark, sf_dir).filter("side = '8'").withColumn("event_flags", F.lit(1).cast("smallint"))
+    return _trip(spark, rows, "level_updates_buy", "order_id").select("symbol", "ts_nanos", "size", "price_raw", "event_flags")
+
+
+@query(f"with {fx.SQL} select symbol, ts_nanos, event_kind, sub_type, reason from status_events where reason is not null")
+def wire_status(spark, sf_dir):
+    """Trading-status messages, packed, split, decoded and put into the table of all administrative messages."""
+    rows = fx.status_events(spark, sf_dir).filter("reason is not null")
+    messages = wire.split_messages(wire.pack(rows, "trading_status", F.expr("seq div 10"), ["seq"]))[0]
+    return wire.status_events(messages).select("symbol", "ts_nanos", "event_kind", "sub_type", "reason")
 
 
 @query()
@@ -112,10 +173,7 @@ def claim_counts(spark, sf_dir):
 
 def _replayed(spark, df, name: str):
     """A stream over df's rows, from files in the folder that executors share."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    place = f"{folder}/{name}-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(f"{place}/in")
     return spark.readStream.schema(df.schema).parquet(f"{place}/in"), place
 

@@ -52,11 +52,18 @@ def _apply(orders: dict, row) -> Iterator[tuple]:
             del orders[key]
 
 
-def book_changes(stream: DataFrame) -> DataFrame:
+#: Parts of a symbol's orders that have a state of their own; an order's changes depend on that order alone.
+PARTS = 64
+
+
+def book_changes(stream: DataFrame, parts: int = PARTS) -> DataFrame:
     """Level changes of a stream of messages (symbol, op, order_id, side, price_raw, size, ts_nanos, seq).
 
-    One state for each symbol: its open orders. Rows of a micro-batch are put
-    in order first; across batches they must come in order.
+    One state for each symbol and part of its orders: the open ones. So a busy
+    symbol is spread over many states, and a level's size is the sum of the
+    changes of all parts. A clear has a row for each part (part from 0 on) or
+    for each order. Rows of a micro-batch are put in order first; across batches
+    they must come in order.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,4 +73,5 @@ def book_changes(stream: DataFrame) -> DataFrame:
         state.update((json.dumps(orders),))
         yield pd.DataFrame(out, columns=["symbol", "side", "price_raw", "ts_nanos", "seq", "delta"])
 
-    return stream.groupBy("symbol").applyInPandasWithState(update, CHANGES, "orders string", "append", GroupStateTimeout.NoTimeout)
+    part = F.pmod(F.xxhash64("order_id"), F.lit(parts)) if "part" not in stream.columns else F.coalesce("part", F.pmod(F.xxhash64("order_id"), F.lit(parts)))
+    return stream.withColumn("__part", part).groupBy("symbol", "__part").applyInPandasWithState(update, CHANGES, "orders string", "append", GroupStateTimeout.NoTimeout)
