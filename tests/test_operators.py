@@ -106,18 +106,31 @@ def test_streamed_book_steps_equal_replay():
     assert {k: v for k, v in levels.items() if v} == _play(messages) == {}
 
 
-def test_protected_prices(spark):
-    def best(side, levels):
-        df = spark.createDataFrame([(1, side, int(round(p * 10_000)), s) for p, s in levels], "k int, side string, price_raw bigint, level_size bigint")
-        r = book.protected_prices(df, ["k"]).first()
-        return (r.bid_price_raw / 10_000, r.bid_size) if side == "8" else (r.ask_price_raw / 10_000, r.ask_size)
-
-    assert best("8", [(12.45, 75), (12.44, 100)]) == (12.44, 175)
-    assert best("5", [(2.86, 47), (2.89, 100)]) == (2.89, 147)
-    assert best("5", [(502.11, 80)]) == (502.11, 80)
-    assert best("5", [(1.13, 18), (12.50, 1), (67.45, 90)]) == (67.45, 109)
-    assert best("8", [(50, 30), (49, 20), (48, 40)]) == (0, 0)
-    assert best("8", [(50, 30), (49, 50), (48, 80)]) == (48, 160)
+def _walk(side, levels, lot_of):
+    """The protected price of one side, level by level from the best one."""
+    total = 0
+    for price, size in sorted(levels, reverse=side == "8"):
+        total += size
+        if total >= lot_of(price):
+            return price, total
+    return 0, 0
+
+
+def test_protected_prices_equal_a_walk(spark):
+    rng = random.Random(21)
+    lot_of = lambda raw: 100 if raw <= 2_500_000 else 40 if raw <= 10_000_000 else 10 if raw <= 100_000_000 else 1
+    ladders, rows = {}, []
+    for k in range(250):
+        for side in "85":
+            top = rng.choice([40_000, 2_490_000, 9_990_000, 99_990_000, 300_000_000])
+            levels = {top + 1_000 * rng.randrange(40): rng.randint(1, 70) for _ in range(rng.randint(0, 6))}
+            ladders[k, side] = sorted(levels.items())
+            rows += [(k, side, p, s) for p, s in levels.items()]
+    df = spark.createDataFrame(rows, "k int, side string, price_raw bigint, level_size bigint")
+    got = {r.k: ((r.bid_price_raw, r.bid_size), (r.ask_price_raw, r.ask_size)) for r in book.protected_prices(df, ["k"]).collect()}
+    assert got == {k: (_walk("8", ladders[k, "8"], lot_of), _walk("5", ladders[k, "5"], lot_of)) for k in {r[0] for r in rows}}
+    second = {(r.k, r.side): (r.price_raw, r.level_size) for r in book.nth_level(df, ["k"], 2).collect()}
+    assert second == {key: sorted(levels, reverse=key[1] == "8")[1] for key, levels in ladders.items() if len(levels) > 1}
 
 
 def test_decoding(spark):
@@ -143,3 +156,71 @@ def test_range_join_equals_comparison(spark):
     spans = [(rng.choice("ab"), s, s + rng.randint(0, 90), k) for k in range(60) for s in [rng.randint(0, 500)]]
     got = patterns.range_join(spark.createDataFrame(points, "key string, t bigint, p bigint"), spark.createDataFrame(spans, "key string, s bigint, e bigint, i bigint"), ["key"], "t", "s", "e", 37)
     assert sorted((r.p, r.i) for r in got.collect()) == sorted((p, i) for k, t, p in points for k2, s, e, i in spans if k == k2 and s <= t < e)
+
+
+def test_long_spans_equal_comparison(spark):
+    rng = random.Random(2)
+    points = [(rng.choice("ab"), rng.randint(0, 400_000), k) for k in range(150)]
+    spans = [(rng.choice("ab"), s, s + rng.choice([0, 1, 5, 300, 40_000, 390_000, 1 << 40]), k) for k in range(120) for s in [rng.randint(0, 400_000)]]
+    p, s = spark.createDataFrame(points, "key string, t bigint, p bigint"), spark.createDataFrame(spans, "key string, s bigint, e bigint, i bigint")
+    near = s.withColumn("e", F.least("e", F.lit(400_001)))
+    for bucket in (1, 7, 1000):
+        got = patterns.long_span_join(p, near, ["key"], "t", "s", "e", bucket)
+        assert sorted((r.p, r.i) for r in got.collect()) == sorted((pp, i) for k, t, pp in points for k2, a, b, i in spans if k == k2 and a <= t < min(b, 400_001)), bucket
+    # a span of all day costs a few rows, not one for each bucket
+    day = spark.createDataFrame([("a", 5, 86_400 * 1_000 - 3)], "key string, s bigint, e bigint").select(F.size(patterns._blocks(F.floor(F.col("s") / 1000), F.floor(F.col("e") / 1000) + 1)).alias("n"))
+    assert day.first().n <= 300
+
+
+def test_pieces_of_time_change_nothing(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randint(0, 300), k, rng.choice([None, k])) for k in range(200)]
+    asks = [(rng.choice("abc"), rng.randint(0, 300), k) for k in range(80)]
+    df, at = spark.createDataFrame(rows, "key string, ts_nanos bigint, seq bigint, v bigint"), spark.createDataFrame(asks, "key string, ts_nanos bigint, k bigint")
+    for piece in (1, 40, 10_000):
+        last = {r.k: r.v for r in patterns.asof_last(df, at, ["key"], "v", piece=piece).collect()}
+        total = {r.k: r.v for r in patterns.asof_sum(df, at, ["key"], "v", piece=piece).collect()}
+        before = {r.seq: r.b for r in patterns.with_before(df, ["key"], ["ts_nanos", "seq"], "v", "b", piece).collect()}
+        for key, t, k in asks:
+            met = sorted(r[1:] for r in rows if r[0] == key and r[1] <= t)
+            assert last[k] == next((v for _, _, v in reversed(met) if v is not None), None)
+            assert total[k] == sum(v or 0 for _, _, v in met)
+        for key in "ab":
+            own = sorted(r[1:] for r in rows if r[0] == key)
+            assert [before[s] for _, s, _ in own] == [None, *[v for _, _, v in own]][:-1]
+
+
+def test_upsert_of_null_and_repeated_keys(spark):
+    target = spark.createDataFrame([(1, "a", 1), (None, "b", 2), (3, "c", 3)], "k int, t string, v int")
+    updates = spark.createDataFrame([(None, "z", 9), (3, "y", 8), (3, "x", 7), (4, "n", 0)], "k int, t string, v int")
+    assert sorted(map(tuple, patterns.upsert(target, updates, ["k"]).collect()), key=str) == sorted([(1, "a", 1), (None, "z", 9), (3, "y", 8), (4, "n", 0)], key=str)
+
+
+def test_one_failing_detector_stops_no_other(spark):
+    from tapewright.operators import detectors
+
+    deletes = spark.range(60).selectExpr("date'2024-01-02' trading_date", "'S' symbol", "id * 1000 ts_nanos", "id order_id")
+    odd = deletes.withColumn("ts_nanos", F.expr("raise_error('lost')").cast("bigint"))
+    events, failed = detectors.run_all({"liquidity_withdrawal": ((deletes,), {}), "sweep": ((odd,), {}), "halt": ((odd.withColumn("event_kind", F.lit("H")).withColumn("sub_type", F.lit("H")).withColumn("reason", F.lit("")).withColumn("seq", F.lit(1)),), {})})
+    assert set(failed) == {"sweep", "halt"} and [(r.scorer_id, r.ts_nanos) for r in events.collect()] == [("liquidity_withdrawal", 0)]
+    refs = events.select(F.size(F.from_json("source_refs", "array<struct<ts_nanos:bigint>>")).alias("n"), F.get_json_object("breakdown", "$.truncated_count").cast("int").alias("cut")).first()
+    assert (refs.n, refs.cut) == (16, 44)
+
+
+def test_day_refresh_and_json(spark, tmp_path):
+    from tapewright.functions import fmt
+    from tapewright.operators import enrich, lifecycle, tables
+
+    trades = spark.sql("select date_add(date'2024-01-01', cast(id % 3 as int)) trading_date, 'S' symbol, 1704067200000000000 + (id % 3) * 86400000000000 + id ts_nanos, 10 size, 5L price_raw, if(id % 2 = 0, 'A', 'B') feed_source from range(12)")
+    place = str(tmp_path / "daily")
+    lifecycle.daily_volume(trades).write.partitionBy("day").parquet(place)
+    lifecycle.refresh_day(trades, place, "2024-01-02", "A")
+    assert {str(r.day): r.trade_count for r in spark.read.parquet(place).collect()} == {"2024-01-01": 4, "2024-01-02": 2, "2024-01-03": 4}
+    row = spark.sql("""select '{"a":"1,234","b":"x"}' j, '{"b":"y","c":null,"d":"2"}' n""").select(fmt.json_number(F.col("j"), "$.a").alias("a"), fmt.json_merged(F.col("j"), F.col("n")).alias("m"), fmt.json_without(F.col("j"), "a").alias("w")).first()
+    assert row.a == 1234.0 and row.w == '{"b":"x"}' and dict(__import__("json").loads(row.m)) == {"a": "1,234", "b": "y", "d": "2"}
+    events = spark.createDataFrame([(1, 5.0, None), (2, 6.0, 1)], "event_id int, score double, n int")
+    merged = enrich.merge(events, spark.createDataFrame([(1, 9.0, "q")], "event_id int, score double, extra string"))
+    assert sorted(map(tuple, merged.collect())) == [(1, 9.0, None, "q"), (2, 6.0, 1, None)]
+    texts = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "event_id int, text string, created int")
+    told = {r.event_id: r.text for r in tables.event_texts(events, texts, texts.withColumn("text", F.lit("told")).withColumn("event_id", F.lit(2)), ["event_id"]).collect()}
+    assert told == {1: "new", 2: "told"}
