@@ -409,7 +409,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     scratch = Scratch(docs.sparkSession)
     joined = scratch.cut(join(docs, id_col, text_col, threshold).filter("n_links > 0"), "groups")
     chosen = joined.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "row_id")).alias("chosen"))
-    marked = joined.join(chosen, "group_id").select("id", "text_key", (F.col("row_id") == F.col("chosen.row_id")).alias("stays"))
+    staying = chosen.select(F.col("chosen.row_id").alias("row_id"), F.lit(True).alias("stays"))  # met by rows, so that a large group is spread
+    marked = joined.join(staying, "row_id", "left").select("id", "text_key", F.coalesce("stays", F.lit(False)).alias("stays"))
     of_key = scratch.cut(marked.groupBy(F.col("id").alias("key_id"), "text_key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "keys")
     rows, own_id = hidden(docs).withColumn("own_key", text_key(F.col(own(docs, text_col)))), own(docs, id_col)
     same = F.col(own_id).eqNullSafe(F.col("key_id")) & (F.col("own_key") == F.col("text_key"))
