@@ -22,21 +22,23 @@ def gap_clusters(df: DataFrame, keys: list[str], order: list[str], max_gap: int,
     starts = F.coalesce((time - F.lag(order[0]).over(inside) > max_gap).cast("int"), F.lit(0))
     chained = cut.withColumn("__own", F.sum(starts).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__row", F.row_number().over(inside))
 
-    pieces = chained.groupBy(*keys, "__piece").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.max("__own").alias("breaks"))
+    # One row for each piece: how its islands go on from the pieces before it.
+    island = Window.partitionBy(*keys, "__piece", "__own").orderBy(*order)
+    chained = chained.withColumn("__nth", F.row_number().over(island))
+    pieces = chained.groupBy(*keys, "__piece").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.max("__own").alias("breaks"), F.max_by("__nth", "__row").alias("tail"))
     along = Window.partitionBy(*keys).orderBy("__piece")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    apart = F.coalesce((F.col("first") - F.lag("last").over(along) > max_gap).cast("int"), F.lit(1))
-    stitched = pieces.withColumn("apart", apart)
-    before = F.coalesce(F.sum("breaks").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stitched = stitched.select(*keys, "__piece", (F.sum("apart").over(upto) + before).alias("__offset"))
-    numbered = chained.join(stitched, [*keys, "__piece"]).withColumn("__island", F.col("__own") + F.col("__offset"))
-    # Rows of an island before a piece, for the cut after every cap rows.
-    counts = numbered.groupBy(*keys, "__island", "__piece").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("__first"))
-    earlier = Window.partitionBy(*keys, "__island").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "__island", "__piece", "__first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    joined = numbered.join(counts, [*keys, "__island", "__piece"])
-    part = F.floor((F.col("__before") + F.col("__row") - F.col("__first")) / cap)
-    return joined.withColumn("cluster", F.struct(F.col("__island").alias("island"), part.alias("part"))).drop("__piece", "__own", "__row", "__offset", "__island", "__first", "__before")
+    upto, earlier = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("first") - F.lag("last").over(along) > max_gap, F.lit(True))
+    before_is_cut = F.coalesce(F.lag("breaks").over(along) > 0, F.lit(True))
+    pieces = pieces.withColumns({"apart": apart, "starts": (apart | before_is_cut).cast("int"), "brought": F.when(apart, 0).otherwise(F.lag("tail").over(along))})
+    pieces = pieces.withColumns({"run": F.sum("starts").over(upto), "__offset": F.sum(F.col("apart").cast("int")).over(upto) + F.coalesce(F.sum("breaks").over(earlier), F.lit(0))})
+    # In a run every piece but the last is one island, so what came before a piece is what its run began with and the pieces since.
+    in_run = Window.partitionBy(*keys, "run").orderBy("__piece")
+    since = F.coalesce(F.sum("tail").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.withColumn("__before", F.first("brought").over(in_run) + since).select(*keys, "__piece", "__offset", "__before")
+    joined = chained.join(pieces, [*keys, "__piece"])
+    nth = F.col("__nth") + F.when(F.col("__own") == 0, F.col("__before")).otherwise(0)
+    return joined.withColumn("cluster", F.struct((F.col("__own") + F.col("__offset")).alias("island"), F.floor((nth - 1) / cap).alias("part"))).drop("__piece", "__own", "__row", "__nth", "__offset", "__before")
 
 
 PIECE = 3_600_000_000_000  # an hour of nanoseconds
