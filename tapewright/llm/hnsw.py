@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 SHARD_ROWS = 16_384
-LINKS = 24  # of a node in upper layers; twice as many in the lowest
-BUILD_WIDTH = 96
+LINKS = 20  # of a node in upper layers; twice as many in the lowest
+BUILD_WIDTH = 48
 SEARCH_WIDTH = 192
 NEAREST = 20
 QUERY_BLOCK = 256
