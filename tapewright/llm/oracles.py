@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import mixing as _mixing
 
 PREFERENCES = r"""
@@ -37,26 +39,32 @@ from upto group by pair_id, part, chunk
 
 
 def mixing(shares: dict[str, int] = _mixing.SHARES, rest: int = _mixing.REST, block: int = _mixing.BLOCK) -> str:
-    """Earliest deadline first, slot by slot, as a recursive query."""
-    names, a = list(shares), [*shares.values(), rest]
-    n = len(a)
-    stream = "case source " + " ".join(f"when '{s}' then {k}" for k, s in enumerate(names)) + f" else {n - 1} end"
-    total = " + ".join(f"(case when c{k} < b{k} then {a[k]} else 0 end)" for k in range(n))
-    key = [f"case when c{k} < b{k} and p{k} * q // {a[k]} <= t then (((p{k} + 1) * q + {a[k] - 1}) // {a[k]}) * 1000000 + {(1000 - a[k]) * 1000 + k} else 999999999999 end k{k}" for k in range(n)]
-    pick = "case least(" + ", ".join(f"k{k}" for k in range(n)) + ") " + " ".join(f"when k{k} then {k}" for k in range(n)) + " end"
-    cols = [f"{x}{k}" for x in "bcp" for k in range(n)]
-    ends = " or ".join(f"(pick = {k} and c{k} + 1 = b{k})" for k in range(n))
+    """Earliest deadline first, slot by slot, as a recursive query; every source that occurs has a share of its own, as weights_by_source() gives it."""
+    listed, unit = ", ".join(f"'{s}'" for s in shares), math.gcd(*shares.values())
+    weights = " union all ".join(f"select {k} stream, '{s}' source, {a} * n w from others_n" for k, (s, a) in enumerate(shares.items()))
     return f"""
-with recursive docs as (select doc_id, source, {stream} stream, row_number() over (partition by {stream} order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 row_ from documents),
-blocks as (select {", ".join(f"(select (count(*) + {block - 1}) // {block} from docs where stream = {k}) b{k}" for k in range(n))}),
+with recursive others as (select source, {len(shares) - 1} + row_number() over (order by source) stream from (select distinct source from documents where source is not null and source not in ({listed}))),
+others_n as (select named, greatest(1, named + nulls) n from (select count(*) named from others), (select least(1, count(*)) nulls from documents where source is null)),
+weights as (
+  select stream, source, w // gcd({rest}, {unit} * n) a from others_n, (
+    {weights} union all select stream, source, {rest} from others union all select {len(shares)} + named, null, {rest} from others_n)),
+streamed as (select doc_id, d.source, coalesce(w.stream, (select max(stream) from weights)) stream from documents d left join weights w on d.source = w.source),
+docs as (select *, row_number() over (partition by stream order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 row_ from streamed),
+sizes as (select list(a order by stream) a, list(coalesce(b, 0) order by stream) b, sum(coalesce(b, 0)) n_blocks, list(stream order by stream) streams
+          from weights left join (select stream, (count(*) + {block - 1}) // {block} b from docs group by 1) using (stream)),
 steps as (
-  select cast(-1 as bigint) slot, cast(-1 as integer) pick, cast(-1 as bigint) block, cast(0 as bigint) t, {", ".join(f"b{k}" for k in range(n))}, {", ".join(f"cast(0 as bigint) c{k}" for k in range(n))}, {", ".join(f"cast(0 as bigint) p{k}" for k in range(n))} from blocks
+  select cast(-1 as bigint) slot, cast(-1 as bigint) pick, cast(-1 as bigint) block, cast(0 as bigint) t, list_transform(b, lambda x : cast(0 as bigint)) c, list_transform(b, lambda x : cast(0 as bigint)) p from sizes
   union all
-  select slot + 1, pick, case pick {" ".join(f"when {k} then c{k}" for k in range(n))} end, case when {ends} then 0 else t + 1 end,
-         {", ".join(f"b{k}" for k in range(n))}, {", ".join(f"c{k} + (pick = {k})::bigint" for k in range(n))}, {", ".join(f"case when {ends} then 0 else p{k} + (pick = {k})::bigint end" for k in range(n))}
-  from (select *, {pick} pick_ from (select *, {", ".join(key)} from (select *, {total} q from steps where {" or ".join(f"c{k} < b{k}" for k in range(n))}))) as s(slot, old, old_block, t, {", ".join(cols)}, q, {", ".join(f"k{k}" for k in range(n))}, pick)
+  select slot + 1, pick, c[pick + 1], case when last_one then 0 else t + 1 end,
+         list_transform(streams, lambda k : c[k + 1] + (k = pick)::bigint), list_transform(streams, lambda k : case when last_one then 0 else p[k + 1] + (k = pick)::bigint end)
+  from (select slot, t, c, p, streams, pick, c[pick + 1] + 1 = b[pick + 1] last_one
+        from (select *, list_position(keys, list_min(keys)) - 1 pick
+              from (select *, list_transform(streams, lambda k : case when c[k + 1] < b[k + 1] and p[k + 1] * q // a[k + 1] <= t
+                                then ((p[k + 1] + 1) * q + a[k + 1] - 1) // a[k + 1] * 10000000000 + (99999 - a[k + 1]) * 100000 + k else 9000000000000000000 end) keys
+                    from (select slot, t, c, p, a, b, streams, list_sum(list_transform(streams, lambda k : case when c[k + 1] < b[k + 1] then a[k + 1] else 0 end))::bigint q
+                          from steps, sizes where slot + 1 < n_blocks))))
 )
-select doc_id, source, cast(stream as bigint) stream, cast(row_ // {block} as bigint) block, slot, cast(row_ % {block} as bigint) place,
+select doc_id, source, cast(docs.stream as bigint) stream, cast(row_ // {block} as bigint) block, slot, cast(row_ % {block} as bigint) place,
        row_number() over (order by slot, row_ % {block}) - 1 as position
-from docs join steps on stream = pick and row_ // {block} = steps.block
+from docs join steps on docs.stream = pick and row_ // {block} = steps.block
 """

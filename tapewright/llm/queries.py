@@ -66,7 +66,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    placed = mixing.schedule(docs, **mixing.weights_by_source(docs))
     return placed.select("doc_id", "source", F.col("stream").cast("long").alias("stream"), "block", "slot", F.col("place").cast("long").alias("place"), "position")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import hnsw, mixing, ngram_join
+from tapewright.llm import hnsw, mixing, ngram_join, oracles, queries
 
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ka") for b in ("ra", "ne", "ti", "lo", "mu", "sa", "ve")]
 
@@ -228,6 +228,23 @@ def test_mix_follows_deadlines(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_every_source_has_its_own_stream(spark, tmp_path):
+    """The query against its SQL, with sources that are listed, unlisted, null and missing."""
+    import duckdb
+
+    rng = random.Random(12)
+    rows = [(k, rng.choice(["src0", "src0", "src1", "src3", "src9", "b", "", None])) for k in range(900)] + [(900 + k, "b") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_mixing(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = con.execute(oracles.mixing())
+    assert [d[0] for d in found.description] == got.columns
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, found.fetchall()))
+    assert len({(r[1], r[2]) for r in got}) == len({r[2] for r in got}) == 7
+
+
 def test_many_null_ids_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_OF_BUCKET", 10)
     rows = [(None if k % 3 else k, f"src{k % 5}", k, "x") for k in range(400)] + [(None, "src0", -1, "x")] * 3
