@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, held, hidden, own, shown, slices, text_key
+from .shared import Scratch, held, hidden, own, shown, slices_by_bytes, text_key
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -144,7 +144,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_id, the document's id, text_key, set_key (null without n-grams) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 3):
             keys, rows = [], []
             for text in batch.column(3).to_pylist():
                 items = shingles(text)
@@ -262,7 +262,7 @@ def _compare(band: int, threshold: float, sides: list[int], nodes: list[int], co
 PAIR_OF_BLOCKS = ["grp", "band", "first", "second"]
 
 
-def _by_pair_of_blocks(rows: DataFrame, columns: list[str], result: str, compare: Callable[..., list[tuple]]) -> DataFrame:
+def by_pair_of_blocks(rows: DataFrame, columns: list[str], result: str, compare: Callable[..., list[tuple]]) -> DataFrame:
     """What compare() makes of the columns of each pair of blocks; rows also have the columns of PAIR_OF_BLOCKS, and side.
 
     Ranges deal the pairs of blocks out evenly; all rows of one stay together.
@@ -276,7 +276,7 @@ def _by_pair_of_blocks(rows: DataFrame, columns: list[str], result: str, compare
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "int" else pa.int64()) for c, k in zip(columns_, kinds)], list(names))
 
         key, group = None, []
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, *binary):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:4] != key:
                     if key is not None:
@@ -286,6 +286,7 @@ def _by_pair_of_blocks(rows: DataFrame, columns: list[str], result: str, compare
         if key is not None:
             yield given(key, group)
 
+    binary = [len(PAIR_OF_BLOCKS) + 2 + k for k, c in enumerate(columns) if rows.schema[c].dataType.typeName() == "binary"]
     dealt = rows.select(*PAIR_OF_BLOCKS, "side", "node", *columns).repartitionByRange(*PAIR_OF_BLOCKS).sortWithinPartitions(*PAIR_OF_BLOCKS, "side", "node")
     return dealt.mapInArrow(run, result)
 
@@ -300,7 +301,7 @@ def in_pairs_of_blocks(members: DataFrame) -> DataFrame:
 
 def _compare_sets(placed: DataFrame, threshold: float) -> DataFrame:
     """node, linked, hub; placed: classes by pairs of blocks, with copies, signs and items."""
-    return _by_pair_of_blocks(placed, ["copies", "signs", "items"], "node bigint, linked bigint, hub bigint", lambda key, *columns: _compare(key[1], threshold, *columns))
+    return by_pair_of_blocks(placed, ["copies", "signs", "items"], "node bigint, linked bigint, hub bigint", lambda key, *columns: _compare(key[1], threshold, *columns))
 
 
 def _compare_signs(placed: DataFrame, threshold: float) -> DataFrame:
@@ -312,14 +313,14 @@ def _compare_signs(placed: DataFrame, threshold: float) -> DataFrame:
             return [(*key, None, None)]
         return [(*key, nodes[i], nodes[j]) for i, j in zip(a.tolist(), b.tolist())]
 
-    return _by_pair_of_blocks(placed, ["signs"], "grp bigint, band int, first int, second int, a bigint, b bigint", compare)
+    return by_pair_of_blocks(placed, ["signs"], "grp bigint, band int, first int, second int, a bigint, b bigint", compare)
 
 
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """node, linked, hub from pairs (a, b), each with its n-grams fetched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 4, 5):
             out = []
             for a, b, copies_a, copies_b, items_a, items_b in zip(*(c.to_pylist() for c in batch.columns)):
                 if _verified(np.array([0]), np.array([1]), [np.frombuffer(items_a, np.uint64), np.frombuffer(items_b, np.uint64)], threshold)[0]:
@@ -337,7 +338,7 @@ def _with_sets(texts: DataFrame) -> DataFrame:
     keep = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, len(keep)):
             sets = [shingles(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], [*keep, "signs", "items"])
 
@@ -362,7 +363,10 @@ def _links(mates: DataFrame, components: DataFrame, sets: DataFrame, scratch: Sc
     as_group = [F.col("component").alias("grp"), F.lit(-1).alias("band"), "n_blocks", "node"]
     direct = _compare_sets(in_pairs_of_blocks(of_node.filter("small").select(*as_group).join(sets, "node")), threshold)
     large = of_node.filter("not small and not by_bucket").select(*as_group)
-    bucketed = mates.join(of_node.filter("by_bucket").select("node"), "node").select(F.col("bucket").alias("grp"), "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"), "node")
+    by_bucket = mates.join(of_node.filter("by_bucket").select("node"), "node")
+    bucket_bytes = by_bucket.join(sets.select("node", F.length("items").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    bucket_blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    bucketed = by_bucket.join(bucket_bytes, "bucket").select(F.col("bucket").alias("grp"), "band", bucket_blocks.alias("n_blocks"), "node")
     members = scratch.cut(large.unionByName(bucketed), "members")
     left = scratch.cut(_compare_signs(in_pairs_of_blocks(members.join(sets.select("node", "signs"), "node")), threshold), "left")
     dense = left.filter("a is null").select(*PAIR_OF_BLOCKS)

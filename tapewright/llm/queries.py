@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hnsw, language_id, line_quality, mixing, ngram_join, oracles, preferences, secret_scan, token_counts, token_files
+from . import byte_bpe, collocations, hnsw, language_id, line_quality, merkle, mixing, ngram_join, odd_sketch, oracles, preferences, secret_scan, token_counts, token_files
 from .shared import Scratch, table
 
 
@@ -75,6 +75,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def op11_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.tampered_documents(table(spark, sf_dir, "documents")), "claimed").withColumnRenamed("id", "doc_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_hnsw": op2_hnsw,
@@ -86,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_odd_sketch": op11_odd_sketch,
+    "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 #: SQL for DuckDB, where SQL can express the query.

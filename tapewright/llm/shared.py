@@ -9,7 +9,9 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,24 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE_ROWS)
 
 
+#: Bytes of texts that an operator turns into Python objects at a time.
+SLICE_BYTES = 8 << 20
+
+
+def slices_by_bytes(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """slices() of at most about SLICE_BYTES in these string or binary columns, or of one longer row."""
+    for batch in slices(batches):
+        ends = np.zeros(batch.num_rows, np.int64)
+        for k in columns:
+            ends += np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 #: Characters of texts that an operator cuts into words at a time.
 SLICE_CHARS = 1_000_000
 
