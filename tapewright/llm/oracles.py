@@ -68,3 +68,81 @@ select doc_id, source, cast(docs.stream as bigint) stream, cast(row_ // {block}
        row_number() over (order by slot, row_ % {block}) - 1 as position
 from docs join steps on docs.stream = pick and row_ // {block} = steps.block
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DUPLICATES = rf"""
+with recursive texts as (select doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w : w <> '') w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                 else list_distinct(list_transform(range(len(w) - 3), lambda i : array_to_string(w[i + 1 : i + 4], ' '))) end s from texts),
+items as (select doc_id, len(s) n, unnest(s) item from sets),
+links as (
+  select a.doc_id a, b.doc_id b from items a join items b on a.item = b.item and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reached as (select doc_id a, doc_id b from documents union select reached.a, links.b from reached join links on reached.b = links.a)
+select doc_id, cast(len(s) as bigint) n_shingles, component_id, doc_id = component_id kept
+from sets join (select a doc_id, min(b) component_id from reached group by 1) using (doc_id)
+"""
+
+COLLOCATIONS = rf"""
+with pieces as (select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) piece from documents),
+lists as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w : w <> '') w from pieces),
+grams as (
+  select lang, unnest(list_transform(range(len(w)), lambda i : w[i + 1 : i + 1])) g from lists
+  union all select lang, unnest(list_transform(range(len(w) - 1), lambda i : w[i + 1 : i + 2])) from lists
+  union all select lang, unnest(list_transform(range(len(w) - 2), lambda i : w[i + 1 : i + 3])) from lists),
+counts as (select lang, g, count(*) f from grams group by all having count(*) >= 10),
+totals as (select lang, sum(len(w))::bigint n from lists group by 1),
+found as (select lang, g, f a from counts where len(g) > 1),
+cuts as (
+  select lang, found.g, a, k, x.f l, y.f r, ((a::hugeint * a * 1000000) // (x.f::hugeint * y.f))::bigint score
+  from (select *, unnest(range(1, len(g))) k from found) found join counts x using (lang) join counts y using (lang)
+  where x.g = found.g[1 : k] and y.g = found.g[k + 1 : len(found.g)]),
+weakest as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+longer as (
+  select lang, g[1 : len(g) - 1] g, a f from found where len(g) > 2 union all select lang, g[2 : len(g)], a from found where len(g) > 2),
+left_ as (select w.* from weakest w anti join (select l.lang, l.g from longer l join found on found.lang = l.lang and found.g = l.g where 100 * l.f >= 50 * found.a) d on w.lang = d.lang and w.g = d.g),
+ranked as (select lang, array_to_string(g, ' ') phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from left_)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+def merkle(levels: int = 6, top_levels: int = 5) -> str:
+    """The manifest level by level, for sources of up to 16 ** levels rows and 16 ** top_levels sources."""
+    field = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+    steps = []
+
+    def tree(name: str, key: str, depth: int) -> None:
+        """name0 (key, idx, n, d) -> name1 ... and name_runs1 ..., name_root."""
+        for j in range(1, depth + 1):
+            steps.append(f"{name}_runs{j} as (select {key}, idx // 16 up, list(d order by idx) ds, any_value(n) n from {name}{j - 1} where n > 1 group by {key}, idx // 16)")
+            steps.append(f"{name}{j} as (select {key}, up idx, sha256(array_to_string(ds, '')) d, (n + 15) // 16 n from {name}_runs{j})")
+        steps.append(f"{name}_root as (" + " union all ".join(f"select {key}, d from {name}{j} where n = 1" for j in range(depth + 1)) + ")")
+
+    def climb(path: str, name: str, key: str, place: str, depth: int, first: int) -> None:
+        for j in range(1, depth + 1):
+            at, k = f"{path}{first + j - 1}", f"p.{place} // {16 ** (j - 1)} % 16"
+            steps.append(
+                f"{path}{first + j} as (select p.* exclude (h, proof), case when ds is null then h else sha256(array_to_string(list_transform(ds, lambda x, i : case when i - 1 = {k} then h else x end), '')) end h, "
+                f"proof || coalesce(array_to_string(list_filter(ds, lambda x, i : i - 1 <> {k}), ''), '') proof from {at} p left join {name}_runs{j} r on p.{key} is not distinct from r.{key} and p.{place} // {16 ** j} = r.up)"
+            )
+
+    tree("s", "source", levels)
+    steps.append("ranked as (select source, d, row_number() over (order by source nulls first) - 1 tree, count(*) over () n_trees from s_root)")
+    steps.append("t0 as (select 0 one, tree idx, n_trees n, d from ranked)")
+    tree("t", "one", top_levels)
+    steps.append("p0 as (select l.*, tree, 0 one, r.d subroot, claimed h, '' proof from leaves l join ranked r on l.source is not distinct from r.source)")
+    climb("p", "s", "source", "idx", levels, 0)
+    climb("p", "t", "one", "tree", top_levels, levels)
+    return f"""
+with crc_table as (select list_transform(range(256), lambda n : list_reduce(range(8), lambda c, i : case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n)) t),
+sums as (select d.*, xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x : ord(x)::bigint), lambda c, b : xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) crc from documents d, crc_table),
+leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, d, claimed) - 1 idx, count(*) over (partition by source) n
+  from (select doc_id, source, {leaf("text")} d, case when crc % 5 = 0 then {leaf(_LOWER.format("text"))} else {leaf("text")} end claimed from sums)),
+s0 as (select source, idx, n, d from leaves),
+{", ".join(steps)}
+select doc_id, p.d leaf, subroot, r.d root, sha256(proof) proof_sha256, h folded_root, h = r.d verified from p{levels + top_levels} p, t_root r
+"""

@@ -107,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_preferences": oracles.PREFERENCES,
     "op9_mixing": oracles.mixing(),
+    "op11_odd_sketch": oracles.NEAR_DUPLICATES,
+    "op12_merkle": oracles.merkle(),
+    "op13_collocations": oracles.COLLOCATIONS,
 }
