@@ -7,7 +7,11 @@ occur inside one longer phrase are dropped.
 
 1. Tasks count n-grams of about FLUSH_TOKENS words at a time as integers and
    pass distinct ones on; Spark adds the counts up and keeps frequent ones. All
-   parts of a frequent n-gram are frequent, so nothing else is needed later.
+   parts of a frequent n-gram are frequent, so nothing else is needed later, and
+   longer n-grams are counted in passes of their own, in which tasks leave out
+   those whose first or last words are no frequent n-gram. They tell by a bitmap
+   of MAYBE_BITS, of fixed size for any corpus: a bit set by chance lets some
+   more n-grams be counted, and none is lost.
 2. The counts are laid out as two sorted streams in the shared folder: by words
    from the first to the last (prefix order), and from the last to the first
    (suffix order). A stream is cut into ranges, so a common first word may span
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +57,8 @@ FLUSH_TOKENS = 2_000_000
 #: Words that a task keeps numbers for; with one more block's words they fit into WORD_BITS.
 FLUSH_WORDS = 1 << 19
 WORD_BITS = 21
+#: Bits of the map of frequent n-grams that tasks get: 16 MB.
+MAYBE_BITS = 1 << 27
 #: Bytes of a text that are cut into words at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -80,11 +87,28 @@ class _Numbers(dict):
         return number
 
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def _mixed(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of the n-grams without their last word and of the last words."""
+    with np.errstate(over="ignore"):
+        out = (before * _MIX[0] ^ words) * _MIX[1]
+        return out ^ (out >> np.uint64(32))
+
+
+def _bits_of(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    return (hashes & np.uint64(n_bits - 1)).astype(np.int64)
+
+
 class _Counter:
-    """N-grams of the words given since the last flush, by language."""
+    """N-grams of some lengths of the words given since the last flush, by language.
+
+    maybe: the map of frequent n-grams one word shorter than the shortest length.
+    """
 
-    def __init__(self, max_words: int):
-        self.max_words = max_words
+    def __init__(self, lengths: range, maybe: np.ndarray | None = None):
+        self.lengths, self.maybe = lengths, maybe
         self.clear()
 
     def clear(self) -> None:
@@ -104,25 +128,36 @@ class _Counter:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         words = pa.array(self.numbers, pa.binary())
+        own = np.fromiter(map(xxhash.xxh64_intdigest, self.numbers), np.uint64, len(words)) if self.maybe is not None else None
         for lang, parts in self.parts.items():
             ids, fresh = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            valid = ids > 0
-            yield _batch(lang, pa.array([b""], pa.binary()), np.array([np.count_nonzero(valid & fresh)]))
-            seen = np.bincount(ids[valid & fresh], minlength=len(words))
-            there = np.flatnonzero(seen)
-            yield from _batches(lang, words.take(pa.array(there)), seen[there])
-            place, phrases = ids, words
-            for _ in range(self.max_words - 1):
+            valid, place, phrases = ids > 0, ids, words
+            hashes = None if own is None else _mixed(np.full(1, xxhash.xxh64_intdigest(lang), np.uint64), own)
+            if 1 in self.lengths:
+                yield _batch(lang, pa.array([b""], pa.binary()), np.array([np.count_nonzero(valid & fresh)]))
+                seen = np.bincount(ids[valid & fresh], minlength=len(words))
+                there = np.flatnonzero(seen)
+                yield from _batches(lang, words.take(pa.array(there)), seen[there])
+            for n in range(2, self.lengths.stop):
                 # place: of the n-gram that ends at a word, its number in phrases
-                valid = np.concatenate([[False], valid[:-1]]) & (ids > 0)
+                if n == self.lengths.start:
+                    likely = np.zeros(len(ids), bool)
+                    at = _bits_of(hashes[place[valid]], len(self.maybe) << 6)
+                    likely[valid] = self.maybe[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) != 0
+                    valid = valid & likely
+                valid = np.concatenate([[False], valid[:-1]]) & (valid if n == self.lengths.start else ids > 0)
                 keys = np.concatenate([[0], place[:-1]]) << WORD_BITS | ids
                 distinct, at = np.unique(keys[valid], return_inverse=True)
-                counts = np.bincount(at[fresh[valid]], minlength=len(distinct))
-                phrases = pc.binary_join_element_wise(phrases.take(pa.array(distinct >> WORD_BITS)), words.take(pa.array(distinct & ((1 << WORD_BITS) - 1))), b" ")
+                first, last = distinct >> WORD_BITS, distinct & ((1 << WORD_BITS) - 1)
                 place = np.zeros(len(ids), np.int64)
                 place[valid] = at
-                there = np.flatnonzero(counts)
-                yield from _batches(lang, phrases.take(pa.array(there)), counts[there])
+                if hashes is not None:
+                    hashes = _mixed(hashes[first], own[last])
+                phrases = pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(pa.array(last)), b" ")
+                if n in self.lengths:
+                    counts = np.bincount(at[fresh[valid]], minlength=len(distinct))
+                    there = np.flatnonzero(counts)
+                    yield from _batches(lang, phrases.take(pa.array(there)), counts[there])
         self.clear()
 
 
@@ -135,11 +170,13 @@ def _batches(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.Re
         yield _batch(lang, phrases[start : start + (1 << 16)], counts[start : start + (1 << 16)])
 
 
-def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
-    """lang, phrase and f of n-grams that occur min_count times or more; phrase '' has the number of words of a language."""
+def _counted(docs: DataFrame, text_col: str, lang_col: str, lengths: range, min_count: int, maybe: np.ndarray | None = None) -> DataFrame:
+    """lang, phrase and f of n-grams of these lengths that occur min_count times or more, and the numbers of words if 1 is a length."""
+    given = None if maybe is None else docs.sparkSession.sparkContext.broadcast(maybe)
+    most = lengths.stop - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(max_words)
+        counter = _Counter(lengths, None if given is None else given.value)
         for batch in slices_by_bytes(batches, 1):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -150,7 +187,7 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                 for block in _blocks(_BREAK.join(texts)):
                     words = list(filter(None, block.replace(_BREAK, b" \n ").split(b" ")))
                     counter.add(lang, before, words)
-                    before = [*before, *words][1 - max_words :] if max_words > 1 else []
+                    before = [*before, *words][1 - most :] if most > 1 else []
                     if counter.full():
                         yield from counter.flush()
         yield from counter.flush()
@@ -161,6 +198,39 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | (F.col("phrase") == ""))
 
 
+def maybe_map(phrases: DataFrame) -> np.ndarray:
+    """The bits that the n-grams of phrases (lang, phrase) hash to. Of fixed size, so it can go to the driver and to all tasks."""
+    n_bits = MAYBE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.zeros(batch.num_rows, np.uint64)
+            for k, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                hash_ = np.full(1, xxhash.xxh64_intdigest(lang), np.uint64)
+                for word in phrase.split(" "):
+                    hash_ = _mixed(hash_, np.full(1, xxhash.xxh64_intdigest(word), np.uint64))
+                hashes[k] = hash_[0]
+            yield pa.RecordBatch.from_arrays([pa.array(_bits_of(hashes, n_bits))], ["bit"])
+
+    bits = phrases.select("lang", "phrase").mapInArrow(run, "bit bigint")
+    words = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(n_bits >> 6, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def count_phrases(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
+    """lang, phrase and f of n-grams that occur min_count times or more; phrase '' has the number of words of a language."""
+    found = [scratch.cut(_counted(docs, text_col, lang_col, range(1, min(max_words, 2) + 1), min_count), "counts")]
+    for n in range(3, max_words + 1):
+        shorter = found[-1].filter(F.size(F.split("phrase", " ")) == n - 1)
+        found.append(scratch.cut(_counted(docs, text_col, lang_col, range(n, n + 1), min_count, maybe_map(shorter)), "counts"))
+    counted = found[0]
+    for more in found[1:]:
+        counted = counted.unionByName(more)
+    return counted
+
+
 def stream(grams: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """grams (lang, key, f) as a sorted stream of ranges (part), with the prefixes of each range's first key from earlier ranges (carried)."""
     dealt = grams.select("lang", "key", "f").repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
@@ -222,7 +292,7 @@ def scored(grams: DataFrame, scratch: Scratch, inside_percent: int = INSIDE_PERC
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, best: int = BEST, inside_percent: int = INSIDE_PERCENT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases."""
     scratch = Scratch(docs.sparkSession)
-    counted = scratch.cut(count_phrases(docs, text_col, lang_col, max_words, min_count), "counts")
+    counted = count_phrases(docs, scratch, text_col, lang_col, max_words, min_count)
     grams = counted.filter("phrase != ''").select("lang", F.split("phrase", " ").alias("words"), "f")
     phrases = scored(grams, scratch, inside_percent).withColumn("phrase", F.concat_ws(" ", "words"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
