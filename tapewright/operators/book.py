@@ -6,10 +6,14 @@ messages one by one. Windows run by order or by price level, never by symbol.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .patterns import long_span_join
+from .patterns import PIECE, asof_last, long_span_join
 
 ORDER = ["trading_date", "symbol", "order_id"]
 LEVEL = ["trading_date", "symbol", "side", "price_raw"]
@@ -149,3 +153,114 @@ def protected_prices(levels: DataFrame, keys: list[str], lot: Column | None = No
         F.coalesce(F.max(F.when(bid, F.col("price_raw"))), zero).alias("bid_price_raw"), F.coalesce(F.max_by(F.when(bid, F.col("upto")), F.when(bid, F.col("price_raw"))), zero).alias("bid_size"),
         F.coalesce(F.min(F.when(ask, F.col("price_raw"))), zero).alias("ask_price_raw"), F.coalesce(F.min_by(F.when(ask, F.col("upto")), F.when(ask, F.col("price_raw"))), zero).alias("ask_size"),
     )
+
+
+BEST = ["bid_price_raw", "bid_size", "ask_price_raw", "ask_size", "bid_levels", "ask_levels", "bid_total", "ask_total"]
+
+
+class _Side:
+    """The levels of one side, best first; sign is -1 for bids, whose best price is the highest."""
+
+    def __init__(self, sign: int):
+        self.sign, self.order, self.levels, self.total = sign, [], {}, 0
+
+    def put(self, price: int, size: int, lot: int) -> None:
+        key = self.sign * price
+        old = self.levels.pop(key, None)
+        self.total += max(size, 0) - (old[0] if old else 0)
+        if size > 0:
+            self.levels[key] = size, lot
+            if old is None:
+                insort(self.order, key)
+        elif old is not None:
+            del self.order[bisect_left(self.order, key)]
+
+    def first(self) -> tuple[int, int]:
+        """The price at which sizes from the best level on reach that level's lot, and their sum; zeros if they don't."""
+        upto = 0
+        for key in self.order:
+            size, lot = self.levels[key]
+            upto += size
+            if upto >= lot:
+                return self.sign * key, upto
+        return 0, 0
+
+
+def best_points(sizes: DataFrame, lot: Column | None = None, piece: int = PIECE) -> DataFrame:
+    """trading_date, symbol, ts_nanos, seq and best: the times at which a book's best prices, levels or totals change.
+
+    One pass over level sizes in pieces of time: each piece of a symbol begins
+    with the levels that it takes over, so a busy symbol is spread over its
+    pieces and a task holds one book at a time. The prices of best are those at
+    which sizes from the best level on reach lot, that of the level's own price
+    by default, 0 where none is reached; lot 1 gives the plain best prices.
+    """
+    book_key = ["trading_date", "symbol"]
+    lot = (round_lot(F.col("price_raw")) if lot is None else lot).cast("bigint")
+    rows = sizes.select(*LEVEL, "ts_nanos", "level_size", F.floor(F.col("ts_nanos") / piece).alias("piece"))
+    ends = rows.groupBy(*LEVEL, "piece").agg(F.max_by("level_size", "ts_nanos").alias("level_size"))
+    following = F.lead("piece").over(Window.partitionBy(*LEVEL).orderBy("piece"))
+    last = ends.groupBy(*book_key).agg(F.max("piece").alias("last"))
+    kept = ends.withColumn("until", following).filter("level_size > 0").join(last, book_key).withColumn("until", F.coalesce("until", "last")).filter("piece < until")
+    carried = kept.select(*LEVEL, F.lit(None).cast("bigint").alias("ts_nanos"), "level_size", F.explode(F.sequence(F.col("piece") + 1, F.col("until"))).alias("piece"))
+    both = rows.unionByName(carried).select(*book_key, "piece", "ts_nanos", "side", "price_raw", "level_size", lot.alias("lot"))
+    dealt = both.repartition(*book_key, "piece").sortWithinPartitions(*book_key, "piece", F.asc_nulls_first("ts_nanos"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, told, sides = None, None, None, {}
+        out: list[tuple] = []
+
+        def settle() -> None:
+            nonlocal told
+            if now is None:
+                return
+            bid, ask = sides["8"], sides["5"]
+            state = *bid.first(), *ask.first(), len(bid.order), len(ask.order), bid.total, ask.total
+            if state != told:
+                out.append((*key[:2], now, *state))
+                told = state
+
+        for batch in batches:
+            for day, symbol, piece_no, ts, side, price, size, own_lot in zip(*(c.to_pylist() for c in batch.columns)):
+                if (day, symbol, piece_no) != key:
+                    settle()
+                    key, now, told, sides = (day, symbol, piece_no), None, None, {"8": _Side(-1), "5": _Side(1)}
+                elif ts != now:
+                    settle()
+                now = ts
+                sides[side].put(price, size, own_lot)
+            yield _points(out)
+            out = []
+        settle()
+        yield _points(out)
+
+    def _points(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [[]] * 11
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.date32()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])], ["trading_date", "symbol", "ts_nanos", *BEST])
+
+    found = dealt.mapInArrow(sweep, "trading_date date, symbol string, ts_nanos bigint, " + ", ".join(f"{n} bigint" for n in BEST))
+    return found.select(*book_key, "ts_nanos", F.lit(0).cast("bigint").alias("seq"), F.struct(*BEST).alias("best"))
+
+
+def best_at(points: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (trading_date, symbol, ts_nanos, ...) with best as of their time, null before a book's first change."""
+    return asof_last(points, requests, ["trading_date", "symbol"], "best")
+
+
+def coverage(messages: DataFrame, feed_end: DataFrame | None = None) -> DataFrame:
+    """trading_date, symbol, seen (time of a symbol's first message) and ended (time of the day's last one); feed_end: trading_date and ended of a feed whose end is known otherwise."""
+    seen = messages.groupBy("trading_date", "symbol").agg(F.min("ts_nanos").alias("seen"))
+    return seen.join(messages.groupBy("trading_date").agg(F.max("ts_nanos").alias("ended")) if feed_end is None else feed_end, "trading_date")
+
+
+def book_states(points: DataFrame, covered: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every request with state and best: missing if the feed ended before it or hadn't seen its symbol, else empty or present.
+
+    Coverage has a row for each symbol and day, so it is met by those, and the
+    book by its change points: no request lists a book's levels.
+    """
+    met = best_at(points, requests).join(covered, ["trading_date", "symbol"], "left")
+    there = (F.col("seen") <= F.col("ts_nanos")) & (F.col("ts_nanos") <= F.col("ended"))
+    levels = F.coalesce(F.col("best.bid_levels") + F.col("best.ask_levels"), F.lit(0))
+    state = F.when(~F.coalesce(there, F.lit(False)), "missing").when(levels == 0, "empty").otherwise("present")
+    return met.withColumn("state", state).withColumn("best", F.when(F.col("state") == "present", F.col("best"))).drop("seen", "ended")

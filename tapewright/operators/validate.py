@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import book
@@ -26,19 +26,34 @@ def level_check(changes: DataFrame, updates: DataFrame) -> DataFrame:
     return union.withColumn("summed", F.sum("delta").over(upto)).filter("declared is not null").drop("delta").withColumn("matches", F.col("declared") == F.col("summed"))
 
 
-def replaced_level_intervals(updates: DataFrame) -> DataFrame:
-    """Levels by replacing updates (size 0 removes) as intervals, for a book from the level feed."""
-    sizes = last_of_instant(updates, book.LEVEL).withColumn("level_size", F.col("declared").cast("bigint"))
-    return book.level_intervals(sizes)
+def complete_updates(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Updates that end their transaction, the last one of a level and instant; and how many rows were mid-transaction or superseded, by symbol.
 
+    event_flags 1 ends a transaction. What comes before it shows a level on its
+    way, and of several transactions of one level within a nanosecond only the
+    last is a state that the orders can be held against.
+    """
+    done = updates.withColumn("complete", F.col("event_flags").bitwiseAND(F.lit(1)) == 1)
+    place = F.row_number().over(Window.partitionBy(*book.LEVEL, "ts_nanos", "complete").orderBy(F.desc("seq")))
+    placed = done.withColumn("__place", place)
+    skipped = placed.groupBy("symbol").agg(F.count_if(~F.col("complete")).alias("mid_transaction"), F.count_if(F.col("complete") & (F.col("__place") > 1)).alias("superseded"))
+    return placed.filter("complete and __place = 1").drop("__place", "complete"), skipped
+
+
+def replaced_level_sizes(updates: DataFrame) -> DataFrame:
+    """Level sizes of a book that the level feed replaces level by level (size 0 removes)."""
+    return last_of_instant(updates, book.LEVEL).withColumn("level_size", F.col("declared").cast("bigint"))
+
+
+def bbo_check(quotes: DataFrame, points: DataFrame) -> DataFrame:
+    """Quotes, the last one of a symbol and instant, with the protected prices of a book at their time, 0 where it has none, and whether all four numbers match.
 
-def bbo_check(quotes: DataFrame, intervals: DataFrame, bucket: int, lot=None) -> DataFrame:
-    """Quotes with the protected prices of a book at their time, 0 where it has none, and whether all four numbers match."""
+    points: the book's change points, of best_points() with the lot asked for.
+    """
     last = last_of_instant(quotes, ["trading_date", "symbol"])
-    keys = ["trading_date", "symbol", "ts_nanos"]
-    found = book.protected_prices(book.snapshot(intervals, last.select(*keys), bucket), keys, lot)
     names = ["bid_price_raw", "bid_size", "ask_price_raw", "ask_size"]
-    joined = last.join(found.withColumnsRenamed({n: f"book_{n}" for n in names}), keys, "left").fillna(0, [f"book_{n}" for n in names])
+    met = book.best_at(points, last)
+    joined = met.select(*last.columns, *[F.coalesce(F.col(f"best.{n}"), F.lit(0)).alias(f"book_{n}") for n in names])
     matches = F.lit(True)
     for n in names:
         matches = matches & (F.coalesce(n, F.lit(0)) == F.col(f"book_{n}"))
@@ -51,6 +66,21 @@ def match_report(checked: DataFrame, keys: list[str]) -> DataFrame:
     return checked.groupBy(*keys).agg(n.alias("compared"), good.alias("matched"), (n - good).alias("mismatched"), (good / n).alias("match_rate"))
 
 
+def split_report(checked: DataFrame, off_hours: Column, keys: list[str]) -> DataFrame:
+    """match_report() with the part of it that fell outside regular hours, and the regular part's own rate (0 if there is none)."""
+    n, good = F.count(F.lit(1)), F.count_if("matches")
+    off, off_good = F.count_if(off_hours), F.count_if(off_hours & F.col("matches"))
+    rate = lambda part, whole: F.when(whole == 0, 0.0).otherwise(part / whole)
+    return checked.groupBy(*keys).agg(n.alias("compared"), good.alias("matched"), (n - good).alias("mismatched"), off.alias("off_compared"), off_good.alias("off_matched"), (off - off_good).alias("off_mismatched"), rate(good - off_good, n - off).alias("regular_rate"), rate(off_good, off).alias("off_rate"))
+
+
+def worst_symbols(checked: DataFrame, n: int) -> DataFrame:
+    """The n symbols with the most mismatches, ties by name: rank, symbol, matched, mismatched."""
+    counts = checked.groupBy("symbol").agg(F.count_if("matches").alias("matched"), F.count_if(~F.col("matches")).alias("mismatched")).filter("mismatched > 0")
+    top = counts.orderBy(F.desc("mismatched"), "symbol").limit(n)  # a top-n, so the window sees n rows
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mismatched"), "symbol")))
+
+
 def reconcile_volumes(left: DataFrame, right: DataFrame) -> DataFrame:
     """symbol, left_volume, right_volume, verdict, difference of two feeds' shares by symbol."""
     both = left.groupBy("symbol").agg(F.sum(F.col("size").cast("bigint")).alias("left_volume")).join(right.groupBy("symbol").agg(F.sum(F.col("size").cast("bigint")).alias("right_volume")), "symbol", "full_outer")

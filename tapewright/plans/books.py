@@ -64,7 +64,7 @@ def remaining_sizes(spark, sf_dir):
 
 @query(f"{STEPS} select trading_date, symbol, side, price_raw, ts_nanos, delta, level_size from sizes")
 def level_running_size(spark, sf_dir):
-    return book.level_sizes(_changes(spark, sf_dir)).select("trading_date", "symbol", "side", "price_raw", "ts_nanos", "delta", "level_size")
+    return book.level_sizes(book.level_changes(book.remaining(_steps(spark, sf_dir)))).select("trading_date", "symbol", "side", "price_raw", "ts_nanos", "delta", "level_size")
 
 
 #: The same chain over flow that no consistent book allows, without clears.
@@ -97,6 +97,12 @@ def _requests(spark, sf_dir):
     return fx.orders_add(spark, sf_dir).select("trading_date", "symbol", (F.col("ts_nanos") + 1).alias("ts_nanos"), F.col("order_id").alias("request"))
 
 
+def _points(spark, sf_dir, lot=None, changes=None):
+    """Change points of the books' best prices."""
+    changes = book.level_changes(book.remaining(_steps(spark, sf_dir))) if changes is None else changes
+    return book.best_points(book.level_sizes(changes), lot)
+
+
 def _intervals(spark, sf_dir):
     return book.level_intervals(book.level_sizes(_changes(spark, sf_dir)))
 
@@ -113,7 +119,8 @@ def book_snapshot(spark, sf_dir):
   min(case when side = '5' then price_raw end) ask_price_raw, arg_min(case when side = '5' then level_size end, case when side = '5' then price_raw end) ask_size,
   count(case when side = '8' then 1 end) bid_levels, count(case when side = '5' then 1 end) ask_levels, cast(sum(case when side = '8' then level_size else 0 end) as bigint) bid_total, cast(sum(case when side = '5' then level_size else 0 end) as bigint) ask_total from {SNAP} group by 1""")
 def best_levels(spark, sf_dir):
-    return book.best_prices(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request"])
+    met = book.best_at(_points(spark, sf_dir, F.lit(1)), _requests(spark, sf_dir)).select("request", "best.*").filter("bid_levels + ask_levels > 0")
+    return met.withColumns({c: F.when(F.col(f"{c[:3]}_levels") > 0, F.col(c)) for c in book.BEST[:4]})
 
 
 PROTECTED = f"""(select request, any_value(trading_date) trading_date, any_value(symbol) symbol, any_value(ts_nanos) ts_nanos, coalesce(max(case when side = '8' and upto >= 100 then price_raw end), 0) bid_price_raw, coalesce(arg_max(case when side = '8' and upto >= 100 then upto end, case when side = '8' and upto >= 100 then price_raw end), 0) bid_size,
@@ -123,7 +130,8 @@ PROTECTED = f"""(select request, any_value(trading_date) trading_date, any_value
 
 @query(f"{STEPS} select request, bid_price_raw, bid_size, ask_price_raw, ask_size from {PROTECTED}")
 def protected_bbo(spark, sf_dir):
-    return book.protected_prices(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request"])
+    met = book.best_at(_points(spark, sf_dir), _requests(spark, sf_dir)).filter("best.bid_levels + best.ask_levels > 0")
+    return met.select("request", *[f"best.{c}" for c in book.BEST[:4]])
 
 
 @query(f"{STEPS} select request, side, price_raw, level_size from (select *, row_number() over (partition by request, side order by case when side = '8' then -price_raw else price_raw end) n from {SNAP}) where n = 2")
@@ -136,6 +144,29 @@ def sizes_at_price(spark, sf_dir):
     return book.size_at(book.snapshot(_intervals(spark, sf_dir), _requests(spark, sf_dir), SEC), ["request"], F.lit(1_000_500))
 
 
+#: Requests before a symbol's first order, between, and after the end of the feed; S98 is a symbol that no feed has.
+_ASKED = f"""asked as (select request, trading_date, symbol, {fx.START} + d * {fx.DAY} + at_ * {SEC} ts_nanos from (
+  select x.d * 10000 + y.s * 100 + z.at_ / 5 request, x.trading_date, 'S' || lpad(cast(y.s as varchar), 2, '0') symbol, d, z.at_ from (select distinct d, trading_date from base) x, (select unnest([3, 7, 11, 98])::bigint s) y, (select unnest([-5, 0, 5, 10, 25, 100, 10000])::bigint at_) z))"""
+
+
+@query(f"""{STEPS}, {_ASKED}, seen_ as (select trading_date, symbol, min(ts_nanos) seen from steps group by 1, 2), feed_ends as (select trading_date, max(ts_nanos) feed_end from steps group by 1),
+held as (select a.request, count(*) levels, max(case when side = '8' then price_raw end) bid, min(case when side = '5' then price_raw end) ask, cast(sum(level_size) as bigint) total
+  from asked a join spans s on a.trading_date = s.trading_date and a.symbol = s.symbol and s.start_ <= a.ts_nanos and a.ts_nanos < s.end_ where level_size > 0 group by 1),
+states as (select a.*, case when seen is null or seen > a.ts_nanos or feed_end < a.ts_nanos then 'missing' when levels is null then 'empty' else 'present' end state from asked a left join seen_ using (trading_date, symbol) left join feed_ends using (trading_date) left join held using (request))
+select cast(request as bigint) request, state, case when state = 'present' then bid end bid_price_raw, case when state = 'present' then ask end ask_price_raw, case when state = 'present' then total end total from states left join held using (request)""")
+def book_state_at(spark, sf_dir):
+    """Books at requested times: present, empty, or missing as the feed hadn't seen the symbol or had ended. Every request gives a row."""
+    steps = written(_steps(spark, sf_dir), "steps")
+    days = fx.base(spark, sf_dir).select("d", "trading_date").distinct()
+    each = lambda values, name: F.explode(F.array(*[F.lit(v).cast("bigint") for v in values])).alias(name)
+    asked = days.select("*", each([3, 7, 11, 98], "s")).select("*", each([-5, 0, 5, 10, 25, 100, 10000], "at"))
+    asked = asked.selectExpr("cast(d * 10000 + s * 100 + at div 5 as bigint) request", "trading_date", "concat('S', lpad(cast(s as string), 2, '0')) symbol", f"{fx.START} + d * {fx.DAY} + at * {SEC} ts_nanos")
+    points = book.best_points(book.level_sizes(book.level_changes(book.remaining(steps))), F.lit(1))
+    met = book.book_states(points, book.coverage(steps), asked)
+    price = lambda side: F.when(F.col(f"best.{side}_levels") > 0, F.col(f"best.{side}_price_raw")).alias(f"{side}_price_raw")
+    return met.select("request", "state", price("bid"), price("ask"), (F.col("best.bid_total") + F.col("best.ask_total")).alias("total"))
+
+
 UPDATES = "(select trading_date, symbol, side, price_raw, ts_nanos, level_size + case when ts_nanos // 1000000 % 997 = 0 then 1 else 0 end declared from sizes)"
 
 
@@ -150,18 +181,57 @@ def level_check(spark, sf_dir):
     return ev.rounded(validate.match_report(validate.level_check(changes, _updates(spark, sf_dir, changes)), ["symbol"]), "match_rate")
 
 
+#: The level feed as transactions: each change of a level is told in a first row of half the size, which doesn't end its transaction, and in one that does; every third is told twice within its nanosecond.
+_TOLD = """told as (
+  select trading_date, symbol, side, price_raw, ts_nanos, 0 seq, level_size // 2 declared, 0 event_flags from sizes
+  union all select trading_date, symbol, side, price_raw, ts_nanos, 1, level_size + 7, 1 from sizes where price_raw // 100 % 3 = 0
+  union all select trading_date, symbol, side, price_raw, ts_nanos, 2, level_size + case when ts_nanos // 1000000 % 997 = 0 then 1 else 0 end, 1 from sizes)"""
+
+
+@query(f"""{STEPS}, {_TOLD}, done as (select * from told where event_flags % 2 = 1 qualify row_number() over (partition by trading_date, symbol, side, price_raw, ts_nanos order by seq desc) = 1),
+skipped as (select symbol, count(*) filter (where event_flags % 2 = 0) mid_transaction, count(*) filter (where event_flags % 2 = 1 and seq = 1) superseded from told group by 1)
+select symbol, compared, matched, mismatched, mid_transaction, superseded from (
+  select symbol, count(*) compared, count(*) filter (where declared = level_size) matched, count(*) filter (where declared <> level_size) mismatched from done join sizes using (trading_date, symbol, side, price_raw, ts_nanos) group by 1) join skipped using (symbol)""")
+def transaction_check(spark, sf_dir):
+    """Level sizes compared once a transaction is complete, rows on the way and superseded ones left out and counted."""
+    changes = _changes(spark, sf_dir)
+    sizes = written(book.level_sizes(changes), "sizes")
+    told = lambda seq, size, flags: sizes.select(*book.LEVEL, "ts_nanos", F.lit(seq).cast("bigint").alias("seq"), F.expr(size).cast("bigint").alias("declared"), F.lit(flags).alias("event_flags"))
+    updates = told(0, "level_size div 2", 0).unionByName(told(1, "level_size + 7", 1).filter("price_raw div 100 % 3 = 0")).unionByName(told(2, "level_size + case when ts_nanos div 1000000 % 997 = 0 then 1 else 0 end", 1))
+    done, skipped = validate.complete_updates(updates)
+    return validate.match_report(validate.level_check(changes, done), ["symbol"]).drop("match_rate").join(skipped, "symbol")
+
+
 QUOTES = f"(select *, bid_size + case when request % 50 = 0 then 1 else 0 end quoted from {PROTECTED} where (bid_size > 0 or ask_size > 0))"
 
 
-def _quotes(spark, sf_dir, intervals):
-    found = book.protected_prices(book.snapshot(intervals, _requests(spark, sf_dir), SEC), ["request", "trading_date", "symbol", "ts_nanos"], F.lit(100)).filter("bid_size > 0 or ask_size > 0")
+def _quotes(spark, sf_dir, points):
+    found = book.best_at(points, _requests(spark, sf_dir)).select("request", "trading_date", "symbol", "ts_nanos", *[f"best.{c}" for c in book.BEST[:4]]).filter("bid_size > 0 or ask_size > 0")
     return found.withColumns({"bid_size": F.expr("bid_size + case when request % 50 = 0 then 1 else 0 end"), "seq": F.col("request")})
 
 
 @query(f"{STEPS} select trading_date, count(*) compared, count(*) filter (where quoted = bid_size) matched, count(*) filter (where quoted <> bid_size) mismatched, {ev.r6('count(*) filter (where quoted = bid_size) / count(*)')} match_rate from {QUOTES} group by 1")
 def bbo_check(spark, sf_dir):
-    intervals = _intervals(spark, sf_dir)
-    return ev.rounded(validate.match_report(validate.bbo_check(_quotes(spark, sf_dir, intervals), intervals, SEC, F.lit(100)), ["trading_date"]), "match_rate")
+    points = written(_points(spark, sf_dir, F.lit(100)), "points")
+    return ev.rounded(validate.match_report(validate.bbo_check(_quotes(spark, sf_dir, points), points), ["trading_date"]), "match_rate")
+
+
+_OFF = f"ts_nanos % {fx.DAY} < {fx.START % fx.DAY + 60 * SEC}"
+
+
+@query(f"""{STEPS}, judged as (select *, quoted = bid_size good, {_OFF} off_ from {QUOTES})
+select trading_date, count(*) compared, count(*) filter (where good) matched, count(*) filter (where not good) mismatched, count(*) filter (where off_) off_compared, count(*) filter (where off_ and good) off_matched, count(*) filter (where off_ and not good) off_mismatched,
+  {ev.r6('case when count(*) filter (where not off_) = 0 then 0 else count(*) filter (where good and not off_) / count(*) filter (where not off_) end')} regular_rate, {ev.r6('case when count(*) filter (where off_) = 0 then 0 else count(*) filter (where good and off_) / count(*) filter (where off_) end')} off_rate from judged group by 1""")
+def bbo_hours(spark, sf_dir):
+    """Quotes against books inside and outside regular hours, which begin a minute after the day's first order here."""
+    points = written(_points(spark, sf_dir, F.lit(100)), "points")
+    return ev.rounded(validate.split_report(validate.bbo_check(_quotes(spark, sf_dir, points), points), F.expr(_OFF), ["trading_date"]), "regular_rate", "off_rate")
+
+
+@query(f"{STEPS} select rank, symbol, matched, mismatched from (select symbol, count(*) filter (where quoted = bid_size) matched, count(*) filter (where quoted <> bid_size) mismatched, row_number() over (order by count(*) filter (where quoted <> bid_size) desc, symbol) as rank from {QUOTES} group by 1) where rank <= 5 and mismatched > 0")
+def worst_symbols(spark, sf_dir):
+    points = written(_points(spark, sf_dir, F.lit(100)), "points")
+    return validate.worst_symbols(validate.bbo_check(_quotes(spark, sf_dir, points), points), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"""{STEPS}, kept as (select *, ts_nanos start_, coalesce(lead(ts_nanos) over (partition by trading_date, symbol, side, price_raw order by ts_nanos), 4611686018427387904) end_ from {UPDATES}),
@@ -169,8 +239,10 @@ snap as (select r.request, s.side, s.price_raw, s.declared from ({REQUESTS}) r j
 select request, max(case when side = '8' then price_raw end) bid_price_raw, min(case when side = '5' then price_raw end) ask_price_raw, cast(sum(declared) as bigint) total from snap group by 1""")
 def level_feed_bbo(spark, sf_dir):
     """Best prices of books that the level feed replaces level by level."""
-    snap = book.snapshot(validate.replaced_level_intervals(_updates(spark, sf_dir)), _requests(spark, sf_dir), SEC)
-    return book.best_prices(snap, ["request"]).select("request", "bid_price_raw", "ask_price_raw", (F.col("bid_total") + F.col("ask_total")).alias("total"))
+    sizes = validate.replaced_level_sizes(_updates(spark, sf_dir, book.level_changes(book.remaining(_steps(spark, sf_dir)))))
+    met = book.best_at(book.best_points(sizes, F.lit(1)), _requests(spark, sf_dir)).select("request", "best.*").filter("bid_levels + ask_levels > 0")
+    price = lambda side: F.when(F.col(f"{side}_levels") > 0, F.col(f"{side}_price_raw")).alias(f"{side}_price_raw")
+    return met.select("request", price("bid"), price("ask"), (F.col("bid_total") + F.col("ask_total")).alias("total"))
 
 
 @query("""select coalesce(a.symbol, b.symbol) symbol, left_volume, right_volume, case when right_volume is null then 'only_left' when left_volume is null then 'only_right' when left_volume = right_volume then 'matched' else 'mismatched' end verdict,
@@ -195,12 +267,12 @@ def match_report(spark, sf_dir):
     """The three legs of the triangle: orders against levels, orders against quotes, levels against quotes."""
     changes = _changes(spark, sf_dir)
     updates = written(_updates(spark, sf_dir, changes), "updates")
-    intervals = book.level_intervals(book.level_sizes(changes))
-    quotes = written(_quotes(spark, sf_dir, intervals), "quotes")
+    points = written(_points(spark, sf_dir, F.lit(100), changes), "points")
+    quotes = written(_quotes(spark, sf_dir, points), "quotes")
     rate = lambda checked, name: validate.match_report(checked, []).select(F.col("match_rate").alias(name), F.lit(1).alias("one"))
     legs = rate(validate.level_check(changes, updates), "level_rate")
-    legs = legs.join(rate(validate.bbo_check(quotes, intervals, SEC, F.lit(100)), "bbo_rate"), "one")
-    legs = legs.join(rate(validate.bbo_check(quotes, validate.replaced_level_intervals(updates), SEC, F.lit(100)), "level_feed_rate"), "one").drop("one")
+    legs = legs.join(rate(validate.bbo_check(quotes, points), "bbo_rate"), "one")
+    legs = legs.join(rate(validate.bbo_check(quotes, book.best_points(validate.replaced_level_sizes(updates), F.lit(100))), "level_feed_rate"), "one").drop("one")
     return ev.rounded(legs.withColumn("verdict", validate.triangle_verdict(F.col("level_rate"), F.col("bbo_rate"), F.col("level_feed_rate"))), "level_rate", "bbo_rate", "level_feed_rate")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books, events, more, summaries, texts
+from . import books, claims, events, more, summaries, texts
 
-_PARTS = [events, books, summaries, texts, more]
+_PARTS = [events, books, summaries, texts, more, claims]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
