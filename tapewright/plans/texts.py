@@ -10,7 +10,7 @@ from ..functions import fmt
 from ..operators import book
 from ..operators import textcheck as tc
 from ..sources import wire
-from ..session import shared_folder
+from ..session import removed, shared_folder
 from ..streaming import flow
 from . import books
 from . import events as ev
@@ -171,19 +171,30 @@ def claim_counts(spark, sf_dir):
     return tc.wrong_claims(tc.count_claims(texts, nouns), counts)
 
 
+#: A row of no symbol ends the feed so many nanoseconds later, so that the watermark passes all others.
+_END = 60_000_000_000
+
+
 def _replayed(spark, df, name: str):
-    """A stream over df's rows, from files in the folder that executors share."""
+    """A stream over df's rows (symbol, ts_nanos, seq, ...), dealt into files without any order, in the folder that executors share, and the place of its files."""
     place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{place}/in")
-    return spark.readStream.schema(df.schema).parquet(f"{place}/in"), place
+    df.repartition("seq").write.parquet(f"{place}/in")
+    last = spark.read.parquet(f"{place}/in").agg(F.max("ts_nanos")).first()[0]
+    ends = {"symbol": "", "ts_nanos": (last or 0) + _END, "seq": 0}
+    spark.range(1).select(*[F.lit(ends.get(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns]).write.mode("append").parquet(f"{place}/in")
+    return flow.with_event_time(spark.readStream.schema(df.schema).parquet(f"{place}/in")), place
 
 
 def _finished(spark, stream, place: str):
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    """What a stream gives from the files so far. Its input and state are removed; the result stays for its reader."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert flow.late_rows(query) == 0
+    removed(spark, [f"{place}/in", f"{place}/state"])
+    return spark.read.schema(stream.schema).parquet(f"{place}/out").filter("symbol != ''")
 
 
-@query()
+@query(f"with {fx.SQL} {books.STEPS.replace('join clear_books c on', 'join (select * from clear_books where false) c on')} select symbol, side, price_raw, cast(sum(delta) as bigint) streamed, cast(sum(delta) as bigint) batch, true agrees from changes group by 1, 2, 3")
 def streaming_parity(spark, sf_dir):
     """Level changes of the book kept as stream state, against those of the batch windows: sums by level, and whether they agree."""
     steps = books._steps(spark, sf_dir, clears=False).select("symbol", "op", "order_id", "side", "price_raw", "size", "ts_nanos", "seq")
@@ -193,8 +204,15 @@ def streaming_parity(spark, sf_dir):
     return streamed.join(batch, ["symbol", "side", "price_raw"], "full_outer").withColumn("agrees", F.col("streamed").eqNullSafe(F.col("batch")))
 
 
-@query()
+@query(f"with {fx.SQL} select symbol, count(*) n, min(ts_nanos) ts_nanos, max(ts_nanos) ts_end_nanos from {ev.islands('orders_delete', 'symbol', 'ts_nanos, seq', 2_000_000_000, 25)} group by symbol, island, part")
 def streaming_clusters(spark, sf_dir):
-    """Bursts of deletes found by session windows over a stream."""
-    source, place = _replayed(spark, fx.orders_delete(spark, sf_dir), "deletes")
-    return _finished(spark, flow.gap_cluster_counts(flow.with_event_time(source), ["symbol"], 2_000_000_000), place)
+    """Bursts of deletes kept as open clusters of a stream, to the nanosecond and cut after 25 rows."""
+    source, place = _replayed(spark, fx.orders_delete(spark, sf_dir).select("symbol", "ts_nanos", "seq"), "deletes")
+    return _finished(spark, flow.gap_cluster_rows(source, ["symbol"], 2_000_000_000, 25), place).select("symbol", "n", "ts_nanos", "ts_end_nanos")
+
+
+@query(f"with {fx.SQL} select symbol, order_id, ts_nanos, row_number() over (partition by symbol order by ts_nanos, seq) as place from orders_add")
+def streaming_order(spark, sf_dir):
+    """Order adds of a shuffled stream, put back in order."""
+    source, place = _replayed(spark, fx.orders_add(spark, sf_dir).select("symbol", "ts_nanos", "seq", "order_id"), "adds")
+    return _finished(spark, flow.in_order(source, ["symbol"]), place).select("symbol", "order_id", "ts_nanos", "place")

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +28,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that written() made and nobody has removed, and lists that note them, in this thread.
+_live: list[str] = []
+_notes: ContextVar[list[str] | None] = ContextVar("notes", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there, for a table that several parts of a query read."""
+    """df, written once to the shared folder and read from there, for a table that several parts of a query read.
+
+    The query's result reads it, so it stays until the caller has read that:
+    noted() lists what is written inside it, removed() deletes it.
+    """
     place = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    _live.append(place)
+    if (notes := _notes.get()) is not None:
+        notes.append(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list to which the tables that this thread writes are added."""
+    token = _notes.set(places := [])
+    try:
+        yield places
+    finally:
+        _notes.reset(token)
+
+
+def removed(spark: SparkSession, places: Iterable[str] | None = None) -> None:
+    """Deletes these tables, by default all that written() made."""
+    jvm = spark.sparkContext._jvm
+    for place in list(_live) if places is None else places:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if place in _live:
+            _live.remove(place)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors' Python workers, once, unless their path has it already."""
     root, context = Path(__file__).resolve().parent.parent, spark.sparkContext

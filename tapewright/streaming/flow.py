@@ -1,23 +1,46 @@
-"""Order flow as streams: ordered repair, gap clusters and books as keyed state."""
+"""Order flow as streams: rows put back in order, gap clusters and books as keyed state.
+
+A stream's rows may come late by a delay. Each key's rows wait in state until
+the watermark has passed them, and then go on in the order of time and arrival:
+a batch run in any order of its rows gives what a sorted run gives. What is
+done with rows in order is up to a subclass: pass them on, add them to the open
+cluster, or apply them to the orders of a book. Rows that come later than the
+delay are left out by the watermark and counted in the query's progress.
+
+State is kept in RocksDB, so a micro-batch reads and writes the entries that
+its rows touch.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions import fmt
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Streams of this module need a state store with column families; those begun before keep theirs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
 
 def with_event_time(stream: DataFrame, delay: str = "1 second") -> DataFrame:
     """A stream with an event time from ts_nanos, whose rows may come late by the delay."""
     return stream.withColumn("ts", fmt.instant(F.col("ts_nanos"))).withWatermark("ts", delay)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows of a query that came later than the delay, by the progress that it still remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+
+
 def gap_cluster_counts(stream: DataFrame, keys: list[str], max_gap_ns: int) -> DataFrame:
     """keys, start, end, n of runs whose neighbours are at most max_gap apart, to the microsecond. A run is given once it is over."""
     gap = f"{max_gap_ns // 1000 + 1} microseconds"
@@ -25,53 +48,218 @@ def gap_cluster_counts(stream: DataFrame, keys: list[str], max_gap_ns: int) -> D
     return stream.groupBy(*keys, window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts_nanos").alias("ts_nanos"), F.max("ts_nanos").alias("ts_end_nanos")).drop("w")
 
 
+class InOrder(StatefulProcessor):
+    """Gives each key's rows to released() in the order of ts_nanos and seq, once the watermark has passed them."""
+
+    def __init__(self, schema: StructType):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        """What a subclass makes of rows that have come into their place."""
+        raise NotImplementedError
+
+    def passed(self, key: tuple, micros: int) -> Iterator[Row]:
+        """What a subclass makes of the fact that no row up to a time will come any more."""
+        return iter(())
+
+    def next_time(self) -> int | None:
+        """A time in nanoseconds at which a subclass wants to hear of the watermark."""
+        return None
+
+    def _go_on(self, key: tuple, rows: list[Row], watermark_ms: int) -> Iterator[Row]:
+        micros = watermark_ms * 1000
+        ready, rest = [], []
+        for row in rows:
+            (ready if row.ts_nanos // 1000 <= micros else rest).append(row)
+        if ready:
+            yield from self.released(key, sorted(ready, key=lambda r: (r.ts_nanos, r.seq)))
+        yield from self.passed(key, micros)
+        if rest:
+            self.waiting.put([tuple(r[c] for c in self.schema.names) for r in rest])
+        else:
+            self.waiting.clear()
+        times = [t for t in (min((r.ts_nanos for r in rest), default=None), self.next_time()) if t is not None]
+        due = max(watermark_ms + 1, -(-min(times) // 1_000_000)) if times else None
+        set_ = False
+        for (timer,) in ((t,) if isinstance(t, int) else t for t in list(self.handle.listTimers())):
+            if timer == due:
+                set_ = True
+            else:
+                self.handle.deleteTimer(timer)
+        if due is not None and not set_:
+            self.handle.registerTimer(due)
+
+    def _held(self) -> list[Row]:
+        return [Row(*self.schema.names)(*values) for values in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield from self._go_on(key, [*self._held(), *rows], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._go_on(key, self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(stream: DataFrame, keys: list[str], processor: InOrder, result: str) -> DataFrame:
+    use_state_store(stream.sparkSession)
+    return stream.groupBy(*keys).transformWithState(processor, result, "Append", "EventTime")
+
+
+def _kinds(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+class _Pass(InOrder):
+    """Passes rows on with their place among those of their key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.count = handle.getValueState("count", "n bigint")
+
+    def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        place = self.count.get()[0] if self.count.exists() else 0
+        for row in rows:
+            place += 1
+            yield Row(*self.schema.names, "place")(*(row[c] for c in self.schema.names), place)
+        self.count.update((place,))
+
+
+def in_order(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a stream with event time (ts_nanos, seq, ts) with place: their number, from 1, in the order of ts_nanos and seq within their keys."""
+    rows = stream.select([c for c in stream.columns])
+    return _keyed(rows, keys, _Pass(rows.schema), f"{_kinds(rows, rows.columns)}, place bigint")
+
+
+class _Clusters(InOrder):
+    """Holds a key's open cluster: its first and last time, rows and sum."""
+
+    def __init__(self, schema: StructType, keys: list[str], max_gap: int, cap: int, value: str | None):
+        super().__init__(schema)
+        self.keys, self.max_gap, self.cap, self.value = keys, max_gap, cap, value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "first bigint, last bigint, n bigint, total bigint")
+
+    def _told(self, key: tuple, cluster: list[int]) -> Row:
+        return Row(*self.keys, "ts_nanos", "ts_end_nanos", "n", "total")(*key, *cluster)
+
+    def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        cluster = list(self.open.get()) if self.open.exists() else None
+        for row in rows:
+            if cluster and (row.ts_nanos - cluster[1] > self.max_gap or cluster[2] == self.cap):
+                yield self._told(key, cluster)
+                cluster = None
+            size = (row[self.value] or 0) if self.value else 0
+            cluster = [cluster[0], row.ts_nanos, cluster[2] + 1, cluster[3] + size] if cluster else [row.ts_nanos, row.ts_nanos, 1, size]
+        self.open.update(tuple(cluster))
+
+    def passed(self, key: tuple, micros: int) -> Iterator[Row]:
+        if self.open.exists():
+            cluster = self.open.get()
+            if (cluster[1] + self.max_gap) // 1000 <= micros - 1:
+                self.open.clear()
+                yield self._told(key, list(cluster))
+
+    def next_time(self) -> int | None:
+        return self.open.get()[1] + self.max_gap + 2_000 if self.open.exists() else None
+
+
+def gap_cluster_rows(stream: DataFrame, keys: list[str], max_gap: int, cap: int = 10_000, value: str | None = None) -> DataFrame:
+    """keys, ts_nanos, ts_end_nanos, n and total (of value) of clusters as gap_clusters() makes them, to the nanosecond and cut after cap rows.
+
+    A cluster is given once a later row ends it, or the watermark has passed the
+    time at which a row could still join it.
+    """
+    rows = stream.select(*dict.fromkeys([*keys, "ts_nanos", "seq", "ts", *([value] if value else [])]))
+    return _keyed(rows, keys, _Clusters(rows.schema, keys, max_gap, cap, value), f"{_kinds(rows, keys)}, ts_nanos bigint, ts_end_nanos bigint, n bigint, total bigint")
+
+
 CHANGES = "symbol string, side string, price_raw bigint, ts_nanos bigint, seq bigint, delta bigint"
 
 
-def _apply(orders: dict, row) -> Iterator[tuple]:
+def _apply(orders, row) -> Iterator[tuple]:
     """Level changes of one message; orders: id -> [side, price, size left]."""
-    key = str(row.order_id)
-    old = orders.get(key)
-    if row.op == "add":
-        orders[key] = [row.side, int(row.price_raw), int(row.size)]
-        yield row.side, int(row.price_raw), int(row.size)
-    elif row.op == "clear":
-        for side, price, size in orders.values():
+    key = row.order_id
+    if row.op == "clear":
+        for side, price, size in list(orders.values()):
             yield side, price, -size
         orders.clear()
+        return
+    old = orders.get(key)
+    if row.op == "add":
+        orders[key] = [row.side, row.price_raw, row.size]
+        yield row.side, row.price_raw, row.size
     elif old is not None:
         side, price, size = old
         yield side, price, -size
         if row.op == "modify":
-            orders[key] = [side, int(row.price_raw), int(row.size)]
-            yield side, int(row.price_raw), int(row.size)
+            orders[key] = [side, row.price_raw, row.size]
+            yield side, row.price_raw, row.size
         elif row.op == "execute" and size > row.size:
-            orders[key][2] = size - int(row.size)
-            yield side, price, size - int(row.size)
+            orders[key] = [side, price, size - row.size]
+            yield side, price, size - row.size
         else:
             del orders[key]
 
 
+class _Orders:
+    """A map state as a mapping, so that a message reads and writes the entry of its own order alone."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, key: int) -> tuple | None:
+        return self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+
+    def __setitem__(self, key: int, order: list) -> None:
+        self.state.updateValue((key,), tuple(order))
+
+    def __delitem__(self, key: int) -> None:
+        self.state.removeKey((key,))
+
+    def values(self) -> Iterator[tuple]:
+        return self.state.values()
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
 #: Parts of a symbol's orders that have a state of their own; an order's changes depend on that order alone.
 PARTS = 64
 
 
-def book_changes(stream: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Level changes of a stream of messages (symbol, op, order_id, side, price_raw, size, ts_nanos, seq).
+class _Book(InOrder):
+    """Holds the open orders of one part of a symbol."""
 
-    One state for each symbol and part of its orders: the open ones. So a busy
-    symbol is spread over many states, and a level's size is the sum of the
-    changes of all parts. A clear has a row for each part (part from 0 on) or
-    for each order. Rows of a micro-batch are put in order first; across batches
-    they must come in order.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.orders = handle.getMapState("orders", "order_id bigint", "side string, price_raw bigint, size bigint")
+
+    def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        orders = _Orders(self.orders)
+        told = Row("symbol", "side", "price_raw", "ts_nanos", "seq", "delta")
+        for row in rows:
+            for side, price, delta in _apply(orders, row):
+                if delta:
+                    yield told(key[0], side, price, row.ts_nanos, row.seq, delta)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        orders = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["ts_nanos", "seq"])
-        out = [(key[0], side, price, row.ts_nanos, row.seq, delta) for row in rows.itertuples() for side, price, delta in _apply(orders, row) if delta]
-        state.update((json.dumps(orders),))
-        yield pd.DataFrame(out, columns=["symbol", "side", "price_raw", "ts_nanos", "seq", "delta"])
 
-    part = F.pmod(F.xxhash64("order_id"), F.lit(parts)) if "part" not in stream.columns else F.coalesce("part", F.pmod(F.xxhash64("order_id"), F.lit(parts)))
-    return stream.withColumn("__part", part).groupBy("symbol", "__part").applyInPandasWithState(update, CHANGES, "orders string", "append", GroupStateTimeout.NoTimeout)
+def book_changes(stream: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Level changes of a stream of messages (symbol, op, order_id, side, price_raw, size, ts_nanos, seq, and the event time ts).
+
+    One state for each symbol and part of its orders, with an entry for each
+    open order. So a busy symbol is spread over many states, a message costs the
+    entry of its order, and a level's size is the sum of the changes of all
+    parts. A clear has a row for each part (part from 0 on) or for each order.
+    """
+    part = F.pmod(F.xxhash64("order_id"), F.lit(parts))
+    part = F.coalesce(F.col("part").cast("bigint"), part) if "part" in stream.columns else part
+    rows = stream.select("symbol", part.alias("part_no"), "op", F.col("order_id").cast("bigint").alias("order_id"), "side", F.col("price_raw").cast("bigint").alias("price_raw"), F.col("size").cast("bigint").alias("size"), "ts_nanos", "seq", "ts")
+    return _keyed(rows, ["symbol", "part_no"], _Book(rows.schema), CHANGES)
