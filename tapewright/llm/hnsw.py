@@ -14,7 +14,9 @@ and are also compared with each other.
 The index holds every vector; SHARD_ROWS, LINKS, BUILD_WIDTH and SEARCH_WIDTH
 trade time for recall. A search of a graph takes about as long however large it
 is, so the work of all queries grows with their number times the number of
-shards, and larger shards, with a wider search, are the way to lower it.
+shards, and larger shards, with a wider search, are the way to lower it. A shard's
+vectors of very different sizes are in graphs of their own, so that single
+precision is enough in each.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do null ids; vectors of different lengths are
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
@@ -218,19 +220,29 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+#: Vectors whose largest components lie within this many powers of two share a graph.
+BAND_BITS = 32
+
+
+def band(v: Column) -> Column:
+    """The band of a vector's largest component. Bands part at powers of two far from 1, so that usual vectors are all in one."""
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return F.floor((F.log2(largest) + BAND_BITS / 2) / BAND_BITS).cast("int")
+
+
 def scaled(vectors: np.ndarray) -> np.ndarray:
-    """In single precision, divided by the largest component, so that nothing overflows and the order of inner products stays."""
+    """Vectors of one band in single precision, divided by their largest component: nothing overflows, and none becomes zero."""
     return (vectors / np.abs(vectors).max()).astype(np.float32)
 
 
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row for each shard and length of vectors: shard, size, ids, vectors (doubles in graph order), layers (flat 32-bit neighbour arrays) and their widths.
+    """One row for each shard, length and band of vectors: shard, size, band, ids, vectors (doubles in graph order), layers (flat 32-bit neighbour arrays) and their widths.
 
     shards, the same in all rows, is the number of shards.
     """
     rows = usable(vectors, id_col, vector_col)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"), "band": band(F.col("v"))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def built():
@@ -238,67 +250,86 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             order = np.lexsort((matrix[:, 0], ids))  # the same graph however rows arrive
             ids, matrix = ids[order], matrix[order]
             order, layers = build(scaled(matrix))
-            row = [key[0], key[1], shards, ids[order].astype("<i8").tobytes(), matrix[order].tobytes(), [x.astype("<i4").tobytes() for x in layers], [x.shape[1] for x in layers]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "size", "shards", "ids", "vectors", "layers", "widths"])
+            row = [*key, shards, ids[order].astype("<i8").tobytes(), matrix[order].tobytes(), [x.astype("<i4").tobytes() for x in layers], [x.shape[1] for x in layers]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "size", "band", "shards", "ids", "vectors", "layers", "widths"])
 
         key, parts = None, []
         for batch in batches:
-            shard, sizes, ids = (batch.column(k).to_numpy() for k in range(3))
-            bounds = np.flatnonzero(np.diff(shard) | np.diff(sizes)) + 1
+            shard, sizes, bands, ids = (batch.column(k).to_numpy() for k in range(4))
+            bounds = np.flatnonzero(np.diff(shard) | np.diff(sizes) | np.diff(bands)) + 1
             for a, b in zip([0, *bounds], [*bounds, batch.num_rows]):
                 if a == b:
                     continue
-                own = int(shard[a]), int(sizes[a])
+                own = int(shard[a]), int(sizes[a]), int(bands[a])
                 if own != key:
                     if parts:
                         yield built()
                     key, parts = own, []
-                parts.append((ids[a:b], _matrix(batch.column(3).slice(a, b - a), own[1])))
+                parts.append((ids[a:b], _matrix(batch.column(4).slice(a, b - a), own[1])))
         if parts:
             yield built()
 
-    sorted_ = dealt.select("shard", "size", "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "size")
-    return sorted_.mapInArrow(run, "shard int, size int, shards int, ids binary, vectors binary, layers array<binary>, widths array<int>")
+    sorted_ = dealt.select("shard", "size", "band", "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "size", "band")
+    return sorted_.mapInArrow(run, "shard int, size int, band int, shards int, ids binary, vectors binary, layers array<binary>, widths array<int>")
 
 
 def query_blocks(queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """size, block, ids, and vectors of up to about QUERY_BLOCK queries each."""
     rows = usable(queries, id_col, vector_col)
     count = max(1, -(-rows.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("id", "v", F.lit("block")), F.lit(count)).cast("int").alias("block")
+    # A row that is there very often is dealt out by its place in the input; the blocks are written down, so they stay as they are.
+    block = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(count)).cast("int").alias("block")
     return rows.groupBy("size", block).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows")).select("size", "block", "rows.id", F.flatten("rows.v").alias("v"))
 
 
+#: Blocks of queries that a copy of a graph serves.
+BLOCKS_OF_COPY = 64
+
+
 def nearest(indexed: DataFrame, blocks: DataFrame, nearest_k: int = NEAREST, width: int = SEARCH_WIDTH) -> DataFrame:
-    """query_id, rank, vec_id, score: of the candidates found, those of the largest inner product, in doubles."""
+    """query_id, rank, vec_id, score: of the candidates found, those of the largest inner product, in doubles.
+
+    A shard's graphs go before the blocks of queries that search them, once for
+    each BLOCKS_OF_COPY blocks.
+    """
     first = indexed.select("shards").first()
     shards = first.shards if first else 1
-    dealt = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = indexed.join(dealt.select("size", "shard", F.col("id").alias("query_ids"), "v"), ["size", "shard"]).sortWithinPartitions("size", "shard")
+    highest = blocks.agg(F.max("block")).first()[0] or 0
+    copies = -(-(highest + 1) // BLOCKS_OF_COPY)
+    of_graph = indexed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    graphs = of_graph.select("shard", "copy", "size", "band", "ids", "vectors", "layers", "widths", F.lit(None).cast("array<bigint>").alias("query_ids"), F.lit(None).cast("array<double>").alias("v"))
+    dealt = blocks.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "copy": F.pmod("block", F.lit(copies))})
+    absent = {"ids": "binary", "vectors": "binary", "layers": "array<binary>", "widths": "array<int>"}
+    asked = dealt.select("shard", "copy", "size", F.lit(None).cast("int").alias("band"), *[F.lit(None).cast(k).alias(c) for c, k in absent.items()], F.col("id").alias("query_ids"), "v")
+    met = graphs.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "size", F.asc_nulls_last("band"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = graph = None
+        key, graphs = None, []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k] for n in batch.schema.names}
-                own, size = (row["size"].as_py(), row["shard"].as_py()), row["size"].as_py()
+                own, size = (row["shard"].as_py(), row["copy"].as_py(), row["size"].as_py()), row["size"].as_py()
                 if own != key:
+                    key, graphs = own, []
+                if row["ids"].is_valid:
                     ids, vectors = np.frombuffer(row["ids"].as_py(), "<i8"), np.frombuffer(row["vectors"].as_py()).reshape(-1, size)
                     layers = [np.frombuffer(x, "<i4").reshape(-1, w).astype(np.int64) for x, w in zip(row["layers"].as_py(), row["widths"].as_py())]
-                    key, graph = own, scaled(vectors)
+                    graphs.append((ids, vectors, scaled(vectors), layers))
+                    continue
                 query_ids, queries = np.array(row["query_ids"].as_py()), np.array(row["v"].as_py()).reshape(-1, size)
                 directions = (queries / np.abs(queries).max(1, keepdims=True)).astype(np.float32)
-                places = search(graph, layers, directions, width)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scores = np.einsum("qd,qkd->qk", queries, vectors[places])
-                here = (places >= 0) & (ids[places] != query_ids[:, None]) & ~np.isnan(scores)
-                found = np.where(here, ids[places], np.iinfo(np.int64).max)
-                scores = np.where(here, scores, -np.inf)
-                best = np.lexsort((found, -scores, ~here), axis=1)[:, :nearest_k]
-                found, scores, here = (np.take_along_axis(x, best, 1) for x in (found, scores, here))
-                rows, cols = np.nonzero(here)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(found[rows, cols]), pa.array(scores[rows, cols])], ["query_id", "vec_id", "score"])
+                for ids, vectors, graph, layers in graphs:
+                    places = search(graph, layers, directions, width)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = np.einsum("qd,qkd->qk", queries, vectors[places])
+                    here = (places >= 0) & (ids[places] != query_ids[:, None]) & ~np.isnan(scores)
+                    found = np.where(here, ids[places], np.iinfo(np.int64).max)
+                    scores = np.where(here, scores, -np.inf)
+                    best = np.lexsort((found, -scores, ~here), axis=1)[:, :nearest_k]
+                    found, scores, here = (np.take_along_axis(x, best, 1) for x in (found, scores, here))
+                    rows, cols = np.nonzero(here)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(found[rows, cols]), pa.array(scores[rows, cols])], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

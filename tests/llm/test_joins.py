@@ -169,6 +169,23 @@ def test_recall_on_full_shards():
     assert recall((centres[of] + rng.normal(size=(6000, 64)) * 0.1) * rng.lognormal(0, 0.5, size=40)[of][:, None]) >= 0.9
 
 
+def test_one_huge_vector_beside_usual_ones(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 16))
+    x[17] *= 1e50
+    x[40] *= 1e-60
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in hnsw.search_all(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 200 and hits >= 0.95 * 200 * 20
+
+
 def test_nearest_ties_repeats_and_large_components(spark):
     rows = [(k, [1.0, float(k % 2)]) for k in range(0, 30)] + [(0, [1.0, 0.0]), (40, [1e160, 1e160]), (60, [-1e160, 1e200]), (80, [1e-200, 0.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<double>, shard string, size int")
