@@ -15,8 +15,10 @@ points with a role:
 * endpoints, always weak: ``endpoint`` (a URL, or an assigned host, in any case).
 
 The strong kinds are always reported. A weak part is reported only if a part
-of another role lies in its scope, that is, overlaps the interval that reaches
-SCOPE characters to both sides of it. Parts and scopes are met by an interval
+that completes it lies in its scope, that is, overlaps the interval that reaches
+SCOPE characters to both sides of it. A secret is completed by an access
+identifier or an endpoint, and each of these by a secret; a name beside a link
+is no credential. Parts and scopes are met by an interval
 join in Spark: both are dealt out by document and by cells of CELL characters,
 so that a document with very many parts is spread over many keys.
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hidden, own, shown, slices, text_key
+from .shared import Scratch, hidden, own, shown, slices_by_bytes, text_key
 
 SCOPE = 200
 CELL = 512
@@ -103,7 +105,7 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 2):
             ends, rows = [0], []
             for text in batch.column(2).to_pylist():
                 rows += parts_of(text)
@@ -127,13 +129,14 @@ def _in_cells(parts: DataFrame, reach: int) -> DataFrame:
 
 
 def complete_weak_parts(found: DataFrame) -> DataFrame:
-    """The weak parts (row_id, start, rank, end) that have a part of another role in their scope."""
+    """The weak parts (row_id, start, rank, end) that have a complementary part in their scope: of another role, and one of both a secret."""
     parts = found.select("row_id", F.inline("parts")).withColumn("role", _role(F.col("rank")))
     weak, other = _in_cells(parts.filter("rank > 2"), SCOPE).alias("w"), _in_cells(parts, 0).alias("o")
     meets = (
         (F.col("w.row_id") == F.col("o.row_id"))
         & (F.col("w.cell") == F.col("o.cell"))
         & (F.col("w.role") != F.col("o.role"))
+        & ((F.col("w.role") == "secret") | (F.col("o.role") == "secret"))
         & (F.col("o.start") < F.col("w.end") + SCOPE)
         & (F.col("o.end") > F.col("w.start") - SCOPE)
     )
@@ -181,7 +184,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names, at = rows.columns, rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, at):
             columns = list(batch.columns[:-2])
             if batch.column(batch.num_columns - 2).null_count < batch.num_rows:
                 starts, ends = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
