@@ -17,9 +17,11 @@ several languages, or with odd passages, stay. A text without letters is always
 rejected, as ``und``.
 
 The sample is bounded: about DOCS_PER_LANGUAGE documents of a language, and
-about DOCS_IN_ALL altogether, drawn by a hash of their ids, of at most
-SAMPLE_CHARS characters each, and of the MAX_LANGUAGES languages that have most
-documents. Predictions read all documents whole.
+about DOCS_IN_ALL altogether, drawn by a hash of their ids, of the first
+SAMPLE_CHARS characters of each, and of the MAX_LANGUAGES languages that have
+most documents; documents of others are predicted as one of these. A language
+of few documents always has one that is counted. Predictions read all documents
+whole.
 
 The score is a share among the learned languages, so a text of a language that
 was never learned can have a high one; ``rejected`` tells of those.
@@ -43,7 +45,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, by_chars, hash_fraction, held, hidden, own, shown, slices
@@ -62,6 +64,8 @@ LEAST_SYMBOLS = 128
 SLACK = 20.0
 #: Bounds of the words that a worker remembers.
 MEMO_WORDS, MEMO_CHARS = 200_000, 8_000_000
+#: Words whose probabilities under all languages are added up at a time.
+CHUNK_WORDS = 16_384
 UNKNOWN = "und"
 
 
@@ -71,17 +75,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, text, calibrates: the bounded sample, of documents that are not held out."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    text = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
+    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
+    drawn_by = F.xxhash64("id", F.lit("sample"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(drawn_by).alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     bound = F.least(F.lit(DOCS_PER_LANGUAGE), F.lit(DOCS_IN_ALL) / F.count(F.lit(1)).over(_all()))
-    share = F.broadcast(counts.select("lang", (bound / F.col("n")).alias("share")))  # MAX_LANGUAGES rows at most
-    drawn = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    return usable.filter(F.length("text") <= SAMPLE_CHARS).join(share, "lang").filter(drawn).select("lang", "text", hash_fraction(F.col("id"), 1 / CALIBRATION_PART, "calibration").alias("calibrates"))
+    share = F.broadcast(counts.select("lang", "least", (bound / F.col("n")).alias("share")))  # MAX_LANGUAGES rows at most
+    drawn = (F.pmod(drawn_by, F.lit(1_000_000)) < F.col("share") * 1_000_000) | (drawn_by == F.col("least"))
+    # An id on very many rows is drawn with all of them, so a language's rows are limited as well; its first row is always counted.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0, F.xxhash64("id", F.lit("place")), "id", "text"))
+    limited = usable.join(share, "lang").filter(drawn).withColumn("place", place).filter(F.col("place") <= 2 * DOCS_PER_LANGUAGE)
+    return limited.select("lang", "text", ((F.col("place") > 1) & hash_fraction(F.col("id"), 1 / CALIBRATION_PART, "calibration")).alias("calibrates"))
 
 
 def _all():
-    from pyspark.sql import Window
-
     return Window.partitionBy()
 
 
@@ -231,11 +238,18 @@ class Scorer:
             logs, sizes = self.model.word_scores(new)
             self.logs, self.sizes = np.concatenate([self.logs, logs.astype(np.float32)]), np.concatenate([self.sizes, sizes])
         at = np.array(flat, np.int64)
-        zero = np.zeros((1, len(self.model.languages)))
-        sums = np.concatenate([zero, np.cumsum(self.logs[at], axis=0, dtype=np.float64)])
-        counts = np.concatenate([[0], np.cumsum(self.sizes[at])])
-        ends = np.array([0, *ends])
-        return sums[ends[1:]] - sums[ends[:-1]], counts[ends[1:]] - counts[ends[:-1]]
+        sizes = np.diff([0, *ends])
+        of_text = np.repeat(np.arange(len(texts)), sizes)
+        counts = np.bincount(of_text, self.sizes[at], len(texts)).astype(np.int64) if len(at) else np.zeros(len(texts), np.int64)
+        # Each distinct word of a text counts once, in chunks, so memory doesn't follow a text's length times the languages.
+        keys, times = np.unique(of_text * max(1, len(rows)) + at, return_counts=True)
+        of_text, at = np.divmod(keys, max(1, len(rows)))
+        totals = np.zeros((len(texts), len(self.model.languages)))
+        for start in range(0, len(keys), CHUNK_WORDS):
+            part = slice(start, start + CHUNK_WORDS)
+            first = np.flatnonzero(np.diff(of_text[part], prepend=-1))
+            totals[of_text[part][first]] += np.add.reduceat(self.logs[at[part]] * times[part, None].astype(np.float64), first, axis=0)
+        return totals, counts
 
 
 RESULT = "lang_pred string, score double, cross_entropy double, other_entropy double, n_symbols bigint"
