@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 def wire_decode_roundtrip(spark, sf_dir):
     adds = fx.orders_add(spark, sf_dir)
     packets = wire.pack(adds, "orders_add", F.expr("order_id div 10"), ["order_id"])
-    return wire.decode(wire.split_messages(packets)[0], "orders_add").select("symbol", "ts_nanos", "side", "order_id", "size", "price_raw")
+    return wire.rows_of(wire.decode_packets(packets, ["orders_add"]), "orders_add").select("symbol", "ts_nanos", "side", "order_id", "size", "price_raw")
 
 
 @query(f"with {fx.SQL} select 'R' msg_type, 'unknown type' reason, count(*) n from orders_delete")
@@ -72,10 +72,10 @@ def ticker_check(spark, sf_dir):
     return tc.unknown_tickers(texts, known)
 
 
-@query("""select doc_id, regexp_extract_all(lower(text), '(?:^|[^a-z0-9_])((?:manipul[a-z]*|spoof[a-z]*|front[- ]?run[a-z]*|wash[- ]?trad[a-z]*|illegal[a-z]*|fake[a-z]*))', 1) words from (
-  select doc_id, case doc_id % 3 when 0 then 'looks like spoofing; ' when 1 then 'no wash-trading here; ' else '' end || coalesce(text, '') as text from documents)""")
+@query(r"""select doc_id, regexp_extract_all(lower(text), '\b(?:manipul\w*|spoof\w*|front[- ]?run\w*|wash[- ]?trad\w*|illegal\w*|fake\w*)\b') words from (
+  select doc_id, case doc_id % 5 when 0 then 'looks like spoofing; ' when 1 then 'no wash-trading here; ' when 2 then 'fake_orders, spoof2 ' else '' end || coalesce(text, '') as text from documents)""")
 def banned_words(spark, sf_dir):
-    text = F.expr("concat(case doc_id % 3 when 0 then 'looks like spoofing; ' when 1 then 'no wash-trading here; ' else '' end, coalesce(text, ''))")
+    text = F.expr("concat(case doc_id % 5 when 0 then 'looks like spoofing; ' when 1 then 'no wash-trading here; ' when 2 then 'fake_orders, spoof2 ' else '' end, coalesce(text, ''))")
     return fx.table(spark, sf_dir, "documents").select("doc_id", tc.intent_words(text).alias("words"))
 
 
@@ -158,8 +158,42 @@ def wire_level_updates(spark, sf_dir):
 def wire_status(spark, sf_dir):
     """Trading-status messages, packed, split, decoded and put into the table of all administrative messages."""
     rows = fx.status_events(spark, sf_dir).filter("reason is not null")
-    messages = wire.split_messages(wire.pack(rows, "trading_status", F.expr("seq div 10"), ["seq"]))[0]
-    return wire.status_events(messages).select("symbol", "ts_nanos", "event_kind", "sub_type", "reason")
+    decoded = wire.decode_packets(wire.pack(rows, "trading_status", F.expr("seq div 10"), ["seq"]))
+    return wire.status_events(decoded).select("symbol", "ts_nanos", "event_kind", "sub_type", "reason")
+
+
+def _field(kind: str, i: int, text: str) -> str:
+    """A value of a field's kind from k, in either engine."""
+    if kind == "c1":
+        return f"chr(cast(65 + (k + {i}) % 26 as int))"
+    if kind[0] == "s":
+        return f"concat('{'S' if kind == 's8' else 'R'}', cast(k % {10 ** (int(kind[1]) - 1)} as {text}))"
+    return {"u1": f"cast((k + {i}) % 256 as smallint)", "u4": f"cast(4294967295 - k - {i} as bigint)", "i4": f"cast((k * 7919 + {i}) % 2000000 - 1000000 as int)", "i8": f"cast(k * 1000000007 - 3000000000 - {i} as bigint)"}[kind]
+
+
+def _table_values(table: str, text: str) -> dict[str, str]:
+    """Each field of a table with its value; times are those of orders."""
+    return {n: "ts_nanos" if n == "ts_nanos" else _field(kind, i, text) for i, (n, _, _, kind) in enumerate(wire.LAYOUTS[table][2])}
+
+
+def _layouts_sql() -> str:
+    order, parts = list(wire.fields_of(list(wire.LAYOUTS))), []
+    for t, table in enumerate(wire.LAYOUTS):
+        values = {wire.NAMED.get(n, n): v for n, v in _table_values(table, "varchar").items()}
+        parts.append(f"select '{table}' as \"table\", k // 10 packet_no, concat_ws('|', {', '.join(f'cast({values[n]} as varchar)' for n in order if n in values)}) as fields from base where k % {len(wire.LAYOUTS)} = {t}")
+    return f"with {fx.SQL} " + " union all ".join(parts)
+
+
+@query(_layouts_sql())
+def wire_layouts(spark, sf_dir):
+    """Messages of every layout, packed, walked once and decoded in the same pass, with all their fields."""
+    tables, base, packets = list(wire.LAYOUTS), fx.base(spark, sf_dir), None
+    for t, table in enumerate(tables):
+        rows = base.filter(f"k % {len(tables)} = {t}").selectExpr("k", *[f"{v} {n}" for n, v in _table_values(table, "string").items()])
+        own = wire.pack(rows, table, F.expr("k div 10"), ["k"], table)
+        packets = own if packets is None else packets.unionByName(own)
+    decoded = wire.decode_packets(packets)
+    return decoded.select("table", "packet_no", F.concat_ws("|", *[F.col(n).cast("string") for n in wire.fields_of(tables)]).alias("fields"))
 
 
 @query()
