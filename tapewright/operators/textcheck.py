@@ -198,3 +198,62 @@ def wrong_claims(claims: DataFrame, counts: DataFrame) -> DataFrame:
 def recheck(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """(was, now, n): how verdicts of stored texts change. Both have key and passed."""
     return old.select(key, F.col("passed").alias("was")).join(new.select(key, F.col("passed").alias("now")), key).groupBy("was", "now").agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_nodes(facts: DataFrame, key: str = "doc_id", column: str = "facts") -> DataFrame:
+    """key, path, value of every node of JSON texts, of any depth; value, as text, is null for objects, arrays and nulls.
+
+    Each text is parsed once, and a level of all texts is taken apart at a time;
+    the depth is that of the deepest one. Paths are as $.a.b[0]. What isn't JSON
+    has no nodes.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.col(column), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    deepest = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
+    depth = facts.agg(F.max(deepest)).first()[0] or 0
+    level = facts.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("node")).filter("node is not null")
+    kind = F.schema_of_variant("node")
+    inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    out = None
+    for k in range(depth + 1):
+        found = level.filter("path != '$'" if k == 0 else "true").select(key, "path", F.when(~inner & (kind != "VOID"), F.expr("cast(node as string)")).alias("value"))
+        out = found if out is None else out.unionByName(found)
+        if k < depth:
+            name = f"level{k}"
+            taken = level.filter(inner).select(key, "path", "node").alias(name)
+            step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+            level = taken.lateralJoin(facts.sparkSession.tvf.variant_explode(F.col("node").outer())).select(key, F.concat("path", step).alias("path"), F.col("value").alias("node"))
+    return out
+
+
+def missing_paths(asked: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Those of asked (key, path, as a.b[0]) at which a text's nodes have nothing, or null. An object or an array is something."""
+    there = nodes.withColumn("__parent", F.regexp_extract("path", r"^(.*)(?:\.[^.\[]*|\[[0-9]+\])$", 1))
+    held = there.filter("value is not null").select(key, "path").unionByName(there.select(key, F.col("__parent").alias("path"))).distinct()
+    return asked.join(held.select(key, F.regexp_replace("path", r"^\$\.?", "").alias("path")), [key, "path"], "left_anti").select(key, "path")
+
+
+def verdict(text: Column, allowed_numbers: Column, prior: Column, unit: str = "week") -> Column:
+    """All checks of a text by itself in one struct, true where it passes: no claim of intent, only allowed characters, no streak longer than prior and one more, no numbers but allowed ones.
+
+    Single digits and years need no fact; a null text passes.
+    """
+    said = F.filter(F.transform(digit_numbers(text), canonical), lambda n: (F.length(n) >= 2) & ~n.isin(*YEARS))
+    checks = {
+        "intent": F.size(intent_words(text)) == 0,
+        "characters": first_bad_character(text) == "",
+        "streak": claimed_streak(text, unit) <= prior + 1,
+        "numbers": F.size(F.array_except(said, F.transform(allowed_numbers, canonical))) == 0,
+    }
+    return F.struct(*[F.coalesce(text.isNull() | passed, F.lit(False)).alias(name) for name, passed in checks.items()])
+
+
+def changed_verdicts(stored: DataFrame, now: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, check_name, was, now, change: what each check sees otherwise than when it was stored. regressed passed then, mended passes now.
+
+    Both have key and verdict, a struct of checks; a check that wasn't stored yet, or a text that is new, has nothing to differ from.
+    """
+    names = [n for n in now.schema["verdict"].dataType.names if n in stored.schema["verdict"].dataType.names]
+    both = stored.select(key, F.col("verdict").alias("__was")).join(now.select(key, F.col("verdict").alias("__now")), key)
+    each = both.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"__was.{n}").alias("was"), F.col(f"__now.{n}").alias("now")) for n in names])).alias("c")).select(key, "c.*")
+    return each.filter("was != now").withColumn("change", F.when(F.col("was"), "regressed").otherwise("mended"))
