@@ -63,6 +63,12 @@ def children(nested: DataFrame) -> DataFrame:
     return held.groupBy(F.col("subsumed_by").alias("parent_id"), "scorer_id").agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_rows").alias("n_rows"), F.sum("total_shares").alias("total_shares"))
 
 
+def children_sums(nested: DataFrame, columns: list[str]) -> DataFrame:
+    """What each parent holds, by the children's scorer: their number and the sums of some columns, in which null counts 0."""
+    held = nested.filter("subsumed_by is not null")
+    return held.groupBy(F.col("subsumed_by").alias("parent_id"), "scorer_id").agg(F.count(F.lit(1)).alias("n_children"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+
+
 def select_top(nested: DataFrame, share: float = 0.05, least: int = 3, most: int = 30, per_symbol: int = 8) -> DataFrame:
     """Events that stand for their day: not subsumed, within their scorer's budget, and at most so many of a symbol."""
     free = within_budget(nested.filter("subsumed_by is null"), share, least, most)

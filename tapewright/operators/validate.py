@@ -88,6 +88,28 @@ def reconcile_volumes(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("symbol", "left_volume", "right_volume", verdict.alias("verdict"), F.abs(F.coalesce("left_volume", F.lit(0)) - F.coalesce("right_volume", F.lit(0))).alias("difference"))
 
 
+def traded(*parts: DataFrame) -> DataFrame:
+    """symbol and size of all that a feed says was traded: executions of orders and hidden trades, or trade reports."""
+    rows = parts[0].select("symbol", "size")
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select("symbol", "size"))
+    return rows
+
+
+def largest_differences(reconciled: DataFrame, n: int = 10) -> DataFrame:
+    """Of reconcile_volumes(), the n symbols whose volumes differ most, ties by name, with their rank."""
+    top = reconciled.filter("difference > 0").orderBy(F.desc("difference"), "symbol").limit(n)  # a top-n, so the window sees n rows
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("difference"), "symbol")))
+
+
+def trace_levels(changes: DataFrame, symbol: str, around_ns: int, within_ns: int) -> DataFrame:
+    """The level changes of a symbol around a time, each with its level's size after it; sizes count from the start of the day."""
+    near = F.col("ts_nanos").between(around_ns - within_ns, around_ns + within_ns)
+    own = changes.filter((F.col("symbol") == symbol) & (F.col("ts_nanos") <= around_ns + within_ns))
+    upto = Window.partitionBy(*book.LEVEL).orderBy("ts_nanos", "seq", "delta").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("level_size", F.sum("delta").over(upto)).filter(near)
+
+
 def triangle_verdict(level_rate, bbo_rate, other_bbo_rate):
     """Fixed limits: 0.9999 for levels, 0.99 for best prices."""
     missing = level_rate.isNull() | bbo_rate.isNull() | other_bbo_rate.isNull()

@@ -42,6 +42,12 @@ def merge_symbols(listings: list[DataFrame], titles: DataFrame, securities: Data
     return titled.join(latest, "symbol", "left").withColumn("round_lot", F.coalesce("lot", "round_lot")).drop("lot")
 
 
+def recent_records(securities: DataFrame, today: str, days: int = 60) -> DataFrame:
+    """Security records (symbol, ts_nanos, ...) of the days up to today: older ones no longer say anything about a symbol."""
+    end = (F.datediff(F.lit(today).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") + 1) * 86_400_000_000_000
+    return securities.filter((F.col("ts_nanos") < end) & (F.col("ts_nanos") >= end - (days + 1) * 86_400_000_000_000))
+
+
 def prior_close(trades: DataFrame) -> DataFrame:
     """The last trade's price of each symbol."""
     return trades.groupBy("symbol").agg(F.max_by("price_raw", F.struct("ts_nanos", "seq")).alias("price_raw"))
