@@ -6,11 +6,11 @@ by range joins on symbol, day and time buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .patterns import range_join
+from .patterns import range_join, with_before
 
 KEYS = ["trading_date", "symbol"]
 
@@ -61,13 +61,13 @@ def price_path(executed_with_side: DataFrame, keys: list[str], least: int = 3) -
     """By key: realized volatility in basis points, jump ratio, VPIN and Kyle's lambda of executions in order.
 
     Moves are differences of consecutive prices; a move's flow is that of the
-    later execution, signed by the resting side.
+    later execution, signed by the resting side. Windows run inside pieces of
+    time, so a busy key is spread over many tasks.
     """
-    along = Window.partitionBy(*keys).orderBy("ts_nanos", "seq")
-    price = F.col("price_raw") / 10_000.0
-    rows = executed_with_side.withColumn("price", price).withColumn("before", F.lag("price").over(along))
+    price, order = F.col("price_raw") / 10_000.0, ["ts_nanos", "seq"]
+    rows = with_before(executed_with_side.withColumn("price", price), keys, order, "price", "before")
     rows = rows.withColumns({"move": F.col("price") - F.col("before"), "log_move": F.when((F.col("before") > 0) & (F.col("price") > 0), F.log(F.col("price") / F.col("before"))), "signed": F.when(F.col("resting_side") == "8", F.col("size")).otherwise(-F.col("size")).cast("double")})
-    rows = rows.withColumn("move_before", F.lag("move").over(along))
+    rows = with_before(rows, keys, order, "move", "move_before")
     squares, n = F.sum(F.col("move") * F.col("move")), F.count("move")
     smooth = F.sum(F.abs("move") * F.abs("move_before")) * (3.141592653589793 / 2)
     buys, sells = F.sum(F.when(F.col("signed") > 0, F.col("size")).otherwise(0)).cast("double"), F.sum(F.when(F.col("signed") < 0, F.col("size")).otherwise(0)).cast("double")

@@ -19,12 +19,12 @@ def gap_clusters(df: DataFrame, keys: list[str], order: list[str], max_gap: int,
     length = piece or max(max_gap, 1) * 1000
     cut = df.withColumn("__piece", F.floor(time / length))
     inside = Window.partitionBy(*keys, "__piece").orderBy(*order)
-    starts = F.coalesce((time - F.lag(order[0]).over(inside) > max_gap).cast("int"), F.lit(0))
-    chained = cut.withColumn("__own", F.sum(starts).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__row", F.row_number().over(inside))
+    upto_row = inside.rowsBetween(Window.unboundedPreceding, 0)
+    chained = cut.withColumns({"__row": F.row_number().over(inside), "__break": F.coalesce(time - F.lag(order[0]).over(inside) > max_gap, F.lit(False))})
+    chained = chained.withColumns({"__own": F.sum(F.col("__break").cast("int")).over(upto_row), "__from": F.max(F.when(F.col("__break"), F.col("__row"))).over(upto_row)})
+    chained = chained.withColumn("__nth", F.col("__row") - F.coalesce("__from", F.lit(1)) + 1).drop("__break", "__from")
 
     # One row for each piece: how its islands go on from the pieces before it.
-    island = Window.partitionBy(*keys, "__piece", "__own").orderBy(*order)
-    chained = chained.withColumn("__nth", F.row_number().over(island))
     pieces = chained.groupBy(*keys, "__piece").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.max("__own").alias("breaks"), F.max_by("__nth", "__row").alias("tail"))
     along = Window.partitionBy(*keys).orderBy("__piece")
     upto, earlier = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
@@ -192,12 +192,12 @@ def not_ingested(days: DataFrame, runs: DataFrame, feed: str, day: str = "tradin
 
 
 def upsert_keeping(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """As upsert, but a null in an update keeps the old value."""
-    t, u = target.alias("t"), updates.alias("u")
-    same = None
+    """As upsert, but a null in an update keeps the old value. Of repeated updates of a key each column's greatest value counts."""
+    once = updates.groupBy(*keys).agg(*[F.max(c).alias(c) for c in updates.columns if c not in keys])
+    t, u, same = target.alias("t"), once.alias("u"), F.lit(True)
     for key in keys:
-        same = (F.col(f"t.{key}") == F.col(f"u.{key}")) if same is None else same & (F.col(f"t.{key}") == F.col(f"u.{key}"))
-    return t.join(u, same, "full_outer").select(*[F.coalesce(f"u.{c}", f"t.{c}").alias(c) for c in target.columns])
+        same &= F.col(f"t.{key}").eqNullSafe(F.col(f"u.{key}"))
+    return t.join(u, same, "full_outer").select(*[F.coalesce(f"u.{c}", f"t.{c}").alias(c) if c in once.columns else F.col(f"t.{c}") for c in target.columns])
 
 
 def overwrite_days(df: DataFrame, path: str, day: str = "trading_date") -> None:

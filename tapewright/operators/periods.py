@@ -20,18 +20,18 @@ from ..session import removed, written
 
 ROWS = "period date, kind string, member string, n bigint, n_days bigint"
 HASHES = "period date, content_hash string"
-#: Parts of a period's rows that are hashed on their own, so that no value holds a whole period.
-CHUNKS = 256
+#: Hexadecimal digits of a row's hash that tell its chunk. Chunks are hashed on their own, so that no value holds a whole period.
+CHUNK_DIGITS = 2
 
 
-def chunked_hash(rows: DataFrame, keys: list[str], parts: list[str], chunks: int = CHUNKS) -> DataFrame:
-    """keys, content_hash: a SHA-256 of the rows of a key, as a set, from the hashes of chunks of them.
+def chunked_hash(rows: DataFrame, keys: list[str], parts: list[str], digits: int = CHUNK_DIGITS) -> DataFrame:
+    """keys, content_hash: a SHA-256 of the rows of a key, in any order, from the hashes of 16 ** digits chunks of them.
 
     Which chunk a row is in, and where, follows from the row alone. Null and
     empty parts differ, and parts can't run into each other.
     """
     row = F.concat(*[F.coalesce(F.concat(F.octet_length(F.col(p).cast("string")).cast("string"), F.lit(":"), F.col(p).cast("string")), F.lit("-")) for p in parts])
-    hashed = rows.select(*keys, F.sha2(row, 256).alias("row_hash")).withColumn("chunk", F.pmod(F.xxhash64("row_hash"), F.lit(chunks)))
+    hashed = rows.select(*keys, F.sha2(row, 256).alias("row_hash")).withColumn("chunk", F.substring("row_hash", 1, digits))
     of_chunk = hashed.groupBy(*keys, "chunk").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row_hash")), ""), 256).alias("chunk_hash"))
     return of_chunk.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("chunk", "chunk_hash")))["chunk_hash"], ""), 256).alias("content_hash"))
 

@@ -169,7 +169,7 @@ def event_texts(events: DataFrame, interpretations: DataFrame, narratives: DataF
 
 
 def content_hash(rows: DataFrame, keys: list[str], order: list[str], parts: list[str]) -> DataFrame:
-    """SHA-256 over ordered parts, to see whether a period's children changed."""
+    """SHA-256 over ordered parts, to see whether a period's children changed. A key's rows meet in one value; see periods.chunked_hash() for periods of very many rows."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, *[p for p in parts if p not in order]))), lambda s: F.concat_ws("\x00", *[s[p].cast("string") for p in parts]))
     return rows.groupBy(*keys).agg(F.sha2(F.array_join(listed, "\x1e"), 256).alias("content_hash"))
 

@@ -69,6 +69,13 @@ def incremental_rollups(spark, sf_dir):
     return rows.join(F.broadcast(marked), ["level", "period"], "left").select("level", "period", "kind", "member", "n", "n_days", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
 
 
+@query(f"""with {fx.SQL}, rows_ as (select trading_date, sha256(strlen(symbol) || ':' || symbol || strlen(order_id::varchar) || ':' || order_id || '-') h from orders_add),
+chunks as (select trading_date, h[1 : 2] chunk, sha256(string_agg(h, '' order by h)) c from rows_ group by 1, 2) select trading_date, sha256(string_agg(c, '' order by chunk)) content_hash from chunks group by 1""")
+def period_hashes(spark, sf_dir):
+    """Hashes of days, each from the hashes of its chunks."""
+    return periods.chunked_hash(fx.orders_add(spark, sf_dir).withColumn("note", F.lit(None).cast("string")), ["trading_date"], ["symbol", "order_id", "note"])
+
+
 @query(f"""with {fx.SQL}, kept as (select 'orders_add' table_name, trading_date, count(*) n from orders_add where trading_date >= date '2024-01-08' group by all
   union all select 'lifecycle', trading_date, count(*) from lifecycle where trading_date >= date '2024-01-08' group by all
   union all select 'texts', trading_date, count(*) from orders_add where side = '8' group by all union all select 'days', trading_date, count(distinct symbol) from orders_add group by all) select * from kept""")

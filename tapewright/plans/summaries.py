@@ -388,7 +388,7 @@ def fano(spark, sf_dir):
     trades = fx.trades(spark, sf_dir).select("symbol", "ts_nanos")
     spans = trades.groupBy("symbol").agg(F.min("ts_nanos").alias("low"), (F.max("ts_nanos") - F.min("ts_nanos")).alias("span"))
     in_bin = F.when(F.col("span") > 0, F.least(F.floor((F.col("ts_nanos") - F.col("low")) / F.col("span") * 10), F.lit(9)))
-    counts = trades.join(F.broadcast(spans), "symbol").groupBy("symbol", "span", in_bin.alias("bin")).agg(F.count(F.lit(1)).alias("c"))  # one row of spans for each symbol
+    counts = trades.join(spans, "symbol").groupBy("symbol", "span", in_bin.alias("bin")).agg(F.count(F.lit(1)).alias("c"))  # Spark broadcasts spans, a row for each symbol, if they are small
     sums = counts.groupBy("symbol", "span").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
     mean = F.col("n") / 10.0
     f = F.when((F.col("n") >= 2) & (F.col("span") > 0), (F.col("squares") / 10 - mean * mean) / mean)
