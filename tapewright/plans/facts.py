@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import flags, fmt, stats
-from ..operators import book, enrich, tables, validate
+from ..operators import book, daybook, enrich, tables, validate
 from ..operators import detectors as dt
 from ..operators import lifecycle as lc
 from ..operators import selection as sel
@@ -93,7 +93,13 @@ _ALL = f"""select 'halt' scorer_id, {ev.r6(f"case when secs is null then 0.0 els
 
 @query(f", {ev.EVENTS}, nine as ({_ALL}) select scorer_id, count(*) n_events, {ev.r6('max(score)')} top_score, {ev.r6('min(score)')} least_score, count(*) filter (where score > 1) over_one from nine group by 1")
 def all_detectors(spark, sf_dir):
-    """Events of all nine detectors, each run on its own; one that fails is an error here."""
+    """Events of all nine detectors, each run on its own."""
+    rows = nine(spark, sf_dir)
+    return ev.rounded(rows.groupBy("scorer_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("score").alias("top_score"), F.min("score").alias("least_score"), F.count_if(F.col("score") > 1).alias("over_one")), "top_score", "least_score")
+
+
+def nine(spark, sf_dir):
+    """Events of all nine detectors with their facts; a detector that fails is an error here."""
     life, executed, trades = written(lc.short_lived(ev._lifecycle(spark, sf_dir)), "short-lived"), fx.orders_executed(spark, sf_dir), fx.trades(spark, sf_dir)
     calls = {
         "halt": ((fx.status_events(spark, sf_dir),), {}),
@@ -109,8 +115,7 @@ def all_detectors(spark, sf_dir):
     found, failed = dt.run_all(calls)
     if failed:
         raise RuntimeError(f"detectors failed: {failed}")
-    rows = ev.rounded(found, "score")
-    return ev.rounded(rows.groupBy("scorer_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("score").alias("top_score"), F.min("score").alias("least_score"), F.count_if(F.col("score") > 1).alias("over_one")), "top_score", "least_score")
+    return ev.rounded(found, "score")
 
 
 _EVENT_FACTS = f"""facts as (
@@ -210,3 +215,88 @@ def week_extremes(spark, sf_dir):
     """Six extremes of each week."""
     weekly = ev.events(spark, sf_dir).withColumn("trading_date", fmt.week_start(F.col("trading_date")))
     return tables.extremes(weekly, _METRICS).withColumnRenamed("trading_date", "week")
+
+
+def _n(x: str) -> str:
+    """A whole number with separators, null for 0."""
+    return f"case when {x} <> 0 then format('{{:,}}', cast({x} as bigint)) end"
+
+
+def _words(s: str) -> str:
+    unit = lambda n, u: f"cast({n} as varchar) || case when {n} = 1 then ' {u}' else ' {u}s' end"
+    return f"""case when {s} < 0 then 'unknown duration' when {s} < 60 then {unit(s, 'second')} when {s} < 3600 then concat_ws(' ', {unit(f'({s} // 60)', 'minute')}, case when {s} % 60 > 0 then {unit(f'({s} % 60)', 'second')} end)
+      when {s} is not null then concat_ws(' ', {unit(f'({s} // 3600)', 'hour')}, case when {s} % 3600 // 60 > 0 then {unit(f'({s} % 3600 // 60)', 'minute')} end) end"""
+
+
+def _x(v: str) -> str:
+    return f"cast(floor(({v}) * 10.0 + 0.5) / 10.0 as varchar)"
+
+
+_REASON = "case reason when 'T1' then 'news-pending halt' when 'LUDP' then 'LULD price-band halt' else 'trading halt' end"
+_TOLD = f"""told as (select *, case when scorer_id in ('volume_deviation', 'time_in_book_drift') then 'day-level' else strftime(make_timestamp(ts_nanos // 1000 - 18000000000), '%H:%M') || ' ET' end as at_, floor(raw * 1000000.0 + 0.5) / 1000000.0 score from (
+  select trading_date, symbol, ts_nanos, 'halt' scorer_id, case when secs is null then 0.0 else log10(secs + 1.0) * {ev.tod('ts_nanos')} end raw, concat_ws(' ', {_words('secs')}, 'halt', '(' || {_REASON} || ')') metric, cast(secs as double) extent from (
+    select *, next_ts // {SEC} - ts_nanos // {SEC} secs from (select *, lead(ts_nanos) over (partition by symbol order by ts_nanos, seq) next_ts from status_events where event_kind = 'H') where sub_type = 'H')
+  union all select trading_date, symbol, ts_nanos, 'large_trade', log10(notional) * {ev.tod('ts_nanos')}, '$' || format('{{:,}}', cast(floor(notional) as bigint)) || ' block', notional from (select *, size * (price_raw / 10000.0) notional from trades where size * price_raw > 5000 * 10000)
+  union all select trading_date, symbol, ts_nanos, scorer_id, score, concat_ws(', ', '$' || format('{{:,}}', cast(floor(notional) as bigint)) || ' sweep', {_n('n_levels')} || ' levels'), null from ({ev.SWEEPS})
+  union all select trading_date, symbol, ts_nanos, scorer_id, score, concat_ws(', ', {_n('n_rows')} || ' orders', cast(median_lifetime_ns // 1000000 as varchar) || 'ms median'), null from ({ev.POST})
+  union all select trading_date, symbol, ts_nanos, scorer_id, score, concat_ws(', ', {_n('n_rows')} || ' orders', {_n('n_levels')} || ' levels'), null from ({ev.LAYER})
+  union all select trading_date, symbol, ts_nanos, scorer_id, score, concat_ws(', ', {_n('n_rows')} || ' fills', {_n('total_shares')} || ' shares'), null from ({ev.ICE})
+  union all select trading_date, symbol, ts_nanos, scorer_id, score, {_n('n_rows')} || ' deletes', null from ({ev.WITHDRAW})
+  union all select day, symbol, epoch_us(cast(day as timestamp)) * 1000, 'volume_deviation', today / median, {_x('floor(today / median * 1000000.0 + 0.5) / 1000000.0')} || 'x trailing median', null from {ev.WINDOWS} where n_days >= 3 and median >= 1 and today >= 1 and today / median >= 1.5
+  union all select day, symbol, epoch_us(cast(day as timestamp)) * 1000, 'time_in_book_drift', greatest(today / median, median / today), {_x('floor(greatest(today / median, median / today) * 1000000.0 + 0.5) / 1000000.0')} || 'x ' || case when today < median then 'shorter' else 'longer' end || ' lifetime', null
+    from {ev.LIFE_WINDOWS} where n_days >= 5 and median >= 1 and order_count >= 5 and greatest(today / median, median / today) >= 1.2))"""
+_STRONGEST = "order by score desc, scorer_id, symbol, ts_nanos, metric"
+
+
+@query(f""", {_TOLD} select trading_date, place, scorer_id, symbol, at_ as "at", metric, score from (select *, row_number() over (partition by trading_date {_STRONGEST}) place from told) where place <= 5""")
+def day_headlines(spark, sf_dir):
+    """The five strongest events of each day, with what is told of each and when it was."""
+    return daybook.headlines(daybook.told(nine(spark, sf_dir)))
+
+
+@query(f""", {_TOLD}, weekly as (select *, cast(date_trunc('week', trading_date) as date) as week from told) select week, place, scorer_id, symbol, at_ as "at", metric, score from (select *, row_number() over (partition by week {_STRONGEST}) place from weekly) where place <= 10""")
+def week_headlines(spark, sf_dir):
+    """The ten strongest events of each week."""
+    rows = daybook.told(nine(spark, sf_dir)).withColumn("week", fmt.week_start(F.col("trading_date")))
+    return daybook.headlines(rows, 10, "week")
+
+
+@query(f""", {_TOLD} select trading_date, scorer_id, place, symbol, at_ as "at", metric from (select *, row_number() over (partition by trading_date, scorer_id {_STRONGEST}) place from told) where place <= 5""")
+def scorer_tables(spark, sf_dir):
+    """The five strongest events of each day and scorer."""
+    return daybook.scorer_tables(daybook.told(nine(spark, sf_dir))).drop("facts")
+
+
+@query(f""", volumes as (select day trading_date, symbol, today, cast(median as double) median, n_days, today / median ratio, case when mad > 0 then (today - w.median) / (1.4826 * mad) end z from {ev.WINDOWS} w join (select day, symbol, mad from {ev.MAD}) using (day, symbol) where n_days >= 3 and w.median >= 1 and today >= 1 and today / w.median >= 1.5),
+top as (select * from (select *, row_number() over (partition by trading_date order by floor(ratio * 1000000.0 + 0.5) / 1000000.0 desc, symbol) place from volumes) where place <= 5)
+select trading_date, symbol, place, fact, value from (
+  select trading_date, symbol, place, 'total_shares' fact, cast(today as double) as value from top union all select trading_date, symbol, place, 'baseline_median', median from top
+  union all select trading_date, symbol, place, 'n_days', n_days from top union all select trading_date, symbol, place, 'robust_z', {ev.r6('z')} from top where z is not null)""")
+def volume_table(spark, sf_dir):
+    """A scorer's own columns: those of unusual volumes."""
+    found, failed = dt.run_all({"volume_deviation": ((lc.daily_volume(fx.trades(spark, sf_dir)),), {"least_median": 1, "least_volume": 1, "least_ratio": 1.5})})
+    if failed:
+        raise RuntimeError(f"detectors failed: {failed}")
+    rows = daybook.scorer_tables(daybook.told(ev.rounded(found, "score")))
+    return ev.rounded(rows.select("trading_date", "symbol", "place", F.explode("facts").alias("fact", "value")).withColumn("value", F.col("value").cast("double")), "value")
+
+
+def _listed(names: str) -> str:
+    return f"case when len({names}) <= 1 then array_to_string({names}, '') when len({names}) <= 4 then array_to_string({names}[1 : len({names}) - 1], ', ') || ' and ' || {names}[len({names})] else array_to_string({names}[1 : 3], ', ') || ' and ' || (len({names}) - 3) || ' others' end"
+
+
+_NAMED = "case scorer_id " + " ".join(f"when '{k}' then '{v}'" for k, v in fmt.SCORER_NAMES.items()) + " end"
+
+
+@query(f""", {_TOLD}, by_symbol as (select trading_date, symbol as name, count(*) n from told group by 1, 2), by_scorer as (select trading_date, scorer_id, count(*) n from told group by 1, 2),
+led as (select trading_date, max(n) n, list(name order by name) names from by_symbol b where n = (select max(n) from by_symbol c where c.trading_date = b.trading_date) group by 1),
+ruled as (select trading_date, max(n) n, list({_NAMED} order by scorer_id) names from by_scorer b where n = (select max(n) from by_scorer c where c.trading_date = b.trading_date) group by 1),
+blocks as (select trading_date, arg_max(symbol, (extent, symbol)) s, max(extent) v from told where scorer_id = 'large_trade' group by 1), halted as (select trading_date, arg_max(symbol, (extent, symbol)) s, cast(max(extent) as bigint) v from told where scorer_id = 'halt' and extent is not null group by 1),
+totals as (select trading_date, n, floor((n - lag(n) over (order by trading_date)) * 100.0 / lag(n) over (order by trading_date) + 0.5)::bigint change from (select trading_date, count(*) n from told group by 1)),
+all_ as (select trading_date, list_filter([case when len(l.names) = 1 then l.names[1] || ' led the day with ' else {_listed('l.names')} || ' each led with ' end || format('{{:,}}', l.n) || ' events',
+  case when len(r.names) = 1 then r.names[1] || ' dominated (' || format('{{:,}}', r.n) || ' events)' else {_listed('r.names')} || ' each saw ' || format('{{:,}}', r.n) || ' events' end,
+  'Largest block: ' || b.s || ' $' || format('{{:,}}', cast(floor(b.v) as bigint)), 'Longest halt: ' || h.s || ' ' || {_words('h.v')}, case when abs(change) >= 10 then 'Event volume ' || case when change > 0 then '+' else '' end || change || '% vs prior session' end], lambda b : b is not null) bullets
+  from totals t join led l using (trading_date) join ruled r using (trading_date) left join blocks b using (trading_date) left join halted h using (trading_date)) select trading_date, array_to_string(bullets[1 : 5], '; ') bullets from all_""")
+def executive_bullets(spark, sf_dir):
+    """Up to five bullets of each day; who ties is named together."""
+    return daybook.bullets(daybook.told(nine(spark, sf_dir))).select("trading_date", F.array_join("bullets", "; ").alias("bullets"))
