@@ -300,3 +300,32 @@ all_ as (select trading_date, list_filter([case when len(l.names) = 1 then l.nam
 def executive_bullets(spark, sf_dir):
     """Up to five bullets of each day; who ties is named together."""
     return daybook.bullets(daybook.told(nine(spark, sf_dir))).select("trading_date", F.array_join("bullets", "; ").alias("bullets"))
+
+
+_KEY = "concat_ws('|', cast(trading_date as varchar), symbol, scorer_id, cast(ts_nanos as varchar), cast(ts_end_nanos as varchar), cast(n_rows as varchar), cast(total_shares as varchar))"
+_NINE = f"""events as (select *, {_KEY} event_id from (
+  select trading_date, symbol, ts_nanos, next_ts ts_end_nanos, 'halt' scorer_id, {ev.r6(f"case when secs is null then 0.0 else log10(secs + 1.0) * {ev.tod('ts_nanos')} end")} score, cast(null as bigint) n_rows, cast(null as bigint) total_shares from (
+    select *, next_ts // {SEC} - ts_nanos // {SEC} secs from (select *, lead(ts_nanos) over (partition by symbol order by ts_nanos, seq) next_ts from status_events where event_kind = 'H') where sub_type = 'H')
+  union all select trading_date, symbol, ts_nanos, null, 'large_trade', {ev.r6(f"log10(size * (price_raw / 10000.0)) * {ev.tod('ts_nanos')}")}, null, cast(size as bigint) from trades where size * price_raw > 5000 * 10000
+  union all select {ev._columns.replace(' score, n_rows', '')}, n_rows, total_shares from ({ev.SWEEPS}) union all select {ev._columns.replace(' score, n_rows', '')}, n_rows, total_shares from ({ev.POST}) union all select {ev._columns.replace(' score, n_rows', '')}, n_rows, total_shares from ({ev.LAYER})
+  union all select {ev._columns.replace(' score, n_rows', '')}, n_rows, total_shares from ({ev.ICE}) union all select {ev._columns.replace(' score, n_rows', '')}, n_rows, null from ({ev.WITHDRAW})
+  union all select day, symbol, epoch_us(cast(day as timestamp)) * 1000, null, 'volume_deviation', {ev.r6('today / median')}, null, today from {ev.WINDOWS} where n_days >= 3 and median >= 1 and today >= 1 and today / median >= 1.5
+  union all select day, symbol, epoch_us(cast(day as timestamp)) * 1000, null, 'time_in_book_drift', {ev.r6('greatest(today / median, median / today)')}, order_count, null from {ev.LIFE_WINDOWS} where n_days >= 5 and median >= 1 and order_count >= 5 and greatest(today / median, median / today) >= 1.2))"""
+
+
+def _nine_events(spark, sf_dir):
+    fact = lambda name: F.get_json_object("breakdown", f"$.{name}").cast("bigint").alias(name)
+    rows = nine(spark, sf_dir).select(*dt.COMMON, fact("n_rows"), fact("total_shares"))
+    return written(rows.withColumn("event_id", sel.event_key()), "nine")
+
+
+@query(f", {_NINE}{ev.NEST} select event_id, scorer_id, score, subsumed_by from nested")
+def nested_of_nine(spark, sf_dir):
+    """Which events of all nine detectors lie inside which; events without an end are never inside."""
+    return sel.nest(_nine_events(spark, sf_dir)).select("event_id", "scorer_id", "score", "subsumed_by")
+
+
+@query(f", {_NINE}{ev.SELECT} select trading_date, scorer_id, event_id, score, narration_rank from selected")
+def selected_of_nine(spark, sf_dir):
+    """The events of all nine detectors that stand for their day."""
+    return sel.select_top(sel.nest(_nine_events(spark, sf_dir))).select("trading_date", "scorer_id", "event_id", "score", "narration_rank")
