@@ -39,13 +39,13 @@ def order_steps(adds: DataFrame, modifies: DataFrame, executed: DataFrame, delet
 
 def remaining(steps: DataFrame) -> DataFrame:
     """steps with the order's side, price and size left after each step (rem), and those before it."""
-    along = Window.partitionBy(*ORDER).orderBy("ts_nanos", "seq")
-    sets = F.col("op").isin("add", "modify")
-    rows = steps.withColumns({"set_no": F.sum(sets.cast("int")).over(along), "side": F.first("side", ignorenulls=True).over(Window.partitionBy(*ORDER).orderBy("ts_nanos", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    within = Window.partitionBy(*ORDER, "set_no")
-    gone = F.sum(F.when(F.col("op") == "execute", F.col("size")).otherwise(0)).over(within.orderBy("ts_nanos", "seq"))
-    rows = rows.withColumns({"base": F.max(F.when(sets, F.col("size"))).over(within), "px": F.max(F.when(sets, F.col("price_raw"))).over(within), "gone": gone})
-    rows = rows.withColumn("rem", F.when(F.col("op").isin("delete", "clear"), 0).otherwise(F.col("base") - F.col("gone")))
+    along = Window.partitionBy(*ORDER).orderBy("ts_nanos", "seq")  # the one order of rows that all of this needs
+    upto, sets = along.rowsBetween(Window.unboundedPreceding, 0), F.col("op").isin("add", "modify")
+    last = lambda column: F.last(F.when(sets, column), ignorenulls=True).over(upto)
+    side = F.first("side", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = steps.withColumns({"side": side, "base": last(F.col("size")), "px": last(F.col("price_raw")), "__gone": F.sum(F.when(F.col("op") == "execute", F.col("size")).otherwise(0)).over(upto)})
+    rows = rows.withColumn("__gone_before", last(F.col("__gone")))  # what was executed before the size was set
+    rows = rows.withColumn("rem", F.when(F.col("op").isin("delete", "clear"), 0).otherwise(F.col("base") - F.col("__gone") + F.col("__gone_before"))).drop("__gone", "__gone_before")
     return rows.withColumns({"rem_before": F.lag("rem").over(along), "px_before": F.lag("px").over(along)})
 
 
@@ -59,7 +59,7 @@ def level_changes(rows: DataFrame) -> DataFrame:
 
 def level_sizes(changes: DataFrame) -> DataFrame:
     """Size of each level after each time at which it changes."""
-    at = changes.groupBy(*LEVEL, "ts_nanos").agg(F.sum("delta").alias("delta"))
+    at = changes.repartition(*LEVEL).groupBy(*LEVEL, "ts_nanos").agg(F.sum("delta").alias("delta"))  # dealt out once, by level, for the sums and for their window
     upto = Window.partitionBy(*LEVEL).orderBy("ts_nanos").rowsBetween(Window.unboundedPreceding, 0)
     return at.withColumn("level_size", F.sum("delta").over(upto))
 
