@@ -196,11 +196,11 @@ def wire_layouts(spark, sf_dir):
     return decoded.select("table", "packet_no", F.concat_ws("|", *[F.col(n).cast("string") for n in wire.fields_of(tables)]).alias("fields"))
 
 
-@query()
+@query(f"with {fx.SQL}, {ev.EVENTS} select symbol || '|' || scorer_id doc_id, symbol, cast(n + 1 as bigint) claimed, scorer_id, n from (select symbol, scorer_id, count(*) n from events group by 1, 2) where n % 3 = 0")
 def claim_counts(spark, sf_dir):
     """Attributed counts that the events don't bear out."""
     counts = ev.events(spark, sf_dir).groupBy("symbol", "scorer_id").agg(F.count(F.lit(1)).alias("n"))
-    texts = counts.selectExpr("xxhash64(symbol, scorer_id) doc_id", "concat(symbol, ' recorded ', cast(n + case when n % 3 = 0 then 1 else 0 end as string), ' ', case scorer_id when 'sweep' then 'sweeps' when 'iceberg' then 'iceberg runs' when 'layering' then 'layering clusters' when 'liquidity_withdrawal' then 'liquidity withdrawals' else 'cancelled bursts' end, ' over the month.') text")
+    texts = counts.selectExpr("concat(symbol, '|', scorer_id) doc_id", "concat(symbol, ' recorded ', cast(n + case when n % 3 = 0 then 1 else 0 end as string), ' ', case scorer_id when 'sweep' then 'sweeps' when 'iceberg' then 'iceberg runs' when 'layering' then 'layering clusters' when 'liquidity_withdrawal' then 'liquidity withdrawals' else 'cancelled bursts' end, ' over the month.') text")
     nouns = {"sweep": "sweep", "iceberg": "iceberg", "layering": "layering", "withdrawal": "liquidity_withdrawal", "cancelled": "post_cancel_cluster"}
     return tc.wrong_claims(tc.count_claims(texts, nouns), counts)
 
