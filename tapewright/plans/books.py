@@ -98,9 +98,9 @@ def _requests(spark, sf_dir):
 
 
 def _points(spark, sf_dir, lot=None, changes=None):
-    """Change points of the books' best prices."""
+    """Change points of the books' best prices. Sizes and points are written once, as the sweep and the as-of join read them several times."""
     changes = book.level_changes(book.remaining(_steps(spark, sf_dir))) if changes is None else changes
-    return book.best_points(book.level_sizes(changes), lot)
+    return written(book.best_points(written(book.level_sizes(changes), "sizes"), lot), "points")
 
 
 def _intervals(spark, sf_dir):
@@ -212,7 +212,7 @@ def _quotes(spark, sf_dir, points):
 
 @query(f"{STEPS} select trading_date, count(*) compared, count(*) filter (where quoted = bid_size) matched, count(*) filter (where quoted <> bid_size) mismatched, {ev.r6('count(*) filter (where quoted = bid_size) / count(*)')} match_rate from {QUOTES} group by 1")
 def bbo_check(spark, sf_dir):
-    points = written(_points(spark, sf_dir, F.lit(100)), "points")
+    points = _points(spark, sf_dir, F.lit(100))
     return ev.rounded(validate.match_report(validate.bbo_check(_quotes(spark, sf_dir, points), points), ["trading_date"]), "match_rate")
 
 
@@ -224,13 +224,13 @@ select trading_date, count(*) compared, count(*) filter (where good) matched, co
   {ev.r6('case when count(*) filter (where not off_) = 0 then 0 else count(*) filter (where good and not off_) / count(*) filter (where not off_) end')} regular_rate, {ev.r6('case when count(*) filter (where off_) = 0 then 0 else count(*) filter (where good and off_) / count(*) filter (where off_) end')} off_rate from judged group by 1""")
 def bbo_hours(spark, sf_dir):
     """Quotes against books inside and outside regular hours, which begin a minute after the day's first order here."""
-    points = written(_points(spark, sf_dir, F.lit(100)), "points")
+    points = _points(spark, sf_dir, F.lit(100))
     return ev.rounded(validate.split_report(validate.bbo_check(_quotes(spark, sf_dir, points), points), F.expr(_OFF), ["trading_date"]), "regular_rate", "off_rate")
 
 
 @query(f"{STEPS} select rank, symbol, matched, mismatched from (select symbol, count(*) filter (where quoted = bid_size) matched, count(*) filter (where quoted <> bid_size) mismatched, row_number() over (order by count(*) filter (where quoted <> bid_size) desc, symbol) as rank from {QUOTES} group by 1) where rank <= 5 and mismatched > 0")
 def worst_symbols(spark, sf_dir):
-    points = written(_points(spark, sf_dir, F.lit(100)), "points")
+    points = _points(spark, sf_dir, F.lit(100))
     return validate.worst_symbols(validate.bbo_check(_quotes(spark, sf_dir, points), points), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -267,7 +267,7 @@ def match_report(spark, sf_dir):
     """The three legs of the triangle: orders against levels, orders against quotes, levels against quotes."""
     changes = _changes(spark, sf_dir)
     updates = written(_updates(spark, sf_dir, changes), "updates")
-    points = written(_points(spark, sf_dir, F.lit(100), changes), "points")
+    points = _points(spark, sf_dir, F.lit(100), changes)
     quotes = written(_quotes(spark, sf_dir, points), "quotes")
     rate = lambda checked, name: validate.match_report(checked, []).select(F.col("match_rate").alias(name), F.lit(1).alias("one"))
     legs = rate(validate.level_check(changes, updates), "level_rate")
