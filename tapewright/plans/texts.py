@@ -59,19 +59,6 @@ def number_grounding(spark, sf_dir):
     return tc.ungrounded_numbers(texts, facts)
 
 
-@query("select o_orderkey doc_id, case o_orderkey % 4 when 0 then ['200', '12'] when 1 then ['7'] when 2 then [] else ['15', '3'] end numbers from orders")
-def word_numbers(spark, sf_dir):
-    text = F.expr("case o_orderkey % 4 when 0 then 'Two hundred orders and a dozen fills' when 1 then 'seven trades on a two-sided book' when 2 then 'none' else 'fifteen fills in three bursts' end")
-    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), tc.word_numbers(text).alias("numbers"))
-
-
-@query(f"with {fx.SQL} select k doc_id, 'TSLA' ticker from base where k % 5 = 0")
-def ticker_check(spark, sf_dir):
-    texts = fx.base(spark, sf_dir).selectExpr("k doc_id", "concat(case when k % 5 = 0 then 'TSLA' else 'BRK' end, ' rose on NYSE at 10 AM ET, as did BRK.B') text")
-    known = spark.createDataFrame([("BRK.B",), ("OTAI=",)], "symbol string")
-    return tc.unknown_tickers(texts, known)
-
-
 @query(r"""select doc_id, regexp_extract_all(lower(text), '\b(?:manipul\w*|spoof\w*|front[- ]?run\w*|wash[- ]?trad\w*|illegal\w*|fake\w*)\b') words from (
   select doc_id, case doc_id % 5 when 0 then 'looks like spoofing; ' when 1 then 'no wash-trading here; ' when 2 then 'fake_orders, spoof2 ' else '' end || coalesce(text, '') as text from documents)""")
 def banned_words(spark, sf_dir):
@@ -84,37 +71,6 @@ def bad_chars(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(tc.first_bad_character(F.col("text")), F.lit("")).alias("bad"))
 
 
-@query("select s_suppkey, s_suppkey % 4 <> 0 agrees from supplier")
-def company_agree(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat(s_name, ' Inc.') company", "concat('S', s_suppkey) symbol", "concat('Today ', case when s_suppkey % 4 = 0 then 'Another Firm' else s_name end, ', Inc. (S', s_suppkey, ') rose') text")
-    return rows.select("s_suppkey", tc.names_agree(F.col("text"), F.col("symbol"), F.col("company")).alias("agrees"))
-
-
-@query("select o_orderkey doc_id, cast(case o_orderkey % 3 when 0 then 5 when 1 then 12 else 0 end as integer) claimed, o_orderkey % 3 = 0 and o_custkey % 8 + 1 < 5 or o_orderkey % 3 = 1 as too_long from orders")
-def streak_claims(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey doc_id", "o_custkey % 8 prior", "case o_orderkey % 3 when 0 then 'a fifth consecutive week and the 2nd straight week' when 1 then 'its 12th straight week' else 'the fifth week' end text")
-    claimed = tc.claimed_streak(F.col("text"))
-    return rows.select("doc_id", claimed.cast("int").alias("claimed"), (claimed > F.col("prior") + 1).alias("too_long"))
-
-
-@query("select o_orderkey, case when o_custkey % 25 = 0 then 0 else least(o_custkey % 25, 13) end n_phrases from orders")
-def streak_phrases(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("prior"))
-    return rows.select("o_orderkey", F.size(tc.allowed_streaks(F.col("prior"))).alias("n_phrases"))
-
-
-@query(f"with {fx.SQL} select k doc_id, contains('about ' || case when k % 3 = 0 then 'S00' else symbol end || ' today', symbol) said from base")
-def symbol_named(spark, sf_dir):
-    rows = fx.base(spark, sf_dir).selectExpr("k doc_id", "symbol", "concat('about ', case when k % 3 = 0 then 'S00' else symbol end, ' today') text")
-    return rows.select("doc_id", tc.names_symbol(F.col("text"), F.col("symbol")).alias("said"))
-
-
-@query("select o_orderkey doc_id, case o_orderkey % 4 when 0 then ['sweep'] when 1 then ['iceberg'] else [] end others from orders")
-def scorer_mentions(spark, sf_dir):
-    text = F.expr("case o_orderkey % 4 when 0 then 'Two sweeps and a halt' when 1 then 'an iceberg, then a halt' when 2 then 'a sweepstakes and a halt' else 'none' end")
-    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), tc.other_scorers(text, F.array(F.lit("halt")), {"sweep": "sweep", "iceberg": "iceberg", "halt": "halt"}).alias("others"))
-
-
 _FACTS = "concat('{{\"size\":', {0}, ',\"note\":{{\"by\":[\"', {1}, '\",7]}}}}')"
 
 
@@ -132,12 +88,6 @@ def rechecked_texts(spark, sf_dir):
     return tc.recheck(rows.selectExpr("o_orderkey doc_id", "o_orderkey % 3 != 0 passed"), rows.selectExpr("o_orderkey doc_id", "o_orderkey % 5 != 0 passed"))
 
 
-@query("select o_orderkey doc_id, case when o_orderkey % 2 = 0 then 'Lead. ' else '' end || 'One fact. Another.' || case when o_orderkey % 3 = 0 then ' Tail' else '' end as text from orders")
-def stitched_texts(spark, sf_dir):
-    lead, tail = F.expr("case when o_orderkey % 2 = 0 then ' Lead.' else '  ' end"), F.expr("case when o_orderkey % 3 = 0 then 'Tail ' end")
-    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), tc.stitched(lead, F.array(F.lit("One fact."), F.lit(" "), F.lit("Another. ")), tail).alias("text"))
-
-
 def _trip(spark, df, table, order):
     return wire.decode(wire.split_messages(wire.pack(df, table, F.expr(f"{order} div 10"), [order]))[0], table)
 
