@@ -8,7 +8,11 @@ of the released blocks, that of the earliest deadline, ties by larger share and
 then by stream. So, in every prefix, each stream's blocks differ from its share
 by less than one. When a stream runs out, the others start anew with their
 shares, and the same holds from there: no row is dropped or repeated.
-weights_by_source() gives each source that occurs a stream of its own.
+weights_by_source() gives each source that occurs a stream of its own. Beyond
+MAX_SOURCES of them, the listed ones keep theirs, and the others are dealt
+inside the rest's stream: a document of each in turn, those of more documents
+first, for as long as they last. So they have equal shares of the rest in every
+prefix, to a document, and the rest as a whole keeps its share as above.
 
 Such a schedule repeats after q slots. Only the q slots of each phase are
 worked out in advance, from the shares and the streams' numbers of documents,
@@ -36,19 +40,24 @@ ROWS_OF_BUCKET = 2000
 #: Shares of the streams, and of all other sources together.
 SHARES = {"src0": 6, "src1": 4, "src2": 3, "src3": 2}
 REST = 5
-#: Periods and their slots are worked out on the driver and grow with the streams; more sources than this are an error, never merged.
+#: Periods and their slots are worked out on the driver and grow with the streams; of more sources than this, those without a listed share are dealt inside one stream.
 MAX_SOURCES = 128
+#: Each power of two of document numbers is cut into so many cells for looking up rounds.
+CELLS = 1024
+#: Sources of one size are ranked in so many hashed parts.
+PARTS = 4096
 
 
 def weights_by_source(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST, source_col: str = "source") -> dict:
-    """shares and rest, as options of schedule() and mix(), with an own share for every source in docs.
+    """Options of schedule() and mix() that give every source in docs a share.
 
     Listed sources keep their part of the mix. The part of the rest is dealt in
-    equal shares to the sources that aren't listed; null is one of them.
+    equal shares to the sources that aren't listed; null is one of them. Up to
+    MAX_SOURCES sources have streams of their own.
     """
     found = [r[0] for r in docs.select(source_col).distinct().limit(MAX_SOURCES + 1).collect()]
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give shares for those to be scheduled on their own")
+        return {"shares": dict(shares), "rest": rest, "deal": True}
     others = sorted(s for s in found if s is not None and s not in shares)
     n = max(1, len(others) + (None in found))
     unit = math.gcd(rest, *(a * n for a in shares.values()))
@@ -96,8 +105,38 @@ def _stream(source: Column, names: list[str]) -> Column:
     return out
 
 
-def schedule(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with stream, block, slot, place (in the block) and position (in the mix, from 0)."""
+def _cell(n: str) -> str:
+    """The cell of a number from 0, as SQL; cells ascend with numbers, and those of numbers below CELLS hold one number each."""
+    bits, inner = f"(length(bin({n} + 1)) - 1)", CELLS.bit_length() - 1
+    return f"({bits} * {CELLS}L + shiftright({n} + 1 - shiftleft(1L, {bits}), greatest({bits} - {inner}, 0)))"
+
+
+def _turns(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How units (__unit, n: its documents) are dealt in turns: (__unit, __nth: its place in a turn), and (__cell, __from, __to, __base, __alive).
+
+    Turn r has a document of each unit of more than r. Turns from __from to
+    before __to come after __base documents of exhausted units, and __alive
+    units still take part, so turn r begins at __base + __alive * r. Units of
+    different sizes number at most the square root of twice the documents, so
+    a table of sizes has at most that many rows, and a table of cells 64 * CELLS more.
+    """
+    sizes = units.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
+    up, down = Window.orderBy("n"), Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("n", "units", F.coalesce(F.sum("units").over(down), F.lit(0)).alias("larger"), F.sum(F.col("n") * F.col("units")).over(up).alias("upto"), F.lead("n").over(up).alias("next"))
+    part = F.pmod(F.xxhash64("__unit"), F.lit(PARTS))
+    parted = units.withColumn("part", part)
+    counts = parted.groupBy("n", "part").count()
+    counts = counts.select("n", "part", F.coalesce(F.sum("count").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("n", "part").orderBy("__unit")) - 1).join(counts, ["n", "part"])
+    places = ranked.join(F.broadcast(sizes.select("n", "larger")), "n").select("__unit", (F.col("larger") + F.col("start") + F.col("rank")).alias("__nth"))
+    first = sizes.agg(F.min("n").alias("__to"), F.sum("units").alias("__alive")).select(F.lit(0).cast("bigint").alias("__from"), "__to", F.lit(0).cast("bigint").alias("__base"), "__alive").filter("__to is not null")
+    later = sizes.filter("next is not null").select(F.col("n").alias("__from"), F.col("next").alias("__to"), F.col("upto").alias("__base"), F.col("larger").alias("__alive"))
+    steps = first.unionByName(later)
+    return places, steps.select(F.explode(F.expr(f"sequence({_cell('__from')}, {_cell('(__to - 1)')})")).alias("__cell"), "__from", "__to", "__base", "__alive")
+
+
+def schedule(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", deal: bool = False) -> DataFrame:
+    """docs with stream, block, slot, place (in the block) and position (in the mix, from 0). With deal, sources of the rest take turns in its stream."""
     spark, names = docs.sparkSession, list(shares)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("stream", "block", "slot", "place", "position")])
     of_stream = dict(enumerate([*shares.values(), rest]))
@@ -118,11 +157,24 @@ def schedule(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST,
         # Null ids have one hash. They get buckets of their own, between those of lower and of higher hashes, by their place in the input, which is written down.
         among = F.when(order < F.md5(F.lit("")), 0).when(F.col(id_col).isNull(), 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(nulls))).otherwise(nulls + 1)
         keyed = Scratch(spark).cut(keyed.withColumn("__bucket", F.col("__bucket") * (nulls + 2) + among), "buckets")
-    inside = Window.partitionBy("stream", "__bucket").orderBy("__order", id_col, "__tie")
-    of_bucket = keyed.groupBy("stream", "__bucket").count()
-    before = Window.partitionBy("stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = of_bucket.select("stream", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    numbered = keyed.withColumn("__row", F.row_number().over(inside) - 1).join(starts, ["stream", "__bucket"]).withColumn("__row", F.col("__row") + F.col("__start"))
+    unit = ["stream"]
+    if deal:
+        unit = ["stream", "__unit"]
+        keyed = keyed.withColumn("__unit", F.when(F.col("stream") < len(names), "").otherwise(F.coalesce(F.concat(F.lit("="), source_col), F.lit(""))))
+    inside = Window.partitionBy(*unit, "__bucket").orderBy("__order", id_col, "__tie")
+    of_bucket = keyed.groupBy(*unit, "__bucket").count()
+    if deal:
+        of_bucket = Scratch(spark).cut(of_bucket, "unit-buckets")  # four consumers
+    before = Window.partitionBy(*unit).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_bucket.select(*unit, "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    if deal:
+        places, turns = _turns(of_bucket.filter(F.col("stream") == len(names)).groupBy("__unit").agg(F.sum("count").alias("n")))
+        starts = starts.join(places.withColumn("stream", F.lit(len(names))), unit, "left")
+    numbered = keyed.withColumn("__row", F.row_number().over(inside) - 1).join(starts, [*unit, "__bucket"]).withColumn("__row", F.col("__row") + F.col("__start"))
+    if deal:
+        turn = (F.expr(_cell("__row")) == F.col("__cell")) & F.col("__nth").isNotNull() & (F.col("__row") >= F.col("__from")) & (F.col("__row") < F.col("__to"))
+        dealt = F.col("__base") + F.col("__alive") * F.col("__row") + F.col("__nth")
+        numbered = numbered.join(F.broadcast(turns), turn, "left").withColumn("__row", F.coalesce(dealt, "__row"))  # for its size see _turns()
     numbered = numbered.withColumns({"block": F.floor(F.col("__row") / block), "place": F.col("__row") % block})
 
     if rows:
@@ -136,7 +188,7 @@ def schedule(docs: DataFrame, shares: dict[str, int] = SHARES, rest: int = REST,
     position = F.col("slot") * block + F.col("place")
     for at, missing in zip(last, short):
         position = position - F.when(F.col("slot") > at, missing).otherwise(0)
-    return met.withColumn("slot", slot).withColumn("position", position).drop("__order", "__bucket", "__tie", "__start", "__row", *plan.columns)
+    return met.withColumn("slot", slot).withColumn("position", position).drop("__order", "__bucket", "__tie", "__start", "__row", "__unit", "__nth", "__cell", "__from", "__to", "__base", "__alive", *plan.columns)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -301,7 +301,34 @@ def test_every_source_has_its_own_share(spark):
     assert all(runs)
 
 
-def test_too_many_sources_are_an_error(spark):
-    df = spark.range(mixing.MAX_SOURCES + 1).selectExpr("id as doc_id", "cast(id as string) as source")
-    with pytest.raises(ValueError, match="sources"):
-        mixing.weights_by_source(df)
+@pytest.mark.parametrize("cells", [4, 1024])
+def test_more_sources_than_streams_take_turns(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    monkeypatch.setattr(mixing, "ROWS_OF_BUCKET", 50)
+    rng = random.Random(21)
+    sizes = {f"site{k}": rng.choice([1, 1, 2, 3, 7, 30, rng.randrange(1, 60)]) for k in range(mixing.MAX_SOURCES + 20)} | {"hot": 700, "src0": 300, "src2": 40, "": 7, None: 30}
+    rows = [(k if k % 40 else None, s, k, "x") for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, k bigint, slot string")
+    options = mixing.weights_by_source(df)
+    assert options["shares"] == mixing.SHARES and options["deal"]
+    placed = mixing.schedule(df, **options).collect()
+    assert sorted(r.k for r in placed) == list(range(len(rows))) and sorted(r.position for r in placed) == list(range(len(rows)))
+    rest = [r for r in sorted(placed, key=lambda r: (r.block, r.place)) if r.stream == 4]
+    assert [(r.block, r.place) for r in rest] == [divmod(n, mixing.BLOCK) for n in range(len(rest))]
+    others = {s: n for s, n in sizes.items() if s not in mixing.SHARES}
+    start, order = 0, None
+    for turn in range(max(others.values())):
+        left = {s for s, n in others.items() if n > turn}
+        named = [r.source for r in rest[start : start + len(left)]]
+        assert set(named) == left and [others[s] for s in named] == sorted((others[s] for s in left), reverse=True)
+        assert order is None or named == order[: len(named)]
+        start, order = start + len(left), named
+    assert start == len(rest)
+    counts = collections.Counter(r.stream for r in placed)
+    want = slots_by_simulation(dict(enumerate([*mixing.SHARES.values(), mixing.REST])), {k: -(-counts[k] // mixing.BLOCK) for k in range(5)})
+    assert sorted({(r.slot, r.stream, r.block) for r in placed}) == [(s, k, b) for s, (k, b) in enumerate(want)]
+    mixed = mixing.mix(df, **options)
+    at = {r.k: r.position for r in placed if r.doc_id is not None}
+    assert mixed.columns == df.columns and [r.k for r in mixed.collect() if r.doc_id is not None] == sorted(at, key=at.get)
+    assert mixing.schedule(df.limit(0), **options).count() == mixing.mix(df.filter("source = 'src0'").limit(0), **options).count() == 0
+    assert mixing.mix(df.filter("source = 'src0'"), **options).count() == 300
