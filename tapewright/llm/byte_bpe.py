@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held, slices
+from .shared import held, slices_by_bytes
 
 #: Encoded pieces that a Python worker remembers, twice: those met lately, and those met before them.
 MEMO_PIECES = 200_000
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 1):
             ids = id_lists([own.encode(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_id = held(("token_bytes", ranks_path), lambda: token_bytes(ranks_path)).__getitem__
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 1):
             column = batch.column(1)
             flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
             ends = ends - ends[0]
@@ -269,7 +269,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of_id = held(("byte_bpe", ranks_path, pattern, "both"), lambda: (Codec(ranks_path, pattern), token_bytes(ranks_path).__getitem__))
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 1):
             chunks = [own.encode(t) for t in batch.column(1).to_pylist()]
             data = [b"".join(map(of_id, np.frombuffer(c, "<i4").tolist())) for c in chunks]
             yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(chunks), pa.array(data, pa.binary())], [id_col, "ids", "decoded"])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_fraction, slices
+from .shared import hash_fraction, slices_by_bytes
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 400
@@ -178,16 +178,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     count = usable.count()
     if not count:
         return []
-    drawn = usable.filter(hash_fraction(F.col("id"), min(1.0, TRAIN_DOCS / count), "quality"))  # about TRAIN_DOCS rows, so it can be broadcast
+    drawn = usable.filter(hash_fraction(F.col("id"), min(1.0, TRAIN_DOCS / count), "quality")).orderBy(F.xxhash64("id"), "id", "quality").limit(2 * TRAIN_DOCS)  # one id may stand on very many rows; as few as these can be broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 1):
             features = [f if len(f := measure(t)[2]) <= TRAIN_LINES else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.list_(pa.float64())))], ["quality", "features"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
     rows = texts.join(F.broadcast(drawn), "id").select("quality", "text").mapInArrow(run, "quality int, features array<array<double>>")
-    return [(r.quality, r.features) for r in rows.filter("size(features) > 0").collect()]
+    return [(r.quality, r.features) for r in rows.filter("size(features) > 0").orderBy(F.xxhash64("features"), "features", "quality").limit(2 * TRAIN_DOCS).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
@@ -211,7 +211,7 @@ def label(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     """The document's id, its counts, its lines by label, and the share of its words in content lines (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 counts, sizes, features = measure(text)

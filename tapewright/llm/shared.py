@@ -130,11 +130,13 @@ SLICE_BYTES = 8 << 20
 
 
 def slices_by_bytes(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
-    """slices() of at most about SLICE_BYTES in these string or binary columns, or of one longer row."""
+    """slices() of at most about SLICE_BYTES in these columns of strings, binaries or lists of 32-bit integers, or of one longer row."""
     for batch in slices(batches):
         ends = np.zeros(batch.num_rows, np.int64)
         for k in columns:
-            ends += np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False))
+            column = batch.column(k)
+            sizes = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+            ends += np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import codec
-from .shared import slices
+from .shared import slices_by_bytes
 
 #: Lengths of one block of the two-level running sums.
 BLOCK = 64
@@ -32,7 +32,7 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([len(own.encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["n_tokens"])
 
     return docs.select(text_col).mapInArrow(run, "n_tokens long")

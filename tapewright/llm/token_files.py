@@ -42,9 +42,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import PIECES, Pieces, splitter
-from .shared import Scratch, hash_fraction, held, slices
+from .shared import Scratch, hash_fraction, held, slices_by_bytes
 
 SAMPLE_DOCS = 1000
+#: Serialized ids, before compression, of one part of the files at most on average.
+PART_BYTES = 512 << 20
 #: Longer texts are left out of the sample that the dictionary is trained on, so that it is bounded in bytes.
 SAMPLE_CHARS = 50_000
 DICTIONARY_BYTES = 65_536
@@ -113,11 +115,11 @@ def train_dictionary(docs: DataFrame, path: str, pattern: str, end_id: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern, end_id)
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([own.serialized(t) for t in batch.column(0).to_pylist()], pa.binary())], ["ids"])
 
     drawn = docs.filter(hash_fraction(F.col(id_col).cast("string"), share, "dictionary")).select(text_col).filter(F.length(text_col) <= SAMPLE_CHARS)
-    samples = sorted(bytes(r.ids) for r in drawn.mapInArrow(run, "ids binary").collect())
+    samples = sorted(bytes(r.ids) for r in drawn.mapInArrow(run, "ids binary").orderBy("ids").limit(2 * SAMPLE_DOCS).collect())  # the limit is for one id on very many rows
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to train on: the arrays themselves are the dictionary
@@ -132,7 +134,7 @@ def compress(docs: DataFrame, dictionary: bytes, path: str, pattern: str, end_id
 
         own = encoder(path, pattern, end_id)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True).compress
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 3):
             arrays = [own.serialized(t) for t in batch.column(3).to_pylist()]
             sizes = pa.array([len(a) // own.width for a in arrays], pa.int64())
             frames = pa.array([squeeze(a) for a in arrays], pa.binary())
@@ -157,7 +159,7 @@ def pack(frames: DataFrame, dictionary: bytes) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), id_kind, id_kind, pa.list_(id_kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
 
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, 4):
             id_kind = batch.column(1).type
             for part, id_, n, width, frame in zip(*(c.to_pylist() for c in batch.columns)):
                 place = part, width
@@ -171,7 +173,8 @@ def pack(frames: DataFrame, dictionary: bytes) -> DataFrame:
         if ids:
             yield packed()
 
-    count = max(1, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids_bytes = frames.agg(F.sum(F.col("n_tokens") * F.col("width"))).first()[0] or 0
+    count = max(1, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids_bytes // PART_BYTES))
     dealt = frames.repartitionByRange(count, "id", "tie", "row").sortWithinPartitions("id", "tie", "row")
     rows = dealt.select(F.spark_partition_id().alias("part"), "id", "n_tokens", "width", "frame")
     return rows.mapInArrow(run, f"part int, block int, dictionary string, width int, first_id {kind.simpleString()}, last_id {kind.simpleString()}, ids array<{kind.simpleString()}>, n_tokens array<bigint>, offsets array<bigint>, payload binary")

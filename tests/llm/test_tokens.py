@@ -5,10 +5,11 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import byte_bpe, queries, token_counts, token_files
+from tapewright.llm import byte_bpe, queries, shared, token_counts, token_files
 from tapewright.llm.shared import Scratch
 
 TEXTS = ["", None, "a", "Hello, world's  end\n\n", "é" * 70, "ab" * 3000, " \t\n", "x y\u0085z w", "naïve café №5 ½ ²³ _under_score", "日本語のテキスト 한국어", "👍🏽 emoji", "<|endoftext|> in a text", "\x1c\x1d odd \x00 controls", "the then there therefore " * 50, "don't can't we'll I'M", "same", "same"]
@@ -109,3 +110,14 @@ def test_token_files(spark, docs):
     assert token_files.read_document(spark, place, 99) is None
     token_files.write(docs.limit(0), empty := Scratch(spark).path("test-files"), path, queries.pattern(), 2)
     assert token_files.records(spark, empty).count() == 0
+
+
+def test_slices_hold_as_many_bytes_as_they_may():
+    texts = ["x" * n for n in (5, 9 << 20, 3, 4 << 20, 4 << 20, 4 << 20, 0)] + [None]
+    ids = [list(range(n)) for n in (1, 3 << 20, 2, 0, 0, 0, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(ids, pa.list_(pa.int32()))], ["text", "ids"])
+    assert [b.num_rows for b in shared.slices_by_bytes(iter([batch]), 0)] == [1, 1, 2, 4]
+    assert [b.num_rows for b in shared.slices_by_bytes(iter([batch]), 1)] == [1, 1, 6]
+    for columns in ((0,), (1,), (0, 1)):
+        parts = list(shared.slices_by_bytes(iter([batch]), *columns))
+        assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches([batch]).combine_chunks())
