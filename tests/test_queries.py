@@ -8,7 +8,7 @@ import pytest
 from tapewright.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["order_lifecycle", "sweep_events", "layering_clusters", "halt_pairs", "robust_stats", "level_running_size", "protected_bbo", "price_path", "volume_reconcile", "prune_report", "number_grounding", "wire_decode_roundtrip", "fano", "asof_price"]
+SOME = ["order_lifecycle", "sweep_events", "layering_clusters", "halt_pairs", "robust_stats", "level_running_size", "protected_bbo", "price_path", "volume_reconcile", "prune_report", "number_grounding", "wire_decode_roundtrip", "fano", "asof_price", "word_numbers", "ticker_check", "company_agree", "streak_claims", "streak_phrases", "symbol_named", "stitched_texts"]
 NAMES = sorted(registry.ORACLE_SQL) if os.environ.get("TAPEWRIGHT_ALL") else SOME
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
