@@ -351,7 +351,7 @@ _tenths = lambda half, unit: f"((n + {half}) // {unit})"
   when n < 60000000000 then printf('%d.%d sec', {_tenths(50000000, 100000000)} // 10, {_tenths(50000000, 100000000)} % 10)
   when n // 1000000000 < 3600 then (n // 60000000000) || 'm ' || (n // 1000000000 % 60) || 's' else (n // 3600000000000) || 'h ' || (n // 1000000000 % 3600 // 60) || 'm' end as text from (select o_orderkey, {_D} n from orders)""")
 def duration_text(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_D} n")
+    rows = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_D.replace('o_orderkey', 'cast(o_orderkey as decimal(38,0))', 1)} n")  # beyond 64 bits at a million orders
     return rows.select("o_orderkey", fmt.duration(F.col("n")).alias("text"))
 
 
