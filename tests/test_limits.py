@@ -19,3 +19,16 @@ def test_durations_of_many_orders(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view orders as select * replace (o_orderkey::hugeint as o_orderkey) from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     assert got == dict(con.execute(summaries.ORACLE_SQL["duration_text"]).fetchall())
+
+
+def test_sizes_at_the_limit_are_even_in_any_order(spark):
+    """The deviation of 1, 4, 12, 33 and others is exactly their mean; as doubles it is over it in some orders."""
+    day, orders = dt.date(2024, 1, 1), [*itertools.permutations([1, 4, 12, 33]), *itertools.permutations([1, 1, 12, 24])]
+    rows = [(day, f"S{n}", k * SEC, n * 10 + k, size, 100, n * 10 + k) for n, sizes in enumerate(orders) for k, size in enumerate(sizes)]
+    over = [(day, f"T{n}", k * SEC, 9000 + n * 10 + k, size, 100, 9000 + n * 10 + k) for n, sizes in enumerate(itertools.permutations([1, 4, 12, 34])) for k, size in enumerate(sizes)]
+    executed = spark.createDataFrame(rows + over, "trading_date date, symbol string, ts_nanos bigint, order_id bigint, size int, price_raw bigint, trade_id bigint")
+    got = sorted(r.symbol for r in detectors.icebergs(executed.coalesce(1), **events.ICEBERG).collect())
+    con = duckdb.connect()
+    con.execute("create table orders_executed (trading_date date, symbol varchar, ts_nanos bigint, order_id bigint, size integer, price_raw bigint, trade_id bigint)")
+    con.executemany("insert into orders_executed values (?, ?, ?, ?, ?, ?, ?)", rows + over)
+    assert got == sorted(f"S{n}" for n in range(len(orders))) == sorted(r[0] for r in con.execute(f"select symbol from ({events.ICE})").fetchall())
