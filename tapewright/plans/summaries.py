@@ -373,12 +373,13 @@ def ordinals(spark, sf_dir):
 
 
 @query(f"""select trading_date, symbol, n, {ev.r6('rv')} realized_vol, {ev.r6('cv')} variation from (
-  select trading_date, symbol, count(*) n, sqrt(sum(lm * lm)) rv, case when count(*) >= 2 then stddev_samp(p) / avg(p) end cv from (select *, price_raw / 10000.0 p, ln((price_raw / 10000.0) / lag(price_raw / 10000.0) over (partition by trading_date, symbol order by ts_nanos, seq)) lm from trades) group by 1, 2) where n >= 2""")
+  select trading_date, symbol, count(*) n, sqrt(coalesce(sum(lm * lm), 0)) rv, case when count(*) >= 2 then stddev_samp(p) / nullif(avg(p), 0) end cv from (select *, case when p > 0 and before_ > 0 then ln(p / before_) end lm from (
+  select *, price_raw / 10000.0 p, lag(price_raw / 10000.0) over (partition by trading_date, symbol order by ts_nanos, seq) before_ from trades)) group by 1, 2) where n >= 2""")
 def realized_vol(spark, sf_dir):
     keys, p = ["trading_date", "symbol"], F.col("price_raw") / 10_000.0
     rows = patterns.with_before(fx.trades(spark, sf_dir).withColumn("p", p), keys, ["ts_nanos", "seq"], "p", "before")
     move = F.when((F.col("p") > 0) & (F.col("before") > 0), F.log(F.col("p") / F.col("before")))
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.coalesce(F.sum(move * move), F.lit(0.0))).alias("realized_vol"), (F.stddev_samp("p") / F.avg("p")).alias("variation"))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.coalesce(F.sum(move * move), F.lit(0.0))).alias("realized_vol"), (F.stddev_samp("p") / F.nullif(F.avg("p"), F.lit(0.0))).alias("variation"))
     return ev.rounded(found.filter("n >= 2"), "realized_vol", "variation")
 
 

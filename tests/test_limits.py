@@ -32,3 +32,15 @@ def test_sizes_at_the_limit_are_even_in_any_order(spark):
     con.execute("create table orders_executed (trading_date date, symbol varchar, ts_nanos bigint, order_id bigint, size integer, price_raw bigint, trade_id bigint)")
     con.executemany("insert into orders_executed values (?, ?, ?, ?, ?, ?, ?)", rows + over)
     assert got == sorted(f"S{n}" for n in range(len(orders))) == sorted(r[0] for r in con.execute(f"select symbol from ({events.ICE})").fetchall())
+
+
+def test_a_price_of_zero_makes_no_move(spark, monkeypatch):
+    rows = [(dt.date(2024, 1, 1), s, k, k, p) for s, ps in {"A": [10, 0, 20, 40], "B": [0, 0], "C": [-10, 10, 20]}.items() for k, p in enumerate(ps)]
+    monkeypatch.setattr(summaries.fx, "trades", lambda spark, sf_dir: spark.createDataFrame(rows, "trading_date date, symbol string, ts_nanos bigint, seq bigint, price_raw bigint"))
+    got = {r.symbol: (r.n, r.realized_vol) for r in summaries.realized_vol(spark, "").collect()}
+    sql = summaries.ORACLE_SQL["realized_vol"]
+    con = duckdb.connect()
+    con.execute("create table trades (trading_date date, symbol varchar, ts_nanos bigint, seq bigint, price_raw bigint)")
+    con.executemany("insert into trades values (?, ?, ?, ?, ?)", rows)
+    found = con.execute("select" + sql[sql.rindex(" select trading_date, symbol, n,") + 7 :]).fetchall()
+    assert got == {r[1]: (r[2], r[3]) for r in found} == {"A": (4, 0.693147), "B": (2, 0.0), "C": (3, 0.693147)}
