@@ -203,34 +203,39 @@ def recheck(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 def json_nodes(facts: DataFrame, key: str = "doc_id", column: str = "facts") -> DataFrame:
     """key, path, value of every node of JSON texts, of any depth; value, as text, is null for objects, arrays and nulls.
 
-    Each text is parsed once, and a level of all texts is taken apart at a time;
-    the depth is that of the deepest one. Paths are as $.a.b[0]. What isn't JSON
-    has no nodes.
+    Each text is read and parsed once: level after level is taken apart inside
+    its row; the depth is that of the deepest one.
+    Paths are as $.a.b[0]. What isn't JSON has no nodes.
     """
     bare = F.regexp_replace(F.regexp_replace(F.col(column), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
-    deepest = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
-    depth = facts.agg(F.max(deepest)).first()[0] or 0
-    level = facts.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("node")).filter("node is not null")
-    kind = F.schema_of_variant("node")
-    inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    out = None
-    for k in range(depth + 1):
-        found = level.filter("path != '$'" if k == 0 else "true").select(key, "path", F.when(~inner & (kind != "VOID"), F.expr("cast(node as string)")).alias("value"))
-        out = found if out is None else out.unionByName(found)
-        if k < depth:
-            name = f"level{k}"
-            taken = level.filter(inner).select(key, "path", "node").alias(name)
-            step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-            level = taken.lateralJoin(facts.sparkSession.tvf.variant_explode(F.col("node").outer())).select(key, F.concat("path", step).alias("path"), F.col("value").alias("node"))
-    return out
+    shapes = facts.select(bare.alias("shape")).distinct()
+    deepest = F.aggregate(F.transform(F.split("shape", ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
+    depth = shapes.agg(F.max(deepest)).first()[0] or 0
+
+    as_map = lambda n: F.try_variant_get(n["node"], "$", "map<string,variant>")
+    as_list = lambda n: F.try_variant_get(n["node"], "$", "array<variant>")
+    none = F.array().cast("array<struct<path:string,node:variant>>")
+
+    def children(n: Column) -> Column:
+        members = F.transform(F.map_entries(as_map(n)), lambda e: F.struct(F.concat(n["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("node")))
+        items = F.transform(as_list(n), lambda x, i: F.struct(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("node")))
+        return F.coalesce(members, items, none)
+
+    told = lambda n: F.struct(n["path"].alias("path"), F.when(as_map(n).isNull() & as_list(n).isNull(), n["node"].cast("string")).alias("value"))
+    out = facts.select(key, F.array(F.struct(F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("node"))).alias("level0"))
+    for k in range(depth):
+        out = out.withColumn(f"level{k + 1}", F.flatten(F.transform(f"level{k}", children)))
+    nodes = F.concat(none, *[F.col(f"level{k}") for k in range(1, depth + 1)])
+    return out.select(key, F.explode(F.transform(nodes, told)).alias("n")).select(key, "n.path", "n.value")
 
 
 def missing_paths(asked: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Those of asked (key, path, as a.b[0]) at which a text's nodes have nothing, or null. An object or an array is something."""
     there = nodes.withColumn("__parent", F.regexp_extract("path", r"^(.*)(?:\.[^.\[]*|\[[0-9]+\])$", 1))
-    held = there.filter("value is not null").select(key, "path").unionByName(there.select(key, F.col("__parent").alias("path"))).distinct()
-    return asked.join(held.select(key, F.regexp_replace("path", r"^\$\.?", "").alias("path")), [key, "path"], "left_anti").select(key, "path")
+    bare = lambda p: F.regexp_replace(p, r"^\$\.?", "")
+    both = F.array_compact(F.array(F.when(F.col("value").isNotNull(), bare(F.col("path"))), bare(F.col("__parent"))))
+    held = there.select(key, F.explode(both).alias("path"))
+    return asked.join(held, [key, "path"], "left_anti").select(key, "path")
 
 
 def verdict(text: Column, allowed_numbers: Column, prior: Column, unit: str = "week") -> Column:

@@ -90,3 +90,13 @@ def test_verdicts(spark):
     stored = df.select("doc_id", F.struct(F.lit(True).alias("intent"), F.lit(False).alias("streak")).alias("verdict"))
     changes = {(r.doc_id, r.check_name): r.change for r in tc.changed_verdicts(stored, df.select("doc_id", F.col("v").alias("verdict"))).collect()}
     assert changes[2, "intent"] == "regressed" and changes[0, "streak"] == "mended" and (4, "streak") not in changes
+
+
+def test_texts_are_read_once_whatever_their_depth(spark):
+    texts = ['{"a":[{"b":{"c":[1,null,"x"]}},[]],"d":{},"e":-1.50}', "7", "null", '"s"', "[]", "no json", None, '[[["y"]],{"k":true}]']
+    nodes = tc.json_nodes(spark.createDataFrame(list(enumerate(texts)), "doc_id int, facts string"))
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r.doc_id, r.path): r.value for r in nodes.collect()}
+    first = {"$.a": None, "$.a[0]": None, "$.a[0].b": None, "$.a[0].b.c": None, "$.a[0].b.c[0]": "1", "$.a[0].b.c[1]": None, "$.a[0].b.c[2]": "x", "$.a[1]": None, "$.d": None, "$.e": "-1.5"}
+    last = {"$[0]": None, "$[0][0]": None, "$[0][0][0]": "y", "$[1]": None, "$[1].k": "true"}
+    assert got == {**{(0, p): v for p, v in first.items()}, **{(7, p): v for p, v in last.items()}}
