@@ -2,14 +2,18 @@
 
 import datetime as dt
 import itertools
+import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tapewright import session
 from tapewright.operators import detectors
-from tapewright.plans import events, summaries
+from tapewright.plans import books, events, summaries
 
 SEC = 1_000_000_000
+DATA = "/root/testdata/sf0.001"
 
 
 def test_durations_of_many_orders(spark, tmp_path):
@@ -44,3 +48,11 @@ def test_a_price_of_zero_makes_no_move(spark, monkeypatch):
     con.executemany("insert into trades values (?, ?, ?, ?, ?)", rows)
     found = con.execute("select" + sql[sql.rindex(" select trading_date, symbol, n,") + 7 :]).fetchall()
     assert got == {r[1]: (r[2], r[3]) for r in found} == {"A": (4, 0.693147), "B": (2, 0.0), "C": (3, 0.693147)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_snapshots_write_no_changes(spark):
+    for query in (books.book_snapshot, books.second_levels, books.sizes_at_price):
+        with session.noted() as places:
+            query(spark, DATA)
+        assert places == []
