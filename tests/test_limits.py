@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright import session
-from tapewright.operators import detectors
-from tapewright.plans import books, events, summaries
+from tapewright.operators import detectors, tables
+from tapewright.plans import books, events, more, summaries
 
 SEC = 1_000_000_000
 DATA = "/root/testdata/sf0.001"
@@ -56,3 +56,14 @@ def test_snapshots_write_no_changes(spark):
         with session.noted() as places:
             query(spark, DATA)
         assert places == []
+
+
+def test_digest_goes_by_phase_before_score(spark):
+    rows = [(dt.date(2024, 1, 1), f"e{m}", "A", "sweep", float(m % 7), m * 60 * SEC + 300 * 60 * SEC, m * 60 * SEC + 301 * 60 * SEC) for m in range(1, 1440, 37)]
+    selected = spark.createDataFrame(rows, "trading_date date, event_id string, symbol string, scorer_id string, score double, ts_nanos bigint, ts_end_nanos bigint")
+    got = {r.event_id: r.place for r in tables.digest(selected, spark.sql("select '' event_id, '' interpretation, '' narrative")).collect()}
+    con = duckdb.connect()
+    con.execute("create table selected (trading_date date, event_id varchar, symbol varchar, scorer_id varchar, score double, ts_nanos bigint, ts_end_nanos bigint)")
+    con.executemany("insert into selected values (?, ?, ?, ?, ?, ?, ?)", rows)
+    sql = more.ORACLE_SQL["day_digest"]
+    assert got == {r[1]: r[3] for r in con.execute(sql[sql.rindex(" select trading_date, event_id, case when") :]).fetchall()}
