@@ -8,11 +8,15 @@ cluster, or apply them to the orders of a book. Rows that come later than the
 delay are left out by the watermark and counted in the query's progress.
 
 State is kept in RocksDB, so a micro-batch reads and writes the entries that
-its rows touch.
+its rows touch. Each access to state is a call from Python to the JVM, so rows
+wait as parts of up to HOLD rows in pieces of time, and open orders as small
+groups: calls grow with pieces and groups, not with rows. Only one piece of a
+key's rows is in memory at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -48,20 +52,32 @@ def gap_cluster_counts(stream: DataFrame, keys: list[str], max_gap_ns: int) -> D
     return stream.groupBy(*keys, window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts_nanos").alias("ts_nanos"), F.max("ts_nanos").alias("ts_end_nanos")).drop("w")
 
 
+#: Rows of a key in memory before they are put into state; they wait in pieces of so many nanoseconds.
+HOLD = 100_000
+WAIT_PIECE = 3_600_000_000_000
+
+
 class InOrder(StatefulProcessor):
-    """Gives each key's rows to released() in the order of ts_nanos and seq, once the watermark has passed them."""
+    """Gives each key's rows to released() in the order of ts_nanos and seq, once the watermark has passed them.
+
+    Rows wait as parts (their least time and a number -> their values), each of one piece of time.
+    """
 
-    def __init__(self, schema: StructType):
-        self.schema = schema
+    def __init__(self, schema: StructType, hold: int = HOLD, piece: int = WAIT_PIECE):
+        self.schema, self.hold, self.piece = schema, hold, piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getMapState("waiting", "least bigint, part bigint", "rows binary")
+        self.row, self.at = Row(*self.schema.names), self.schema.names.index("ts_nanos")
 
     def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
-        """What a subclass makes of rows that have come into their place."""
+        """What a subclass makes of rows that have come into their place; called piece by piece."""
         raise NotImplementedError
 
+    def finished(self, key: tuple) -> None:
+        """Called after the last released() of a key's turn."""
+
     def passed(self, key: tuple, micros: int) -> Iterator[Row]:
         """What a subclass makes of the fact that no row up to a time will come any more."""
         return iter(())
@@ -70,19 +86,44 @@ class InOrder(StatefulProcessor):
         """A time in nanoseconds at which a subclass wants to hear of the watermark."""
         return None
 
-    def _go_on(self, key: tuple, rows: list[Row], watermark_ms: int) -> Iterator[Row]:
+    def _put(self, pieces: dict[int, list[tuple]], parts: dict[int, list[tuple]]) -> None:
+        """Adds rows, by piece, to the parts that wait, and to parts: piece -> keys of its parts."""
+        for piece, rows in pieces.items():
+            entry = min(r[self.at] for r in rows), 1 + max((n for _, n in parts.get(piece, ())), default=0)
+            self.waiting.updateValue(entry, (pickle.dumps(rows, pickle.HIGHEST_PROTOCOL),))
+            parts.setdefault(piece, []).append(entry)
+        pieces.clear()
+
+    def _go_on(self, key: tuple, rows: Iterator[Row], watermark_ms: int) -> Iterator[Row]:
         micros = watermark_ms * 1000
-        ready, rest = [], []
+        parts, fresh, n = {}, {}, 0
+        for least, number in self.waiting.keys() if self.waiting.exists() else ():
+            parts.setdefault(least // self.piece, []).append((least, number))
         for row in rows:
-            (ready if row.ts_nanos // 1000 <= micros else rest).append(row)
-        if ready:
-            yield from self.released(key, sorted(ready, key=lambda r: (r.ts_nanos, r.seq)))
+            fresh.setdefault(row[self.at] // self.piece, []).append(tuple(row))
+            n += 1
+            if n == self.hold:
+                self._put(fresh, parts)
+                n = 0
+        for piece in sorted({*parts, *fresh}):
+            if piece * self.piece // 1000 > micros:
+                break
+            ready, rest = [], []
+            entries = [e for e in parts.get(piece, ()) if e[0] // 1000 <= micros]
+            for values in [*(v for e in entries for v in pickle.loads(self.waiting.getValue(e)[0])), *fresh.pop(piece, ())]:
+                (ready if values[self.at] // 1000 <= micros else rest).append(values)
+            for entry in entries:
+                self.waiting.removeKey(entry)
+            if left := [e for e in parts.pop(piece, ()) if e[0] // 1000 > micros]:
+                parts[piece] = left
+            if rest:
+                self._put({piece: rest}, parts)
+            if ready:
+                yield from self.released(key, sorted((self.row(*values) for values in ready), key=lambda r: (r.ts_nanos, r.seq)))
+        self.finished(key)
         yield from self.passed(key, micros)
-        if rest:
-            self.waiting.put([tuple(r[c] for c in self.schema.names) for r in rest])
-        else:
-            self.waiting.clear()
-        times = [t for t in (min((r.ts_nanos for r in rest), default=None), self.next_time()) if t is not None]
+        self._put(fresh, parts)
+        times = [t for t in (min((least for keys in parts.values() for least, _ in keys), default=None), self.next_time()) if t is not None]
         due = max(watermark_ms + 1, -(-min(times) // 1_000_000)) if times else None
         set_ = False
         for (timer,) in ((t,) if isinstance(t, int) else t for t in list(self.handle.listTimers())):
@@ -93,14 +134,11 @@ class InOrder(StatefulProcessor):
         if due is not None and not set_:
             self.handle.registerTimer(due)
 
-    def _held(self) -> list[Row]:
-        return [Row(*self.schema.names)(*values) for values in self.waiting.get()] if self.waiting.exists() else []
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        yield from self._go_on(key, [*self._held(), *rows], timerValues.getCurrentWatermarkInMs())
+        yield from self._go_on(key, rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._go_on(key, self._held(), timerValues.getCurrentWatermarkInMs())
+        yield from self._go_on(key, iter(()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -123,10 +161,10 @@ class _Pass(InOrder):
         self.count = handle.getValueState("count", "n bigint")
 
     def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
-        place = self.count.get()[0] if self.count.exists() else 0
+        place, told = self.count.get()[0] if self.count.exists() else 0, Row(*self.schema.names, "place")
         for row in rows:
             place += 1
-            yield Row(*self.schema.names, "place")(*(row[c] for c in self.schema.names), place)
+            yield told(*row, place)
         self.count.update((place,))
 
 
@@ -209,26 +247,57 @@ def _apply(orders, row) -> Iterator[tuple]:
             del orders[key]
 
 
+#: Groups of a part's open orders; each is one entry of state.
+GROUPS = 64
+
+
 class _Orders:
-    """A map state as a mapping, so that a message reads and writes the entry of its own order alone."""
+    """Open orders (id -> order) in a map state of groups of ids. A turn reads and writes the groups of its messages' orders, each once."""
 
     def __init__(self, state):
-        self.state = state
+        self.state, self.groups, self.changed, self.stored = state, {}, set(), set()
 
-    def get(self, key: int) -> tuple | None:
-        return self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+    def _group(self, key: int) -> tuple[int, dict]:
+        no = ((key or 0) * 0x9E3779B97F4A7C15 >> 32) % GROUPS
+        if no not in self.groups:
+            found = self.state.getValue((no,))
+            self.groups[no] = pickle.loads(found[0]) if found else {}
+            if found:
+                self.stored.add(no)
+        return no, self.groups[no]
+
+    def get(self, key: int) -> list | None:
+        return self._group(key)[1].get(key)
 
     def __setitem__(self, key: int, order: list) -> None:
-        self.state.updateValue((key,), tuple(order))
+        no, group = self._group(key)
+        group[key] = order
+        self.changed.add(no)
 
     def __delitem__(self, key: int) -> None:
-        self.state.removeKey((key,))
+        no, group = self._group(key)
+        del group[key]
+        self.changed.add(no)
 
-    def values(self) -> Iterator[tuple]:
-        return self.state.values()
+    def values(self) -> Iterator[list]:
+        self.write()
+        return (order for (group,) in self.state.values() for order in pickle.loads(group).values())
 
     def clear(self) -> None:
         self.state.clear()
+        for known in (self.groups, self.changed, self.stored):
+            known.clear()
+
+    def write(self) -> None:
+        """Puts changed groups into state."""
+        for no in sorted(self.changed):
+            if self.groups[no]:
+                self.state.updateValue((no,), (pickle.dumps(self.groups[no], pickle.HIGHEST_PROTOCOL),))
+                self.stored.add(no)
+            elif no in self.stored:
+                self.state.removeKey((no,))
+                self.stored.remove(no)
+        self.changed.clear()
 
 
 #: Parts of a symbol's orders that have a state of their own; an order's changes depend on that order alone.
@@ -240,10 +309,16 @@ class _Book(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.orders = handle.getMapState("orders", "order_id bigint", "side string, price_raw bigint, size bigint")
+        self.open = handle.getMapState("orders", "group_no bigint", "orders binary")
+        self.orders = None
+
+    def finished(self, key: tuple) -> None:
+        if self.orders:
+            self.orders.write()
+        self.orders = None
 
     def released(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
-        orders = _Orders(self.orders)
+        self.orders = orders = self.orders or _Orders(self.open)
         told = Row("symbol", "side", "price_raw", "ts_nanos", "seq", "delta")
         for row in rows:
             for side, price, delta in _apply(orders, row):
