@@ -21,7 +21,8 @@ Only what links connect is asked for, so a pair whose texts are connected
 already is not compared. Each bucket's classes first meet one of its members,
 the one that shares most buckets with others: an original that its near copies
 surround. Then only pairs of a bucket that are still in different components
-meet, in pairs of blocks of about BLOCK classes and BLOCK_BYTES of shingles.
+meet, in pairs of blocks of about BLOCK classes and BLOCK_BYTES of shingles;
+buckets that hang together are one group if that has fewer pairs.
 Pairs of blocks with many pairs left get the sets of both blocks, others those
 of each pair. No candidate is dropped by a cap.
 
@@ -262,6 +263,23 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("hub").alias("node"), "hub")).distinct()
 
 
+def _groups(met: DataFrame, hubs: DataFrame, scratch: Scratch) -> DataFrame:
+    """grp, band, n_blocks, node, odd and label: what is left to compare of met (bucket, node, label, odd, n_shingles).
+
+    Buckets of one component are left out. Near copies of one text share most
+    of its buckets, so buckets that hang together make one group, with each node
+    once, if that has fewer pairs than they have one by one; else each is one.
+    """
+    open_ = met.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").join(hubs, "bucket").select("bucket", "hub", "size")
+    nodes = scratch.cut(met.join(open_, "bucket").select("bucket", "hub", "size", "node", "n_shingles", "odd", "label"), "open")
+    part = connected(_edges(nodes.select("node", "hub").distinct()), scratch).withColumnRenamed("label", "part")
+    pairs = nodes.filter("node = hub").join(part, "node").groupBy("part").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    whole = part.groupBy("part").agg(F.count(F.lit(1)).alias("nodes")).join(pairs, "part").select("part", (F.col("nodes") * F.col("nodes") <= F.col("pairs")).alias("whole"))
+    dealt = nodes.join(part, "node").join(whole, "part").withColumns({"grp": F.when(F.col("whole"), F.col("part")).otherwise(F.col("bucket")), "band": F.when(F.col("whole"), -2).otherwise(-1)}).dropDuplicates(["grp", "band", "node"])
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(8 * F.col("n_shingles")) / BLOCK_BYTES)).cast("int")
+    return dealt.join(dealt.groupBy("grp", "band").agg(n_blocks.alias("n_blocks")), ["grp", "band"]).select("grp", "band", "n_blocks", "node", "odd", "label")
+
+
 def _with_items(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, 1):
@@ -286,7 +304,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     texts = keyed_join(docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")), weighed.select("node", "text_key"), "text_key")
     sets = scratch.cut(_with_items(texts.groupBy("node").agg(F.first("text").alias("text"))), "sets")
 
-    hubs = mates.join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    hubs = scratch.cut(mates.join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub")), "hubs")
     odds = weighed.select("node", "odd", "n_shingles")
     pairs = mates.join(hubs, "bucket").filter("node != hub").select("node", "hub").distinct()
     pairs = pairs.join(odds, "node").join(odds.select(F.col("node").alias("hub"), F.col("odd").alias("hub_odd")), "hub").filter(ones("odd", "hub_odd") <= most_ones(percent)).select("node", "hub", "n_shingles")
@@ -295,14 +313,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     labels = connected(_edges(first), scratch)
     labelled = weighed.select("node", "n_shingles", "odd").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     met = mates.filter("n > 2").join(labelled, "node")  # two classes of a bucket have met already
-    open_ = met.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n_shingles")).alias("bytes")).filter("low != high")
-    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = met.join(open_.select("bucket", n_blocks.alias("n_blocks")), "bucket").select(F.col("bucket").alias("grp"), F.lit(-1).alias("band"), "n_blocks", "node", "odd", "label")
-    members = scratch.cut(members, "members")
-    left = scratch.cut(_left_pairs(in_pairs_of_blocks(members), percent), "left")
+    placed = scratch.cut(in_pairs_of_blocks(_groups(met, hubs, scratch)), "members")
+    left = scratch.cut(_left_pairs(placed, percent), "left")
     dense = left.filter("a is null").select(*PAIR_OF_BLOCKS)
-    of_blocks = in_pairs_of_blocks(members).join(dense, PAIR_OF_BLOCKS).join(sets, "node")
-    second = _pair_links(left.filter("a is not null").select("a", "b").distinct(), sets, percent).unionByName(_block_links(of_blocks, percent))
+    of_blocks = placed.join(dense, PAIR_OF_BLOCKS).join(sets, "node")
+    second = scratch.cut(_pair_links(left.filter("a is not null").select("a", "b").distinct(), sets, percent).unionByName(_block_links(of_blocks, percent)), "links")
     links = scratch.cut(_edges(first.unionByName(second)), "links")
 
     groups = connected(links, scratch)

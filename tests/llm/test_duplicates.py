@@ -105,3 +105,21 @@ def test_nulls_repeats_and_no_rows(spark):
     got = sorted(((r.id, r.component_id, r.kept) for r in odd_sketch.join(df).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (None, 1, False), (None, None, True), (None, None, True), (5, 5, True), (None, None, True), (6, 1, False)], key=str)
     assert odd_sketch.join(df.limit(0)).count() == 0
+
+
+def test_near_copies_meet_once(spark):
+    """Buckets of near copies are one group, so a class isn't dealt out once for each band that it shares."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(400), rng.choice([4, 8, 12, 16])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    with odd_sketch.Scratch.noted() as places:
+        got = sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in odd_sketch.join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert got == brute(docs)
+    members = spark.read.parquet(next(p for p in places if "/members-" in p))
+    dealt = members.groupBy("node").count().toPandas()["count"]
+    assert dealt.mean() <= 6
