@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import book
+from .patterns import PIECE
 
 
 def last_of_instant(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows of equal keys and time, the one that arrived last."""
-    place = F.row_number().over(Window.partitionBy(*keys, "ts_nanos").orderBy(F.desc("seq")))
-    return df.withColumn("__place", place).filter("__place = 1").drop("__place")
+    inside = Window.partitionBy(*keys, F.floor(F.col("ts_nanos") / PIECE)).orderBy("ts_nanos", "seq")  # one for a piece of time, not for each instant
+    nxt = F.lead("ts_nanos").over(inside)
+    return df.withColumn("__next", nxt).filter(F.col("__next").isNull() | (F.col("__next") != F.col("ts_nanos"))).drop("__next")
 
 
 def level_check(changes: DataFrame, updates: DataFrame) -> DataFrame:

@@ -224,3 +224,16 @@ def test_day_refresh_and_json(spark, tmp_path):
     texts = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "event_id int, text string, created int")
     told = {r.event_id: r.text for r in tables.event_texts(events, texts, texts.withColumn("text", F.lit("told")).withColumn("event_id", F.lit(2)), ["event_id"]).collect()}
     assert told == {1: "new", 2: "told"}
+
+
+def test_remaining_sizes_take_no_windows_and_deal_orders_anew(spark):
+    """A join by order before them may be run as a broadcast, which deals rows otherwise."""
+    from tapewright.plans import books, facts
+
+    small = "/root/testdata/sf0.001"
+    rows = book.remaining(books._steps(spark, small))
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.filter("op = 'execute'").count() > 0 and rows.filter("rem is null or (op <> 'add' and rem_before is null)").count() == 0
+    # sweeps run once: what the as-of join reads twice is a table
+    for made in (facts.halts_and_layers, books.level_feed_bbo):
+        assert "MapInArrow" not in made(spark, small)._jdf.queryExecution().optimizedPlan().toString()
