@@ -16,14 +16,17 @@ def last_of_instant(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("__next", nxt).filter(F.col("__next").isNull() | (F.col("__next") != F.col("ts_nanos"))).drop("__next")
 
 
-def level_check(changes: DataFrame, updates: DataFrame) -> DataFrame:
+def level_check(changes: DataFrame, updates: DataFrame, tasks: int | None = None) -> DataFrame:
     """Declared level sizes against summed order sizes as of the same time; orders win ties.
 
     One window over the union of both, by level, so a busy symbol is spread
-    over its levels. updates: level keys, ts_nanos, seq, declared.
+    over its levels. updates: level keys, ts_nanos, seq, declared. tasks: the
+    number of partitions to sort in, by default the session's.
     """
     declared = last_of_instant(updates, book.LEVEL)
     union = changes.select(*book.LEVEL, "ts_nanos", "delta", F.lit(None).cast("bigint").alias("declared")).unionByName(declared.select(*book.LEVEL, "ts_nanos", F.lit(0).cast("bigint").alias("delta"), F.col("declared").cast("bigint").alias("declared")))
+    if tasks is not None:
+        union = union.repartition(tasks, *book.LEVEL)
     upto = Window.partitionBy(*book.LEVEL).orderBy("ts_nanos").rangeBetween(Window.unboundedPreceding, 0)
     return union.withColumn("summed", F.sum("delta").over(upto)).filter("declared is not null").drop("delta").withColumn("matches", F.col("declared") == F.col("summed"))
 
